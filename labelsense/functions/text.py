@@ -1,5 +1,8 @@
 """Text to words, as column expressions that run inside the JVM on the whole text."""
 
+import json
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,27 +74,24 @@ def keep_letters_only(words: Column) -> Column:
     return F.filter(words, lambda word: word.rlike(LETTERS_PATTERN))
 
 
-def replace_words(words: Column, mapping: dict[str, str], buckets: int = 1024) -> Column:
+def replace_words(words: Column, mapping: dict[str, str]) -> Column:
     """Replace each word that has an entry in ``mapping``.
 
-    The mapping travels as one constant: an array of small maps addressed by the hash of the
-    word, so a lookup costs the same whatever the size of the mapping.
+    The mapping travels as one constant: an array of small maps, addressed by the checksum of
+    the word, so that a lookup costs the same whatever the size of the mapping.
     """
     if not mapping:
         return words
-    import json
-
-    entries = F.from_json(F.lit(json.dumps(mapping)), "map<string,string>")
-    table = F.transform(
-        F.sequence(F.lit(0), F.lit(buckets - 1)),
-        lambda slot: F.map_filter(entries, lambda form, _: F.pmod(F.xxhash64(form), F.lit(buckets)) == slot),
-    )
-    return F.transform(
-        words,
-        lambda word: F.coalesce(
-            F.element_at(F.get(table, F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")), word), word
-        ),
-    )
+    slots = [{} for _ in range(len(mapping))]
+    for form, lemma in mapping.items():
+        slots[zlib.crc32(form.encode()) % len(slots)][form] = lemma
+    table = F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>")
+
+    def replaced(word: Column) -> Column:
+        slot = (F.crc32(word.cast("binary")) % len(slots)).cast("int")
+        return F.coalesce(F.element_at(F.get(table, slot), word), word)
+
+    return F.transform(words, replaced)
 
 
 def canonical_words(

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelsense.functions.buckets import spread
@@ -12,9 +12,8 @@ ONE_TASK_ROWS = 100_000
 SALTS = 64
 
 
-def checkpointed(table: DataFrame) -> DataFrame:
-    """The table written once to the shared checkpoint folder, so it is not computed again."""
-    spark = table.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, readable by every executor."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +22,12 @@ def checkpointed(table: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
             folder = tempfile.mkdtemp(prefix="labelsense-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(table: DataFrame) -> DataFrame:
+    """The table written once to the shared folder, so it is not computed again."""
+    shared_folder(table.sparkSession)
     return table.checkpoint(eager=True)
 
 

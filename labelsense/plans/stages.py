@@ -1,5 +1,7 @@
 """Spark ML stages: words of a text, tracked words, majority label, shared indexes."""
 
+import json
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, StringIndexerModel
@@ -144,11 +146,12 @@ class WordSetModel(Model, _InOut, HasWordSet, HasWordCount, HasIndexWords):
         if not words:
             raise ValueError("the word set is empty")
         vectors = CountVectorizerModel.from_vocabulary(words, inputCol=self.getInputCol(), outputCol=out)
-        vectors = vectors.setBinary(True).setMinTF(1.0)
+        encoded = vectors.setBinary(True).setMinTF(1.0).transform(dataset)
         if self.getIndexWords():
-            return vectors.transform(dataset)
-        tracked = F.array(*[F.lit(w) for w in words])
-        return dataset.withColumn(out, F.array_intersect(tracked, F.col(self.getInputCol())))
+            return encoded
+        tracked = F.from_json(F.lit(json.dumps(words)), "array<string>")
+        places = F.unwrap_udt(out)["indices"]  # ascending
+        return encoded.withColumn(out, F.transform(places, lambda i: F.get(tracked, i)))
 
 
 class WordSetEstimator(Estimator, _InOut, HasLimitTo, HasWordSet, HasIndexWords):

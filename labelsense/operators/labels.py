@@ -40,7 +40,7 @@ def with_label(df: DataFrame, index: DataFrame, name: str, out: str = "label", k
     return lookup_join(df, table, [name], "left").withColumn(out, F.coalesce(F.col(out), unseen))
 
 
-def balance(df: DataFrame, id_col: str, label: str, buckets: int = 256, copy_col: str = "copy") -> DataFrame:
+def balance(df: DataFrame, id_col: str, label: str, buckets: int = 4096, copy_col: str = "copy") -> DataFrame:
     """Repeat rows until every label has as many rows as the most frequent one.
 
     Row number n of a label (in the order of hash bucket and id) is repeated floor(max/c) times,

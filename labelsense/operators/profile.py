@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelsense.functions.buckets import digest
 from labelsense.functions.text import sentence_count, word_count
-from labelsense.operators.scale import checkpointed, lookup_join, running_totals
+from labelsense.operators.scale import checkpointed, lookup_join, measured, running_totals
 
 
 def value_counts(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def duplicate_texts(df: DataFrame, text: str, id_col: str) -> DataFrame:
     """All rows of every text that occurs more than once, with the number of copies."""
     keyed = df.withColumn("_digest", digest(text))
     repeated = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
-    return lookup_join(keyed, repeated, ["_digest"], salt_on=[id_col]).drop("_digest")
+    return lookup_join(keyed, repeated, ["_digest"], salt_on=[id_col], key_rows="n_copies").drop("_digest")
 
 
 def _segments(length: Column, parts: int) -> Column:
@@ -96,7 +96,7 @@ def pairs_within(values: DataFrame, name: str, distance: int, group_rows: int =
     )
     group = ["length", "part", "piece"]
     n_chunks = F.ceil(F.count(F.lit(1)) / group_rows).cast("int")
-    groups = checkpointed(
+    groups, fits = measured(
         pieces.groupBy(*group).agg(n_chunks.alias("short_chunks")).join(
             probes.groupBy(*group).agg(n_chunks.alias("long_chunks")), group
         )
@@ -105,7 +105,7 @@ def pairs_within(values: DataFrame, name: str, distance: int, group_rows: int =
     def divided(rows: DataFrame, value: str, own: str, other: str) -> DataFrame:
         """Give each row its own chunk of the group, and a copy for every chunk of the other side."""
         return (
-            lookup_join(rows, groups, group, salt_on=[value])
+            lookup_join(rows, groups, group, salt_on=[value], fits=fits)
             .withColumn(own, F.pmod(F.xxhash64(value), F.col(own)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         )
@@ -175,38 +175,45 @@ def length_summary(lengths: DataFrame, *names: str) -> DataFrame:
     return box.join(F.broadcast(whiskers), "measure")
 
 
-def average_ranks(counts: DataFrame, name: str) -> DataFrame:
-    """Average rank of each value: (value, rank) from (value, n)."""
-    placed = running_totals(counts, [F.asc(name)], {"_before": F.col("n")})
-    return placed.select(name, (F.col("_before") + (F.col("n") + 1) / 2).alias("rank"))
+def average_ranks(counts: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Average rank of each value within its group, from (group, value, n); groups are few."""
+    placed = running_totals(counts, [F.asc(c) for c in (*group, value)], {"_before": F.col("n")})
+    starts = placed.groupBy(*group).agg(F.min("_before").alias("_start"))
+    rank = F.col("_before") - F.col("_start") + (F.col("n") + 1) / 2
+    return placed.join(F.broadcast(starts), group).select(*group, value, "n", rank.alias("rank"))
 
 
 def spearman(df: DataFrame, *names: str) -> DataFrame:
     """Rank correlation of every two columns, nulls dropped pair by pair.
 
-    Each pair of columns is first reduced to its distinct value pairs with their count. Ranks
-    come from the counts of single values, and the correlation is a sum over value pairs.
+    Rows are first reduced to the distinct value pairs of each column pair, with their count.
+    Ranks come from the counts of single values, and the correlation is a sum over value pairs.
+    All column pairs go through the same few jobs.
     """
-    rows = []
-    for a, b in combinations(names, 2):
-        both = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
-        joint = checkpointed(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-        ranked = joint
-        for side in ("a", "b"):
-            values = joint.groupBy(side).agg(F.sum("n").alias("n"))
-            ranks = average_ranks(values, side).withColumnRenamed("rank", f"rank_{side}")
-            ranked = lookup_join(ranked, ranks, [side], salt_on=["a", "b"])
-        middle = (joint.agg(F.sum("n")).scalar() + 1) / 2
-        x, y = F.col("rank_a") - middle, F.col("rank_b") - middle
-        rows.append(
-            ranked.agg(
-                (F.sum(F.col("n") * x * y) / F.sqrt(F.sum(F.col("n") * x * x) * F.sum(F.col("n") * y * y))).alias(
-                    "correlation"
-                ),
-                F.sum("n").alias("n_rows"),
-            ).select(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), "correlation", "n_rows")
+    columns = [
+        F.struct(
+            F.lit(a).alias("column_1"), F.lit(b).alias("column_2"),
+            F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"),
         )
-    table = rows[0]
-    for row in rows[1:]:
-        table = table.unionByName(row)
-    return table
+        for a, b in combinations(names, 2)
+    ]
+    pair = ["column_1", "column_2"]
+    stacked = df.select(F.inline(F.array(*columns))).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    joint = checkpointed(stacked.groupBy(*pair, "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    sides = [F.struct(F.lit(side).alias("side"), F.col(side).alias("v")) for side in ("a", "b")]
+    values = joint.select(*pair, "n", F.inline(F.array(*sides))).groupBy(*pair, "side", "v").agg(F.sum("n").alias("n"))
+    ranks, fits = measured(average_ranks(values, [*pair, "side"], "v"))
+    ranked = joint
+    for side, other in (("a", "b"), ("b", "a")):
+        of_side = ranks.filter(F.col("side") == side)
+        of_side = of_side.select(*pair, F.col("v").alias(side), F.col("rank").alias(f"rank_{side}"))
+        ranked = lookup_join(ranked, of_side, [*pair, side], salt_on=[other], fits=fits)
+    totals = joint.groupBy(*pair).agg(F.sum("n").alias("n_rows"))
+    middle = (F.col("n_rows") + 1) / 2
+    x, y, n = F.col("rank_a") - middle, F.col("rank_b") - middle, F.col("n")
+    return (
+        ranked.join(F.broadcast(totals), pair)  # one row per column pair
+        .groupBy(*pair, "n_rows")
+        .agg((F.sum(n * x * y) / F.sqrt(F.sum(n * x * x) * F.sum(n * y * y))).alias("correlation"))
+        .select(*pair, "correlation", "n_rows")
+    )

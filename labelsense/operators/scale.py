@@ -5,11 +5,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelsense.functions.buckets import spread
-
 BROADCAST_BYTES = 32 << 20
 ONE_TASK_ROWS = 100_000
-SALTS = 64
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,27 +35,64 @@ def measured(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFr
     return kept, size <= max_bytes
 
 
+def pieces(spark: SparkSession) -> int:
+    """Number of parts to divide hot keys into, over the whole table: some per shuffle partition."""
+    return max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     on: list[str],
     how: str = "inner",
     salt_on: list[str] | None = None,
-    max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    key_rows: str | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Join many rows with a table that has each key once.
 
     The table is broadcast when its measured size allows it, and then the rows do not move.
-    Otherwise both sides are shuffled, with each key split over ``salts`` tasks, so that one key
-    holding a large part of the rows does not end up in one task.
+    Otherwise see ``split_join``. ``fits`` is given for a table that is measured already.
     """
-    kept, fits = measured(table, max_bytes)
+    if fits is None:
+        table, fits = measured(table)
     if fits:
-        return rows.join(F.broadcast(kept), on, how)
-    salt = spread(salt_on or [c for c in rows.columns if c not in on] or on, salts)
-    copies = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+        return rows.join(F.broadcast(table), on, how)
+    return split_join(rows, table, on, how, salt_on, key_rows)
+
+
+def split_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    salt_on: list[str] | None = None,
+    key_rows: str | None = None,
+) -> DataFrame:
+    """Shuffled join that divides the rows of hot keys over several tasks.
+
+    A key is hot if it holds more than 1/p of all rows, with p = ``pieces``; so there are fewer
+    than p hot keys, and their list can be broadcast whatever the data. A hot key with the share
+    s of the rows is divided into ceil(s*p) parts, and its table row is copied to each.
+    ``key_rows`` names a column of the table with the number of rows per key, if it has one.
+    """
+    parts = pieces(rows.sparkSession)
+    counts = (
+        table.select(*on, F.col(key_rows).alias("_n"))
+        if key_rows
+        else rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    )
+    total = counts.agg(F.sum("_n")).scalar()
+    divided = F.ceil(F.col("_n") * parts / total).cast("int")
+    hot = checkpointed(counts.filter(F.col("_n") * parts > total).select(*on, divided.alias("_parts")))
+    salt_on = salt_on or [c for c in rows.columns if c not in on] or on
+    salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*salt_on), F.coalesce("_parts", F.lit(1))).cast("int")
+    )
+    salted_table = table.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    )
+    return salted_rows.drop("_parts").join(salted_table.drop("_parts"), [*on, "_salt"], how).drop("_salt")
 
 
 def running_totals(
@@ -80,7 +114,7 @@ def running_totals(
         total = F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(total, F.lit(0))
 
-    if kept.limit(one_task_rows + 1).count() <= one_task_rows:
+    if kept.count() <= one_task_rows:
         return kept.withColumns({name: earlier(w, Window.orderBy(*order)) for name, w in weights.items()})
     # Written out, so that every use sees the same ranges.
     ranged = checkpointed(kept.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))

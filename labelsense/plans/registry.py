@@ -209,7 +209,7 @@ def word_list(spark, sf_dir):
 
 @query
 def encoded_words(spark, sf_dir):
-    docs = checkpointed(words_of(spark, sf_dir))
+    docs = words_of(spark, sf_dir)
     words = wordsets.exploded_words(docs, "words", "doc_id")
     encoded = wordsets.encode(words, wordsets.common(docs, "words", 100), "doc_id")
     return encoded.select("doc_id", F.array_join("indices", ",").alias("indices"))
@@ -277,7 +277,7 @@ def shared_one_hot(spark, sf_dir):
 @query
 def balanced_labels(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return labels.balance(docs, "doc_id", "lang", buckets=256)
+    return labels.balance(docs, "doc_id", "lang")
 
 
 @query

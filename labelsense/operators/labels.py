@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelsense.functions.buckets import hash_bucket
-from labelsense.operators.scale import checkpointed, lookup_join, running_totals
+from labelsense.operators.scale import lookup_join, running_totals, stored
 
 
 def label_counts(df: DataFrame, *names: str) -> DataFrame:
@@ -49,10 +49,10 @@ def balance(df: DataFrame, id_col: str, label: str, buckets: int = 4096, copy_co
     """
     bucket = hash_bucket(id_col, buckets)
     ids = df.select(id_col, label, bucket.alias("_bucket")).filter(F.col(label).isNotNull())
-    in_bucket = checkpointed(ids.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_in_bucket")))
+    in_bucket = stored(ids.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_in_bucket")))
     totals = in_bucket.groupBy(label).agg(F.sum("_in_bucket").alias("_total"))
     target = totals.agg(F.max("_total")).scalar()
-    plan = checkpointed(
+    plan = stored(
         totals.withColumn("_times", F.floor(target / F.col("_total")).cast("int")).withColumn(
             "_extra", target % F.col("_total")
         )

@@ -2,14 +2,14 @@
 
 from functools import reduce
 from itertools import combinations
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsense.functions.buckets import digest
 from labelsense.functions.text import sentence_count, word_count
-from labelsense.operators.scale import checkpointed, lookup_join, measured, running_totals
+from labelsense.operators.scale import lookup_join, measured, running_totals, stored
 
 
 def value_counts(df: DataFrame, name: str) -> DataFrame:
@@ -129,12 +129,12 @@ def similar_labels(df: DataFrame, name: str, k: int = 40) -> DataFrame:
     The search radius grows until it holds k pairs; all pairs inside it are found, so the k
     nearest are exact whatever radius is needed.
     """
-    counts = checkpointed(df.filter(F.col(name).isNotNull()).groupBy(name).count())
+    counts = stored(df.filter(F.col(name).isNotNull()).groupBy(name).count())
     n, longest = counts.agg(F.count(F.lit(1)), F.max(F.char_length(name))).first()
     wanted = min(k, n * (n - 1) // 2)
-    radius = 1
+    radius = min(2, longest or 0)
     while True:
-        pairs = checkpointed(pairs_within(counts, name, radius))
+        pairs = stored(pairs_within(counts, name, radius))
         if radius >= (longest or 0) or pairs.limit(wanted).count() >= wanted:
             break
         radius = min(radius * 2, longest)
@@ -157,7 +157,7 @@ def length_summary(lengths: DataFrame, *names: str) -> DataFrame:
     Lengths are counted first, so the exact percentiles work on one row per distinct length.
     """
     stacked = F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("bigint").alias("v")) for n in names])
-    counts = checkpointed(lengths.select(F.inline(stacked)).groupBy("measure", "v").count())
+    counts = stored(lengths.select(F.inline(stacked)).groupBy("measure", "v").count())
     box = counts.groupBy("measure").agg(
         F.percentile("v", [0.0, 0.25, 0.5, 0.75, 1.0], F.col("count")).alias("p"),
     )
@@ -175,12 +175,12 @@ def length_summary(lengths: DataFrame, *names: str) -> DataFrame:
     return box.join(F.broadcast(whiskers), "measure")
 
 
-def average_ranks(counts: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Average rank of each value within its group, from (group, value, n); groups are few."""
-    placed = running_totals(counts, [F.asc(c) for c in (*group, value)], {"_before": F.col("n")})
-    starts = placed.groupBy(*group).agg(F.min("_before").alias("_start"))
+def average_ranks(counts: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, rank): average rank of each value within its group; groups are few."""
+    placed = running_totals(counts, [F.asc(group), F.asc(value)], {"_before": F.col("n")})
+    starts = placed.groupBy(group).agg(F.min("_before").alias("_start"))
     rank = F.col("_before") - F.col("_start") + (F.col("n") + 1) / 2
-    return placed.join(F.broadcast(starts), group).select(*group, value, "n", rank.alias("rank"))
+    return placed.join(F.broadcast(starts), group).select(group, value, "n", rank.alias("rank"))
 
 
 def spearman(df: DataFrame, *names: str) -> DataFrame:
@@ -188,32 +188,62 @@ def spearman(df: DataFrame, *names: str) -> DataFrame:
 
     Rows are first reduced to the distinct value pairs of each column pair, with their count.
     Ranks come from the counts of single values, and the correlation is a sum over value pairs.
-    All column pairs go through the same few jobs.
+    All column pairs go through the same few jobs, and a column is ranked once for all partners
+    that have no nulls.
     """
+    nulls = df.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
+    pairs = list(combinations(names, 2))
+
+    def ranking(name: str, partner: str) -> str:
+        return f"{name} where {partner}" if nulls[partner] else name
+
     columns = [
-        F.struct(
-            F.lit(a).alias("column_1"), F.lit(b).alias("column_2"),
-            F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"),
-        )
-        for a, b in combinations(names, 2)
-    ]
-    pair = ["column_1", "column_2"]
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+        for i, (a, b) in enumerate(pairs)
+    ]
     stacked = df.select(F.inline(F.array(*columns))).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    joint = checkpointed(stacked.groupBy(*pair, "a", "b").agg(F.count(F.lit(1)).alias("n")))
-    sides = [F.struct(F.lit(side).alias("side"), F.col(side).alias("v")) for side in ("a", "b")]
-    values = joint.select(*pair, "n", F.inline(F.array(*sides))).groupBy(*pair, "side", "v").agg(F.sum("n").alias("n"))
-    ranks, fits = measured(average_ranks(values, [*pair, "side"], "v"))
+    joint = stored(stacked.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+
+    def by_pair(values: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("pair"))
+
+    joint = joint.withColumns(
+        {
+            "ranking_a": by_pair([ranking(a, b) for a, b in pairs]),
+            "ranking_b": by_pair([ranking(b, a) for a, b in pairs]),
+        }
+    )
+
+    sources = {}  # one column pair that holds all rows of the ranking
+    for i, (a, b) in enumerate(pairs):
+        sources.setdefault(ranking(a, b), (i, "a"))
+        sources.setdefault(ranking(b, a), (i, "b"))
+    sides = [F.struct(F.col(f"ranking_{s}").alias("ranking"), F.col(s).alias("v"), F.lit(s).alias("side")) for s in "ab"]
+    wanted = reduce(or_, [(F.col("pair") == i) & (F.col("side") == s) for i, s in sources.values()])
+    values = joint.select("pair", "n", F.inline(F.array(*sides))).filter(wanted)
+    counts = values.groupBy("ranking", "v").agg(F.sum("n").alias("n"))
+    ranks, fits = measured(average_ranks(counts, "ranking", "v"))
+
     ranked = joint
     for side, other in (("a", "b"), ("b", "a")):
-        of_side = ranks.filter(F.col("side") == side)
-        of_side = of_side.select(*pair, F.col("v").alias(side), F.col("rank").alias(f"rank_{side}"))
-        ranked = lookup_join(ranked, of_side, [*pair, side], salt_on=[other], fits=fits)
-    totals = joint.groupBy(*pair).agg(F.sum("n").alias("n_rows"))
+        of_side = ranks.select(
+            F.col("ranking").alias(f"ranking_{side}"), F.col("v").alias(side), F.col("rank").alias(f"rank_{side}"),
+            F.col("n").alias("_value_rows"),
+        )
+        keys = [f"ranking_{side}", side]
+        ranked = lookup_join(ranked, of_side, keys, salt_on=["pair", other], key_rows="_value_rows", fits=fits)
+        ranked = ranked.drop("_value_rows")
+    totals = joint.groupBy("pair").agg(F.sum("n").alias("n_rows"))
     middle = (F.col("n_rows") + 1) / 2
     x, y, n = F.col("rank_a") - middle, F.col("rank_b") - middle, F.col("n")
     return (
-        ranked.join(F.broadcast(totals), pair)  # one row per column pair
-        .groupBy(*pair, "n_rows")
+        ranked.join(F.broadcast(totals), "pair")  # one row per column pair
+        .groupBy("pair", "n_rows")
         .agg((F.sum(n * x * y) / F.sqrt(F.sum(n * x * x) * F.sum(n * y * y))).alias("correlation"))
-        .select(*pair, "correlation", "n_rows")
+        .select(
+            by_pair([a for a, _ in pairs]).alias("column_1"),
+            by_pair([b for _, b in pairs]).alias("column_2"),
+            "correlation",
+            "n_rows",
+        )
     )

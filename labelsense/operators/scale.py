@@ -1,10 +1,12 @@
 """Building blocks that keep plans safe when a key is hot or a table is large."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
 ONE_TASK_ROWS = 100_000
 
@@ -22,17 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(table: DataFrame) -> DataFrame:
-    """The table written once to the shared folder, so it is not computed again."""
-    shared_folder(table.sparkSession)
-    return table.checkpoint(eager=True)
+def stored(table: DataFrame) -> DataFrame:
+    """The table written once to the shared folder and read back, so it is not computed again.
+
+    Cuts the lineage as a checkpoint does, and later reads take only the columns they need.
+    """
+    path = f"{shared_folder(table.sparkSession)}/table-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def measured(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+def measured(table: DataFrame) -> tuple[DataFrame, bool]:
     """The table, computed once, and whether it is small enough to broadcast."""
-    kept = checkpointed(table)
+    kept = stored(table)
+    if kept.count() > BROADCAST_ROWS:
+        return kept, False
     size = kept.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
-    return kept, size <= max_bytes
+    return kept, size <= BROADCAST_BYTES
 
 
 def pieces(spark: SparkSession) -> int:
@@ -84,7 +92,7 @@ def split_join(
     )
     total = counts.agg(F.sum("_n")).scalar()
     divided = F.ceil(F.col("_n") * parts / total).cast("int")
-    hot = checkpointed(counts.filter(F.col("_n") * parts > total).select(*on, divided.alias("_parts")))
+    hot = stored(counts.filter(F.col("_n") * parts > total).select(*on, divided.alias("_parts")))
     salt_on = salt_on or [c for c in rows.columns if c not in on] or on
     salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*salt_on), F.coalesce("_parts", F.lit(1))).cast("int")
@@ -108,7 +116,7 @@ def running_totals(
     sums inside the ranges are shifted by the sums of the ranges before, so no task sees it all.
     """
     weights = {name: F.lit(1).cast("bigint") if w is None else w for name, w in totals.items()}
-    kept = checkpointed(table)
+    kept = stored(table)
 
     def earlier(weight, window):
         total = F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, -1))
@@ -117,7 +125,7 @@ def running_totals(
     if kept.count() <= one_task_rows:
         return kept.withColumns({name: earlier(w, Window.orderBy(*order)) for name, w in weights.items()})
     # Written out, so that every use sees the same ranges.
-    ranged = checkpointed(kept.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranged = stored(kept.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy("_range").agg(*[F.sum(w).alias(f"_sum_{name}") for name, w in weights.items()])
     starts = sums.select(  # one row per partition
         "_range", *[earlier(F.col(f"_sum_{name}"), Window.orderBy("_range")).alias(f"_start_{name}") for name in weights]

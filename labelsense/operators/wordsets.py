@@ -7,12 +7,16 @@ every word to every label, see ``operators.embeddings``.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelsense.operators.scale import checkpointed, lookup_join, running_totals
+from labelsense.operators.scale import lookup_join, running_totals, stored
 
 
 def exploded_words(df: DataFrame, words: str, *keep: str) -> DataFrame:
-    """One row per word of the row's word list."""
-    return df.select(*keep, F.explode(words).alias("word"))
+    """One row per word of the row's word list.
+
+    The outer form keeps the optimizer from adding a test for empty lists below it, which would
+    compute the words a second time.
+    """
+    return df.select(*keep, F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
 
 
 def vocabulary(df: DataFrame, words: str) -> DataFrame:
@@ -70,7 +74,7 @@ def nearest_per_label(similarities: DataFrame, fetch: int | None = None, opposit
 def _places(similarities: DataFrame, order) -> DataFrame:
     """Places inside every label without sorting a whole label in one task."""
     all_rows = running_totals(similarities.select("label", "word", "similarity"), [F.asc("label"), *order], {"_row": None})
-    kept = checkpointed(all_rows)
+    kept = stored(all_rows)
     starts = kept.groupBy("label").agg(F.min("_row").alias("_start"))
     return lookup_join(kept, starts, ["label"], salt_on=["word"]).select(
         "label", "word", (F.col("_row") - F.col("_start")).alias("place")
@@ -101,7 +105,7 @@ def without_labels(words: DataFrame, label_order: DataFrame) -> DataFrame:
 
 def extremes(similar_words: DataFrame, dissimilar_words: DataFrame) -> DataFrame:
     """Alternate the two lists, up to the length of the shorter; a repeated word keeps its first place."""
-    a, b = checkpointed(similar_words), checkpointed(dissimilar_words)
+    a, b = stored(similar_words), stored(dissimilar_words)
     shorter = F.least(a.agg(F.count(F.lit(1))).scalar(), b.agg(F.count(F.lit(1))).scalar())
     zipped = (
         a.select((F.col("rank") * 2).alias("place"), "rank", "word")

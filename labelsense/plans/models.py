@@ -17,7 +17,15 @@ from pyspark.sql import functions as F
 
 from labelsense.functions.stopwords import ENGLISH, REVIEW_BLACKLIST, stop_words
 from labelsense.operators.evaluate import scores
-from labelsense.plans.stages import CanonicalWords, LemmaEstimator, MajorityEstimator, WordSetEstimator
+from labelsense.operators.wordsets import exploded_words
+from labelsense.plans.stages import (
+    CanonicalWords,
+    LemmaEstimator,
+    MajorityEstimator,
+    SharedIndexer,
+    SharedOneHot,
+    WordSetEstimator,
+)
 
 STRATEGIES = ["common", "similar", "dissimilar", "extremes", "low_entropy"]
 SCORERS = ["majority", *STRATEGIES]
@@ -162,9 +170,7 @@ def unindex(df: DataFrame, labels: list[str], index_col: str = "prediction", out
 
 def index_pairs(df: DataFrame, words: str, label: str) -> DataFrame:
     """One row per word of each review with word and label on one shared index (label, features)."""
-    from labelsense.plans.stages import SharedIndexer, SharedOneHot
-
-    rows = df.select(F.col(label).alias("_label"), F.explode(words).alias("_word"))
+    rows = exploded_words(df, words, F.col(label).alias("_label")).withColumnRenamed("word", "_word")
     stages = Pipeline(
         stages=[
             SharedIndexer(inputCols=["_label", "_word"], outputCols=["label", "word_index"]),

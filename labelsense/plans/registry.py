@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
 from labelsense.functions.text import canonical_words, pair_sentence, remove_stop_words, tokens
 from labelsense.operators import clean, embeddings, evaluate, labels, lemmas, profile, wordsets
-from labelsense.operators.scale import checkpointed, shared_folder
+from labelsense.operators.scale import shared_folder, stored
 from labelsense.plans import models
 from labelsense.plans.stages import (
     CanonicalWords,
@@ -37,9 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tables.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return tables.evened(table(spark, sf_dir, "documents").select(*columns))
+
+
 def words_of(spark: SparkSession, sf_dir: str, stop=()) -> DataFrame:
     """(doc_id, lang, words): the set of lower-case words of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "lang", "text")
     return docs.select("doc_id", "lang", canonical_words("text", list(stop), lower=True).alias("words"))
 
 
@@ -94,25 +98,26 @@ def similar_common_labels(spark, sf_dir):
 
 @query
 def length_summary(spark, sf_dir):
-    lengths = profile.text_lengths(table(spark, sf_dir, "documents"), "text").select("n_words")
+    lengths = profile.text_lengths(documents(spark, sf_dir, "text"), "text").select("n_words")
     return profile.length_summary(lengths, "n_words")
 
 
 @query
 def sentence_summary(spark, sf_dir):
-    lengths = profile.text_lengths(table(spark, sf_dir, "documents"), "text")
+    lengths = profile.text_lengths(documents(spark, sf_dir, "text"), "text")
     return profile.length_summary(lengths, "n_sentences", "n_words")
 
 
 @query
 def spearman(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount")
+    rows = tables.evened(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount"))
     return profile.spearman(rows, *rows.columns).withColumn("correlation", F.round("correlation", 6))
 
 
 @query
 def length_spearman(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = documents(spark, sf_dir, "doc_id", "text", "n_chars")
+    docs = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     rows = profile.text_lengths(docs, "text", "n_chars", "quality").select("n_chars", "quality", "n_words")
     return profile.spearman(rows, *rows.columns).withColumn("correlation", F.round("correlation", 6))
 
@@ -163,13 +168,13 @@ def exploded_words(spark, sf_dir):
 
 @query
 def token_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", F.size(tokens("text")).alias("n_tokens"))
 
 
 @query
 def stop_word_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     kept = remove_stop_words(tokens(F.lower("text"), marks=False), STOP_WORDS)
     return docs.select("doc_id", F.size(kept).alias("n_kept"))
 
@@ -197,7 +202,8 @@ def pair_sentences(spark, sf_dir):
 def word_vector(spark, sf_dir):
     docs = words_of(spark, sf_dir)
     encoded = WordSetEstimator(limitTo=100).fit(docs).transform(docs)
-    return encoded.select("doc_id", F.explode(F.unwrap_udt("features")["indices"]).alias("position"))
+    places = encoded.select("doc_id", F.explode_outer(F.unwrap_udt("features")["indices"]).alias("position"))
+    return places.filter(F.col("position").isNotNull())
 
 
 @query
@@ -342,7 +348,7 @@ def dissimilar_words(spark, sf_dir):
 @query
 def extreme_words(spark, sf_dir):
     words, centres, order = vectors_of(spark, sf_dir)
-    pairs = checkpointed(embeddings.similarity(words, centres))
+    pairs = stored(embeddings.similarity(words, centres))
     return wordsets.extremes(wordsets.similar(pairs, order, FETCH), wordsets.dissimilar(pairs, order, FETCH))
 
 
@@ -411,9 +417,9 @@ def vs_baseline(spark, sf_dir):
 
 @query
 def bayes_score(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = documents(spark, sf_dir, "doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
     words = docs.select(F.col("quality").cast("double").alias("label"), canonical_words("text", lower=True).alias("words"))
-    features = checkpointed(WordSetEstimator(limitTo=50).fit(words).transform(words).select("label", "features"))
+    features = stored(WordSetEstimator(limitTo=50).fit(words).transform(words).select("label", "features"))
     predictions = models.bayes().fit(features).transform(features)
     return evaluate.confusion(predictions).select(F.col("label").cast("int"), F.col("prediction").cast("int"), "n")
 
@@ -423,12 +429,12 @@ def bayes_score(spark, sf_dir):
 
 def _features(spark, sf_dir, per_label=models.FEATURES_PER_LABEL):
     """Training and test features of documents: the most common words, label = lang."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     prepared = models.pipeline("text", "lang", models.logistic(), limit=per_label * 4).getStages()[:-1]
     train, test = evaluate.split(docs, "doc_id")
     fitted = models.Pipeline(stages=prepared).fit(train)
     keep = ["doc_id", "label", "features"]
-    return checkpointed(fitted.transform(train).select(*keep)), checkpointed(fitted.transform(test).select(*keep))
+    return stored(fitted.transform(train).select(*keep)), stored(fitted.transform(test).select(*keep))
 
 
 def _metrics(spark, sf_dir, name, classifier):
@@ -467,7 +473,7 @@ def compared_models(spark, sf_dir):
 def bottleneck_metrics(spark, sf_dir):
     docs = words_of(spark, sf_dir, STOP_WORDS)
     tracked = WordSetEstimator(outputCol="tracked", limitTo=60, indexWords=False).fit(docs).transform(docs)
-    pairs = checkpointed(models.index_pairs(tracked, "tracked", "lang"))
+    pairs = stored(models.index_pairs(tracked, "tracked", "lang"))
     width = pairs.select(F.size(vector_to_array("features"))).first()[0]
     fitted = models.bottleneck(width, width, seed=17).fit(pairs)
     return evaluate.scores(fitted.transform(pairs))
@@ -477,7 +483,7 @@ def _trained_vectors(spark, sf_dir):
     """Word and label vectors learned from documents, and the order of the labels."""
     docs = words_of(spark, sf_dir, STOP_WORDS)
     tracked = WordSetEstimator(outputCol="tracked", limitTo=4000, indexWords=False).fit(docs).transform(docs)
-    vectors = checkpointed(embeddings.word_vectors(embeddings.train(tracked, "tracked", "lang")))
+    vectors = stored(embeddings.word_vectors(embeddings.train(tracked, "tracked", "lang")))
     order = labels.label_index(docs, "lang").select(
         F.col("value").alias("label"), F.col("label").cast("int").alias("label_order")
     )
@@ -493,9 +499,9 @@ def w2v_neighbours(spark, sf_dir):
 def _word_sets(spark, sf_dir, limit):
     """The first words of all five strategies, learned from documents."""
     vectors, label_vectors, order = _trained_vectors(spark, sf_dir)
-    pairs = checkpointed(embeddings.similarity(vectors, label_vectors))
+    pairs = stored(embeddings.similarity(vectors, label_vectors))
     near, far = wordsets.similar(pairs, order, 3600), wordsets.dissimilar(pairs, order, 1400)
-    near, far = checkpointed(near), checkpointed(far)
+    near, far = stored(near), stored(far)
     sets = {
         "common": wordsets.common(words_of(spark, sf_dir, STOP_WORDS), "words", limit),
         "similar": near,
@@ -508,7 +514,7 @@ def _word_sets(spark, sf_dir, limit):
 
 @query
 def trained_variants(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     train, test = evaluate.split(docs, "doc_id")
     sets = _word_sets(spark, sf_dir, models.FEATURES_PER_LABEL * 4)
     pipelines = models.variants("text", "lang", sets, 4, learn_lemmas=False)
@@ -520,7 +526,7 @@ def grid_metrics(spark, sf_dir):
     docs = words_of(spark, sf_dir, STOP_WORDS)
     rows = labels.with_label(docs, labels.label_index(docs, "lang"), "lang")
     rows = evaluate.folds(evaluate.with_class_weight(rows, "lang"), "doc_id", 3)
-    rows = checkpointed(rows.select("label", "words", "weight", "fold"))
+    rows = stored(rows.select("label", "words", "weight", "fold"))
     sets = {
         "common": tables.word_list(wordsets.common(rows, "words", 112), 112),
         "rare": tables.word_list(wordsets.common(rows, "words", 2000), 2000)[-112:],
@@ -537,7 +543,7 @@ def grid_metrics(spark, sf_dir):
 
 @query
 def scored_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     fitted = models.pipeline("text", "lang", models.logistic(), limit=56).fit(docs)
     folder = f"{shared_folder(spark)}/scorers-{uuid.uuid4().hex}"
     models.save(models.deployable(fitted), f"{folder}/common")

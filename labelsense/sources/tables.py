@@ -36,6 +36,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def evened(df: DataFrame) -> DataFrame:
+    """Deal the rows out if the scan has fewer parts than the cluster has cores.
+
+    For CPU-heavy work on text: a file of one row group would keep a single core busy. A table
+    with more parts than cores, so any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(path)
 

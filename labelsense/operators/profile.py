@@ -4,7 +4,7 @@ from functools import reduce
 from itertools import combinations
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelsense.functions.buckets import digest
@@ -178,7 +178,9 @@ def length_summary(lengths: DataFrame, *names: str) -> DataFrame:
 def average_ranks(counts: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value, n, rank): average rank of each value within its group; groups are few."""
     placed = running_totals(counts, [F.asc(group), F.asc(value)], {"_before": F.col("n")})
-    starts = placed.groupBy(group).agg(F.min("_before").alias("_start"))
+    earlier = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(group).agg(F.sum("n").alias("_rows"))
+    starts = starts.select(group, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     rank = F.col("_before") - F.col("_start") + (F.col("n") + 1) / 2
     return placed.join(F.broadcast(starts), group).select(group, value, "n", rank.alias("rank"))
 

@@ -6,9 +6,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 32 << 20
-ONE_TASK_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+ONE_TASK_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:

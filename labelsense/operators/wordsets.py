@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from labelsense.operators.scale import lookup_join, running_totals, stored
 
+# Spark limits the rows of a group before the shuffle up to this many.
+TASK_LIMIT = 1000
+
 
 def exploded_words(df: DataFrame, words: str, *keep: str) -> DataFrame:
     """One row per word of the row's word list.
@@ -59,12 +62,13 @@ def nearest_per_label(similarities: DataFrame, fetch: int | None = None, opposit
     """(label, word, place): words of each label by falling similarity, or by rising similarity.
 
     The words nearest to the negated label vector are those with the lowest similarity. Place 0
-    is the nearest. With ``fetch`` only that many per label; each task keeps no more than that
-    per label before the shuffle.
+    is the nearest. With ``fetch`` only that many per label. For a short list each task keeps no
+    more than that per label before the shuffle; a long list is cut after placing all words.
     """
     order = [F.asc("similarity") if opposite else F.desc("similarity"), F.asc("word")]
-    if fetch is None:
-        return _places(similarities, order)
+    if fetch is None or fetch > TASK_LIMIT:
+        places = _places(similarities, order)
+        return places if fetch is None else places.filter(F.col("place") < fetch)
     place = F.row_number().over(Window.partitionBy("label").orderBy(*order))
     return similarities.select("label", "word", "similarity", place.alias("_n")).filter(F.col("_n") <= fetch).select(
         "label", "word", (F.col("_n") - 1).alias("place")

@@ -14,6 +14,9 @@ TOKEN_PATTERN = f"['-]?{_CHAR}+(?:(?:[,:][0-9]|[.'-]{_CHAR}){_CHAR}*)*-?"
 _JAVA_TOKEN = f"['-]?{_CHAR}++(?:(?:[,:][0-9]|[.'-]{_CHAR}){_CHAR}*+)*-?"
 _JAVA_TOKEN_OR_MARK = _JAVA_TOKEN + r"|--|\.{2,}|''|[^\s\p{Z}]"
 
+# A sentence ends in a mark, closing quotes or brackets after it, and white space.
+SENTENCE_PATTERN = r"""(?s)\S.*?(?:[.?!]["'”’»)\]}]*(?:\s|\z)|\z)"""
+
 # Endings split off a word: it's -> it + 's, don't -> do + n't.
 CLITIC_PATTERN = r"(?i)(n't|'(?:s|m|d|ll|re|ve))$"
 LETTERS_PATTERN = r"^\p{L}+$"
@@ -61,7 +64,8 @@ def word_count(text: Column | str) -> Column:
 
 
 def sentence_count(text: Column | str) -> Column:
-    return F.size(F.sentences(text))
+    """Number of sentences; letter case plays no part, as cleaned texts are lower case."""
+    return F.regexp_count(text, F.lit(SENTENCE_PATTERN))
 
 
 def remove_stop_words(words: Column, stop: list[str]) -> Column:

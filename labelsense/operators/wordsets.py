@@ -53,9 +53,10 @@ def interleave(ranks: DataFrame, label_order: DataFrame) -> DataFrame:
     order of the labels. ``ranks``: (label, word, place); ``label_order``: (label, label_order).
     """
     placed = lookup_join(ranks, label_order, ["label"], salt_on=["word"])
-    best = placed.groupBy("word").agg(F.min(F.struct("place", "label_order")).alias("best"))
-    flat = best.select("word", F.col("best.place").alias("place"), F.col("best.label_order").alias("label_order"))
-    return ranked(flat, F.asc("place"), F.asc("label_order"), F.asc("word")).select("rank", "word")
+    # Place and label order in one number, which Spark can minimise in a hash table.
+    key = F.shiftleft(F.col("place").cast("bigint"), 31) + F.col("label_order")
+    best = placed.groupBy("word").agg(F.min(key).alias("best"))
+    return ranked(best, F.asc("best"), F.asc("word")).select("rank", "word")
 
 
 def nearest_per_label(similarities: DataFrame, fetch: int | None = None, opposite: bool = False) -> DataFrame:

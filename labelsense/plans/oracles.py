@@ -1,7 +1,7 @@
 """The same queries in SQL, for a second engine to check the results against."""
 
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
-from labelsense.functions.text import JOINED_WORDS, TOKEN_PATTERN
+from labelsense.functions.text import JOINED_WORDS, SENTENCE_PATTERN, TOKEN_PATTERN
 from labelsense.operators.lemmas import IRREGULAR_VERBS, VERB_ENDINGS
 
 
@@ -192,6 +192,9 @@ def oracle_sql() -> dict[str, str]:
         "similar_common_labels": f"""WITH {coverage("part", "p_name", 0.9)},
             p AS (SELECT p_name FROM part WHERE p_name IN (SELECT l FROM kept)), {similar_pairs("p", 10)}""",
         "length_summary": box("n_words", f"SELECT len({tokens('text', True)}) AS v FROM documents"),
+        "sentence_summary": f"""WITH w AS ({box("n_words", f"SELECT len({tokens('text', True)}) AS v FROM documents")}),
+            s AS ({box("n_sentences", f"SELECT len(regexp_extract_all(text, {quoted(SENTENCE_PATTERN)})) AS v FROM documents")})
+            SELECT * FROM w UNION ALL SELECT * FROM s""",
         "spearman": spearman("lineitem", "l_extendedprice", "l_quantity", "l_discount"),
         "length_spearman": f"""WITH x AS MATERIALIZED (SELECT n_chars, quality, len({tokens("text", True)}) AS n_words
             FROM documents LEFT JOIN labels USING (doc_id)) """

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.linalg import SparseVector, Vectors
+from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import functions as F
 
 from labelsense.operators import embeddings, evaluate
@@ -15,6 +16,7 @@ from labelsense.plans.stages import (
     WordSetEstimator,
     WordSetModel,
 )
+from labelsense.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -150,7 +152,7 @@ def test_all_classifiers(review_rows):
     assert table.filter("accuracy < 0.9").count() == 0
 
 
-def test_grid_and_metric_table(spark, review_rows):
+def test_grid_and_metric_table(spark, review_rows, tmp_path):
     words = CanonicalWords(inputCol="description", lower=True).transform(review_rows)
     rows = evaluate.folds(words, "id").withColumn("label", (F.col("variety") == "syrah").cast("double"))
     rows = evaluate.with_class_weight(rows, "variety").persist()
@@ -159,7 +161,11 @@ def test_grid_and_metric_table(spark, review_rows):
     grid = {stage.limitTo: [1, 3], stage.wordSet: list(sets.values())}
     pipeline = Pipeline(stages=[stage, models.bayes()])
     tuned = {m: evaluate.grid_search(rows, pipeline, grid, m, weight="weight", fold_col="fold") for m in ("accuracy", "f1")}
+    models.save(tuned["f1"], str(tmp_path / "tuned"))
+    tuned["f1"] = CrossValidatorModel.load(str(tmp_path / "tuned"))
     table = evaluate.metric_table(spark, tuned, sets)
+    evaluate.save_metrics(table, str(tmp_path / "metrics"))
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == 4
     found = {(r.limitTo, r.wordSet): r.accuracy for r in table.collect()}
     assert len(found) == 4
     assert found[3, "common"] > found[3, "poor"]
@@ -168,7 +174,7 @@ def test_grid_and_metric_table(spark, review_rows):
     assert evaluate.holdout(tuned["accuracy"].bestModel, rows, "weight").first().accuracy > 0.8
 
 
-def test_word2vec_and_bottleneck(spark, review_rows):
+def test_word2vec_and_bottleneck(spark, review_rows, tmp_path):
     words = CanonicalWords(inputCol="description", lower=True).transform(review_rows)
     model = embeddings.train(words, "words", "variety", vector_size=5, min_count=1, partitions=1)
     vectors = embeddings.word_vectors(model)
@@ -182,3 +188,5 @@ def test_word2vec_and_bottleneck(spark, review_rows):
     width = pairs.first().features.size
     fitted = models.bottleneck(width, width, hidden=4, epochs=5, seed=1).fit(pairs)
     assert fitted.transform(pairs).count() == pairs.count()
+    tables.write_table(evaluate.sample(pairs.withColumn("id", F.monotonically_increasing_id()), "id", 0.5), str(tmp_path))
+    assert spark.read.parquet(str(tmp_path)).first().features.size == width

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelsense.functions.stopwords import ENGLISH, REVIEW_BLACKLIST, stop_words
-from labelsense.functions.text import canonical_words, pair_sentence, replace_words, tokens, word_count
+from labelsense.functions.text import canonical_words, pair_sentence, replace_words, sentence_count, tokens, word_count
 from labelsense.operators import lemmas
 
 
@@ -31,6 +31,20 @@ def test_word_count(spark):
     assert one(spark, word_count("t"), t="Red, not white.") == 5
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("one. two! three?", 3),
+        ("it scored 3.5 points (really.) and then\nsome", 2),
+        ('he said "yes." then left', 2),
+        ("no end", 1),
+        ("  ", 0),
+    ],
+)
+def test_sentence_count(spark, text, expected):
+    assert one(spark, sentence_count("t"), t=text) == expected
+
+
 @pytest.mark.parametrize(
     ("text", "expected"),
     [

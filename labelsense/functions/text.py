@@ -2,6 +2,8 @@
 
 import json
 import zlib
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +16,13 @@ TOKEN_PATTERN = f"['-]?{_CHAR}+(?:(?:[,:][0-9]|[.'-]{_CHAR}){_CHAR}*)*-?"
 _JAVA_TOKEN = f"['-]?{_CHAR}++(?:(?:[,:][0-9]|[.'-]{_CHAR}){_CHAR}*+)*-?"
 _JAVA_TOKEN_OR_MARK = _JAVA_TOKEN + r"|--|\.{2,}|''|[^\s\p{Z}]"
 
+# The same words, of which group 1 holds those made of letters only, without their ending. The end
+# of a word is tested for the usual case first: white space, or one mark and white space.
+_JAVA_LETTER_TOKEN = (
+    r"(?i)(\p{L}++(?!'t)|\p{L}+?(?=n't))(?:n't|'(?:s|m|d|ll|re|ve))?"
+    rf"(?=[.,]?[ \n]|(?!{_CHAR}|-|[,:][0-9]|[.']{_CHAR}))|{_JAVA_TOKEN}"
+)
+
 # A sentence ends in a mark, closing quotes or brackets after it, and white space.
 SENTENCE_PATTERN = r"""(?s)\S.*?(?:[.?!]["'”’»)\]}]*(?:\s|\z)|\z)"""
 
@@ -25,37 +34,41 @@ LETTERS_PATTERN = r"^\p{L}+$"
 JOINED_WORDS = ["cannot", "gimme", "gonna", "gotta", "lemme", "wanna"]
 
 
-def _raw_tokens(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.replace(text, F.lit("--"), F.lit(" -- ")), F.lit(pattern), F.lit(0))
+def _raw_tokens(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(F.replace(text, F.lit("--"), F.lit(" -- ")), F.lit(pattern), F.lit(group))
 
 
-def _split_joined(tokens: Column) -> Column:
+def _letter_tokens(text: Column) -> Column:
+    """Distinct words made of letters only."""
+    words = F.array_remove(F.array_distinct(_raw_tokens(text, _JAVA_LETTER_TOKEN, 1)), "")
+    lowered = F.lower(text)
+    has_joined = reduce(or_, [F.contains(lowered, F.lit(word)) for word in JOINED_WORDS])
+    return F.when(has_joined, F.array_distinct(_split_joined(words))).otherwise(words)
+
+
+def _split_endings(tokens: Column) -> Column:
     def pieces(token: Column) -> Column:
-        return (
-            F.when(
-                token.contains("'"),
-                F.filter(
-                    F.array(
-                        F.regexp_replace(token, CLITIC_PATTERN, ""),
-                        F.regexp_extract(token, CLITIC_PATTERN, 1),
-                    ),
-                    lambda part: part != "",
-                ),
-            )
-            .when(
-                F.lower(token).isin(JOINED_WORDS),
-                F.array(F.substring(token, 1, 3), F.substring(token, 4, 3)),
-            )
-            .otherwise(F.array(token))
+        stem = F.regexp_replace(token, CLITIC_PATTERN, "")
+        ending = F.regexp_extract(token, CLITIC_PATTERN, 1)
+        return F.when(token.contains("'"), F.filter(F.array(stem, ending), lambda part: part != "")).otherwise(
+            F.array(token)
         )
 
     return F.flatten(F.transform(tokens, pieces))
 
 
+def _split_joined(tokens: Column) -> Column:
+    def pieces(token: Column) -> Column:
+        halves = F.array(F.substring(token, 1, 3), F.substring(token, 4, 3))
+        return F.when(F.lower(token).isin(JOINED_WORDS), halves).otherwise(F.array(token))
+
+    return F.flatten(F.transform(tokens, pieces))
+
+
 def tokens(text: Column | str, marks: bool = True) -> Column:
     """Words in text order; with ``marks`` every punctuation mark is a token of its own."""
     column = F.col(text) if isinstance(text, str) else text
-    return _split_joined(_raw_tokens(column, _JAVA_TOKEN_OR_MARK if marks else _JAVA_TOKEN))
+    return _split_joined(_split_endings(_raw_tokens(column, _JAVA_TOKEN_OR_MARK if marks else _JAVA_TOKEN)))
 
 
 def word_count(text: Column | str) -> Column:
@@ -115,15 +128,19 @@ def canonical_words(
     column = F.col(text) if isinstance(text, str) else text
     if lower:
         column = F.lower(column)
-    # The set is taken first as well: it shrinks the list and changes nothing in the result.
-    raw = F.array_distinct(_raw_tokens(column, _JAVA_TOKEN if only_alpha else _JAVA_TOKEN_OR_MARK))
-    words = remove_stop_words(_split_joined(raw), list(stop))
-    words = replace_words(words, lemmas or {})
+    # The set is taken first: it shrinks the list and changes nothing in the result.
     if only_alpha:
-        words = keep_letters_only(words)
-    if filter_after:
-        words = remove_stop_words(words, list(stop))
-    return F.array_distinct(words)
+        words = _letter_tokens(column)
+    else:
+        words = F.array_distinct(tokens(column))
+    words = remove_stop_words(words, list(stop))
+    if lemmas:
+        words = F.array_distinct(replace_words(words, lemmas))
+        if only_alpha:
+            words = keep_letters_only(words)
+        if filter_after:
+            words = remove_stop_words(words, list(stop))
+    return words
 
 
 def pair_sentence(words: Column | str, label: Column | str) -> Column:

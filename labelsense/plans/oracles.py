@@ -16,12 +16,12 @@ def in_list(words) -> str:
 def tokens(text: str, marks: bool) -> str:
     pattern = TOKEN_PATTERN + (r"|--|\.{2,}|''|[^\s\p{Z}]" if marks else "")
     clitic = r"(?i)(n't|'(?:s|m|d|ll|re|ve))$"
-    return f"""flatten(list_transform(regexp_extract_all(replace({text}, '--', ' -- '), {quoted(pattern)}),
-        lambda t: CASE
-          WHEN contains(t, '''') THEN list_filter(
+    endings = f"""flatten(list_transform(regexp_extract_all(replace({text}, '--', ' -- '), {quoted(pattern)}),
+        lambda t: CASE WHEN contains(t, '''') THEN list_filter(
             [regexp_replace(t, {quoted(clitic)}, ''), regexp_extract(t, {quoted(clitic)}, 1)], lambda p: p <> '')
-          WHEN lower(t) IN ({in_list(JOINED_WORDS)}) THEN [substr(t, 1, 3), substr(t, 4, 3)]
           ELSE [t] END))"""
+    return f"""flatten(list_transform({endings}, lambda t: CASE
+          WHEN lower(t) IN ({in_list(JOINED_WORDS)}) THEN [substr(t, 1, 3), substr(t, 4, 3)] ELSE [t] END))"""
 
 
 STOP = in_list(stop_words(REVIEW_BLACKLIST))

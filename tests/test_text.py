@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from labelsense.functions.stopwords import ENGLISH, REVIEW_BLACKLIST, stop_words
-from labelsense.functions.text import canonical_words, pair_sentence, replace_words, sentence_count, tokens, word_count
+from labelsense.functions.text import canonical_words, keep_letters_only, pair_sentence, replace_words, sentence_count, tokens, word_count
 from labelsense.operators import lemmas
 
 
@@ -58,6 +60,19 @@ def test_canonical_words_keep_letters_only(spark, text, expected):
     assert len(words) == len(expected)
 
 
+def test_letter_words_equal_filtered_tokens(spark):
+    """The fast path for letters gives the words of the general one."""
+    rng = random.Random(2)
+    parts = ["wine", "Can", "n't", "'s", "'", "'T", "-", "--", ".", ",", ":", "5", " ", " ", "\n", "é", "o", "cannot", "/", "(",
+             "’", "'ve", "d", "\u00a0", "e\u0301", "_", "?"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(4000)]
+    texts += ["don't", "can't've", "it't", "n't", "dogs' tails", "it's-", "CANNOT gonna", "a.b end.", "x,5 x,y 'tis o'brien's"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    slow = F.array_distinct(keep_letters_only(tokens("t", marks=False)))
+    both = df.select("t", F.sort_array(canonical_words("t")).alias("fast"), F.sort_array(slow).alias("slow"))
+    assert [tuple(r) for r in both.filter("fast != slow").collect()] == []
+
+
 def test_stop_words_come_back_through_their_lemma(spark):
     """Stop words go first, lemmas second; the option filters once more."""
     rules = {"stop": ["offer"], "lemmas": {"offers": "offer", "tastes": "taste"}}

@@ -196,8 +196,11 @@ def spearman(df: DataFrame, *names: str) -> DataFrame:
     nulls = df.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
     pairs = list(combinations(names, 2))
 
-    def ranking(name: str, partner: str) -> str:
-        return f"{name} where {partner}" if nulls[partner] else name
+    rankings = {}
+
+    def ranking(name: str, partner: str) -> int:
+        """Number of the ranking of a column among the rows where the partner is not null."""
+        return rankings.setdefault((name, partner if nulls[partner] else None), len(rankings))
 
     columns = [
         F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
@@ -206,7 +209,7 @@ def spearman(df: DataFrame, *names: str) -> DataFrame:
     stacked = df.select(F.inline(F.array(*columns))).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     joint = stored(stacked.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n")))
 
-    def by_pair(values: list[str]) -> Column:
+    def by_pair(values: list) -> Column:
         return F.get(F.array(*[F.lit(v) for v in values]), F.col("pair"))
 
     joint = joint.withColumns(

@@ -459,13 +459,13 @@ def forest_metrics(spark, sf_dir):
 
 @query
 def boosted_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir, "boosted", models.boosted(depth=10, maxIter=5, seed=17))
+    return _metrics(spark, sf_dir, "boosted", models.boosted(seed=17))
 
 
 @query
 def compared_models(spark, sf_dir):
     train, test = _features(spark, sf_dir)
-    chosen = {"logistic": models.logistic(), "bayes": models.bayes(), "forest": models.forest(trees=50, seed=17)}
+    chosen = {"logistic": models.logistic(), "bayes": models.bayes(), "forest": models.forest(seed=17)}
     return models.compare_models(train, test, chosen)
 
 

@@ -4,12 +4,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelsense.llm import quality_rules
+from labelsense.llm import licenses, mixing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_digests": licenses.op3_license_digests,
+    "op4_mixed_sources": mixing.op4_mixed_sources,
+    "op8_sharded_documents": sharding.op8_sharded_documents,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_license_digests": licenses.ORACLE,
+    "op4_mixed_sources": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }

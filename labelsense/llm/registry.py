@@ -4,9 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelsense.llm import licenses, mixing, quality_rules, sharding
+from labelsense.llm import licenses, mixing, ngram_join, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_license_digests": licenses.op3_license_digests,
     "op4_mixed_sources": mixing.op4_mixed_sources,
     "op8_sharded_documents": sharding.op8_sharded_documents,

@@ -57,7 +57,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word, and the byte after its last."""
     inside = ~_SEPARATOR[data]
     first = inside.copy()
@@ -70,15 +70,9 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of every word of all texts, and the first word of each text.
-
-    The bytes are places in ``text_bytes(texts)``; the last array has one entry more than texts.
-    """
-    data, offsets = text_bytes(texts)
-    starts, ends = _spans(data, offsets)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes, spans being in order and apart; ``table`` gives a byte's value."""
     hashes = np.empty(len(starts), np.uint64)
-    table = _BYTE_LOWER if lower else _BYTE
     at = 0
     while at < len(starts):
         low = starts[at]
@@ -90,6 +84,17 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
         begin, end = starts[at:upto] - low, ends[at:upto] - low
         hashes[at:upto] = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
         at = upto
+    return hashes
+
+
+def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of every word of all texts, and the first word of each text.
+
+    The bytes are places in ``text_bytes(texts)``; the last array has one entry more than texts.
+    """
+    data, offsets = text_bytes(texts)
+    starts, ends = spans(data, offsets)
+    hashes = span_hashes(data, starts, ends, _BYTE_LOWER if lower else _BYTE)
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelsense.llm import decontamination, licenses, mixing, ngram_join, quality_rules, sharding
+from labelsense.llm import decontamination, language_id, licenses, mixing, ngram_join, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_benchmark_templates": decontamination.op7_benchmark_templates,
     "op8_sharded_documents": sharding.op8_sharded_documents,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {

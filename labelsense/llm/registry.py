@@ -4,12 +4,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelsense.llm import decontamination, language_id, licenses, mixing, ngram_join, quality_rules, sharding
+from labelsense.llm import decontamination, language_id, licenses, mixing, ngram_join, quality_rules, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_license_digests": licenses.op3_license_digests,
     "op4_mixed_sources": mixing.op4_mixed_sources,
+    "op5_warc_archives": warc.op5_warc_archives,
     "op7_benchmark_templates": decontamination.op7_benchmark_templates,
     "op8_sharded_documents": sharding.op8_sharded_documents,
     "op9_quality_rules": quality_rules.op9_quality_rules,

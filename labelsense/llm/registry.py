@@ -4,9 +4,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelsense.llm import decontamination, language_id, licenses, mixing, ngram_join, quality_rules, sharding, warc
+from labelsense.llm import (
+    decontamination,
+    language_id,
+    licenses,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality_rules,
+    sharding,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_license_digests": licenses.op3_license_digests,
     "op4_mixed_sources": mixing.op4_mixed_sources,

@@ -11,6 +11,7 @@ from labelsense.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    pii,
     quality_rules,
     sharding,
     warc,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_digests": licenses.op3_license_digests,
     "op4_mixed_sources": mixing.op4_mixed_sources,
     "op5_warc_archives": warc.op5_warc_archives,
+    "op6_pii_surrogates": pii.op6_pii_surrogates,
     "op7_benchmark_templates": decontamination.op7_benchmark_templates,
     "op8_sharded_documents": sharding.op8_sharded_documents,
     "op9_quality_rules": quality_rules.op9_quality_rules,

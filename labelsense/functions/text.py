@@ -13,7 +13,8 @@ _CHAR = r"""[^\s\x0B\p{Z};@#$%&?!*()\[\]{}<>"«»“”‘’„`,:.'-]"""
 
 # A word keeps inner hyphens, apostrophes and full stops, and a comma or colon before a digit.
 TOKEN_PATTERN = f"['-]?{_CHAR}+(?:(?:[,:][0-9]|[.'-]{_CHAR}){_CHAR}*)*-?"
-_JAVA_TOKEN = f"['-]?{_CHAR}++(?:(?:[,:][0-9]|[.'-]{_CHAR}){_CHAR}*+)*-?"
+# The group is possessive: Java would otherwise recurse once per part and overflow on long words.
+_JAVA_TOKEN = f"['-]?{_CHAR}++(?:(?:[,:][0-9]|[.'-]{_CHAR}){_CHAR}*+)*+-?"
 _JAVA_TOKEN_OR_MARK = _JAVA_TOKEN + r"|--|\.{2,}|''|[^\s\p{Z}]"
 
 # The same words, of which group 1 holds those made of letters only, without their ending. The end

@@ -1,5 +1,7 @@
 """Splits, weights, scores and tuning."""
 
+from collections import Counter
+
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -34,6 +36,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, weights: DataFrame | None = None) -> DataFrame:
+    """Add the weight of the row's label; rows without a label, or with one that has no weight, are left out."""
     weights = class_weights(df, label) if weights is None else weights
     return lookup_join(df, weights, [label])
 
@@ -121,6 +124,45 @@ def grid_search(
     ).fit(df)
 
 
+def fold_scores(
+    df: DataFrame, points: list[tuple[dict, Estimator]], weight: str = "weight", fold_col: str = "fold"
+) -> DataFrame:
+    """Accuracy and f1, by rows and by weight, of each estimator, as means over the folds.
+
+    Each estimator is fitted once per fold; all four scores come from its one table of labels and
+    predictions. ``points`` pairs the values that describe an estimator, the columns of the result,
+    with it. Persist ``df`` before the call.
+    """
+    spark, rows = df.sparkSession, []
+    numbers = [row[0] for row in df.select(fold_col).distinct().orderBy(fold_col).collect()]
+    for described, estimator in points:
+        sums = [0.0] * 4
+        for number in numbers:
+            model = estimator.fit(df.filter(F.col(fold_col) != number))
+            predicted = model.transform(df.filter(F.col(fold_col) == number)).select("label", "prediction", weight)
+            pairs = predicted.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
+            sums = [a + b for a, b in zip(sums, _four_scores(pairs.collect()), strict=True)]  # at most labels squared
+        rows.append((*described.values(), *[total / len(numbers) for total in sums]))
+    columns = [*points[0][0], "accuracy", "f1", "weighted_accuracy", "weighted_f1"]
+    return spark.createDataFrame(rows, columns)
+
+
+def _four_scores(pairs: list) -> list[float]:
+    """Accuracy and f1 from rows (label, prediction, n, w), by n and then by w."""
+    found = []
+    for amount in ("n", "w"):
+        actual, predicted, hit = Counter(), Counter(), Counter()
+        for row in pairs:
+            actual[row["label"]] += row[amount]
+            predicted[row["prediction"]] += row[amount]
+            if row["label"] == row["prediction"]:
+                hit[row["label"]] += row[amount]
+        total = sum(actual.values())
+        f1 = sum(n * 2 * hit[label] / (n + predicted[label]) for label, n in actual.items())
+        found += [sum(hit.values()) / total, f1 / total]
+    return found
+
+
 def metric_table(
     spark: SparkSession, models: dict[str, CrossValidatorModel], word_sets: dict[str, list[str]] | None = None
 ) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from labelsense.functions.buckets import hash_bucket
 from labelsense.operators.scale import lookup_join, running_totals, stored
 
+#: Copies of a row that one task makes in one go.
+BLOCK = 4096
+
 
 def label_counts(df: DataFrame, *names: str) -> DataFrame:
     """Rows per value, over one column or several columns taken together."""
@@ -45,7 +48,8 @@ def balance(df: DataFrame, id_col: str, label: str, buckets: int = 4096, copy_co
 
     Row number n of a label (in the order of hash bucket and id) is repeated floor(max/c) times,
     and once more if n <= max mod c. Only ids are shuffled to find where the extra copies stop:
-    per label that is one bucket and one id in it, and the rows themselves stay where they are.
+    per label that is one bucket and one id in it. A row that is repeated more often than
+    ``BLOCK`` times is first divided into blocks, which are dealt out before they are repeated.
     """
     bucket = hash_bucket(id_col, buckets)
     ids = df.select(id_col, label, bucket.alias("_bucket")).filter(F.col(label).isNotNull())
@@ -53,7 +57,7 @@ def balance(df: DataFrame, id_col: str, label: str, buckets: int = 4096, copy_co
     totals = in_bucket.groupBy(label).agg(F.sum("_in_bucket").alias("_total"))
     target = totals.agg(F.max("_total")).scalar()
     plan = stored(
-        totals.withColumn("_times", F.floor(target / F.col("_total")).cast("int")).withColumn(
+        totals.withColumn("_times", F.floor(target / F.col("_total")).cast("bigint")).withColumn(
             "_extra", target % F.col("_total")
         )
     )
@@ -76,9 +80,15 @@ def balance(df: DataFrame, id_col: str, label: str, buckets: int = 4096, copy_co
     early = bucket < F.col("_last_bucket")
     at_edge = (bucket == F.col("_last_bucket")) & (F.col(id_col) <= F.col("_last_id"))
     times = F.col("_times") + F.when(early | at_edge, 1).otherwise(0)
+    one = F.lit(1).cast("bigint")
+    told = lookup_join(df, copies, [label], salt_on=[id_col]).withColumn("_times", times).drop("_last_bucket", "_last_id")
+    blocks = told.withColumn("_first", F.explode(F.sequence(one, F.col("_times"), F.lit(BLOCK).cast("bigint"))))
+    far = blocks.filter(F.col("_times") > BLOCK).repartition(id_col, "_first")
+    last = F.least(F.col("_times"), F.col("_first") + (BLOCK - 1))
     return (
-        lookup_join(df, copies, [label], salt_on=[id_col])
-        .withColumn(copy_col, F.explode(F.sequence(F.lit(1), times)))
-        .drop("_times", "_last_bucket", "_last_id")
+        blocks.filter(F.col("_times") <= BLOCK)
+        .unionByName(far)
+        .withColumn(copy_col, F.explode(F.sequence(F.col("_first"), last)))
+        .withColumn(copy_col, F.col(copy_col).cast("int"))
         .select(*df.columns, copy_col)
     )

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,7 +84,8 @@ def split_join(
     A key is hot if it holds more than 1/p of all rows, with p = ``pieces``; so there are fewer
     than p hot keys, and their list can be broadcast whatever the data. A hot key with the share
     s of the rows is divided into ceil(s*p) parts, and its table row is copied to each.
-    ``key_rows`` names a column of the table with the number of rows per key, if it has one.
+    ``key_rows`` names a column of the table with the number of rows per key, if it has one. Rows
+    with a null in their key match nothing; they are dealt to all parts, however many they are.
     """
     parts = pieces(rows.sparkSession)
     counts = (
@@ -94,8 +97,9 @@ def split_join(
     divided = F.ceil(F.col("_n") * parts / total).cast("int")
     hot = stored(counts.filter(F.col("_n") * parts > total).select(*on, divided.alias("_parts")))
     salt_on = salt_on or [c for c in rows.columns if c not in on] or on
+    no_key = reduce(or_, [F.col(c).isNull() for c in on])
     salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*salt_on), F.coalesce("_parts", F.lit(1))).cast("int")
+        "_salt", F.pmod(F.xxhash64(*salt_on), F.when(no_key, parts).otherwise(F.coalesce("_parts", F.lit(1)))).cast("int")
     )
     salted_table = table.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))

@@ -30,6 +30,7 @@ from labelsense.plans.stages import (
 STRATEGIES = ["common", "similar", "dissimilar", "extremes", "low_entropy"]
 SCORERS = ["majority", *STRATEGIES]
 FEATURES_PER_LABEL = 14
+NUMBER = "label_number"
 
 
 def logistic(reg_param: float = 0.01, elastic_net: float = 0.01, **params) -> LogisticRegression:
@@ -68,7 +69,8 @@ def pipeline(
     stage = LemmaEstimator if learn_lemmas else CanonicalWords
     return Pipeline(
         stages=[
-            StringIndexer(inputCol=label, outputCol="label"),
+            # A label that only new rows have gets a number of its own, and can't be predicted.
+            StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"),
             stage(inputCol=text, outputCol="words", stopWords=stop, lower=lower),
             WordSetEstimator(inputCol="words", outputCol="features", wordSet=word_set, limitTo=limit),
             classifier,
@@ -77,7 +79,16 @@ def pipeline(
 
 
 def majority_pipeline(label: str) -> Pipeline:
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="label"), MajorityEstimator()])
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"), MajorityEstimator()])
+
+
+def prepared_variants(word_sets: dict[str, list[str]], n_labels: int, **params) -> dict[str, Pipeline]:
+    """The last two stages of ``variants``, for rows that have ``label`` and ``words`` already."""
+    limit = FEATURES_PER_LABEL * n_labels
+    return {
+        name: Pipeline(stages=[WordSetEstimator(wordSet=words, limitTo=limit), logistic(**params)])
+        for name, words in word_sets.items()
+    }
 
 
 def variants(text: str, label: str, word_sets: dict[str, list[str]], n_labels: int, **options) -> dict[str, Pipeline]:
@@ -136,25 +147,26 @@ def deployable(model: PipelineModel, out: str = "predicted_label") -> PipelineMo
     return PipelineModel([*rest, back])
 
 
-class Scorer:
-    """A saved, deployable pipeline bound to the columns of the caller."""
+class Scorer(PipelineModel):
+    """A saved, deployable pipeline bound to the columns of the caller.
+
+    It is a ``PipelineModel``: it can be saved, and be a stage of another pipeline. The first stage
+    reads ``inputCol`` and the last one writes ``outputCol``; the classifier's own number goes to
+    ``label_number``, so that the caller may ask for any name.
+    """
 
     def __init__(self, inputCol: str = "review", outputCol: str = "prediction", modelPath: str | None = None):
         if modelPath is None:
             raise NotImplementedError("only trained models can score: give a modelPath")
-        model = load(modelPath)
-        # The classifier's own column is renamed, so that the caller may ask for its name.
-        self.inputCol, self.outputCol = inputCol, outputCol
-        self.model = model
-        for stage in model.stages:
-            if isinstance(stage, CanonicalWords):
-                stage.setInputCol(inputCol)
-        self.numeric = model.stages[-1].getInputCol()
-        model.stages[-1].setOutputCol("_label_name")
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        scored = self.model.transform(df)
-        return scored.drop(self.numeric).withColumnRenamed("_label_name", self.outputCol)
+        stages = load(modelPath).stages
+        stages[0].setInputCol(inputCol)
+        classifier, back = stages[-2], stages[-1]
+        if classifier.hasParam("predictionCol"):
+            classifier.setPredictionCol(NUMBER)
+        else:
+            classifier.setOutputCol(NUMBER)
+        back.setInputCol(NUMBER).setOutputCol(outputCol)
+        super().__init__(stages)
 
 
 def load_scorer(name: str, folder: str):
@@ -168,13 +180,32 @@ def unindex(df: DataFrame, labels: list[str], index_col: str = "prediction", out
     return IndexToString(inputCol=index_col, outputCol=out, labels=labels).transform(df)
 
 
-def index_pairs(df: DataFrame, words: str, label: str) -> DataFrame:
-    """One row per word of each review with word and label on one shared index (label, features)."""
-    rows = exploded_words(df, words, F.col(label).alias("_label")).withColumnRenamed("word", "_word")
+def _pairs(df: DataFrame, words: str, label: str) -> DataFrame:
+    return exploded_words(df, words, F.col(label).alias("_label")).withColumnRenamed("word", "_word")
+
+
+def pair_index(df: DataFrame, words: str, label: str) -> tuple[PipelineModel, DataFrame]:
+    """One index over the words and labels of all rows, and its pairs (label, features).
+
+    The index lives on the driver: track a word set of limited size first.
+    """
+    rows = _pairs(df, words, label)
     stages = Pipeline(
         stages=[
             SharedIndexer(inputCols=["_label", "_word"], outputCols=["label", "word_index"]),
             SharedOneHot(inputCols=["word_index"], outputCols=["features"]),
         ]
     )
-    return stages.fit(rows).transform(rows).select("label", "features")
+    fitted = stages.fit(rows)
+    return fitted, fitted.transform(rows).select("label", "features")
+
+
+def indexed_pairs(index: PipelineModel, df: DataFrame, words: str, label: str) -> DataFrame:
+    """The pairs (label, features) of other rows; those with a word or label unknown are left out."""
+    index.stages[0].setHandleInvalid("skip")
+    return index.transform(_pairs(df, words, label)).select("label", "features")
+
+
+def index_pairs(df: DataFrame, words: str, label: str) -> DataFrame:
+    """One row per word of each review with word and label on one shared index (label, features)."""
+    return pair_index(df, words, label)[1]

@@ -2,7 +2,7 @@
 
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
 from labelsense.functions.text import JOINED_WORDS, SENTENCE_PATTERN, TOKEN_PATTERN
-from labelsense.operators.lemmas import IRREGULAR_VERBS, VERB_ENDINGS
+from labelsense.operators.lemmas import IRREGULAR_VERBS, LEXICON_SHARE, VERB_ENDINGS
 
 
 def quoted(text: str) -> str:
@@ -30,11 +30,11 @@ STOP = in_list(stop_words(REVIEW_BLACKLIST))
 def words_cte(stop: bool = False) -> str:
     """docs(doc_id, lang, w): one row per document and word."""
     dropped = f"AND w NOT IN ({STOP})" if stop else ""
-    return f"""docs AS (
+    return f"""docs AS MATERIALIZED (
       SELECT DISTINCT doc_id, lang, w
       FROM (SELECT doc_id, lang, unnest({tokens("lower(text)", False)}) AS w FROM documents)
       WHERE regexp_full_match(w, '\\p{{L}}+') {dropped}),
-    df AS (SELECT w AS word, count(*) AS n FROM docs GROUP BY w),
+    df AS MATERIALIZED (SELECT w AS word, count(*) AS n FROM docs GROUP BY w),
     common AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS rank FROM df)"""
 
 
@@ -83,7 +83,9 @@ LEMMAS = (
         f"WHERE ends_with(word, '{old}') AND length(word) > {len(old)}"
         for i, (old, new) in enumerate(VERB_ENDINGS)
     )
-    + """) WHERE stem IN (SELECT word FROM df)),
+    + """) WHERE stem IN (SELECT word FROM df WHERE n >= """
+    + f"{LEXICON_SHARE}::DOUBLE"
+    + """ * (SELECT count(*) FROM documents))),
     odd(word, lemma) AS (VALUES """
     + ", ".join(f"({quoted(f)}, {quoted(b)})" for f, b in IRREGULAR_VERBS.items())
     + """),
@@ -109,7 +111,7 @@ SIMILARITY = """cen AS (
       FROM (SELECT label, d, avg(x) AS m
             FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)
             GROUP BY label, d) GROUP BY label),
-    sim AS (SELECT 'v' || vec_id AS word, 'c' || cen.label AS label,
+    sim AS (SELECT CASE WHEN vec_id < 10 THEN 'c' ELSE 'v' END || vec_id AS word, 'c' || cen.label AS label,
               round(list_cosine_similarity(embedding::DOUBLE[], cv), 9) AS s FROM embeddings, cen),
     ord AS (SELECT 'c' || label AS label, row_number() OVER (ORDER BY count(*) DESC, 'c' || label) - 1 AS lo
             FROM embeddings GROUP BY label)"""
@@ -117,7 +119,8 @@ SIMILARITY = """cen AS (
 
 def nearest(sign: str) -> str:
     return f"""WITH {SIMILARITY}, r AS (
-      SELECT label, word, {sign}s AS s, row_number() OVER (PARTITION BY label ORDER BY {sign}s DESC, word) AS rank FROM sim)
+      SELECT label, word, {sign}s AS s, row_number() OVER (PARTITION BY label ORDER BY {sign}s DESC, word) AS rank
+      FROM sim{"" if sign else " WHERE word <> label"})
     SELECT label, rank::INT AS rank, word, round(s, 6) AS similarity FROM r WHERE rank <= 10"""
 
 
@@ -125,7 +128,7 @@ def interleaved(name: str, direction: str) -> str:
     return f"""{name}_place AS (
       SELECT word, min(place * 1000000 + lo) AS k
       FROM (SELECT label, word, row_number() OVER (PARTITION BY label ORDER BY s {direction}, word) - 1 AS place FROM sim)
-      JOIN ord USING (label) WHERE place < 200 GROUP BY word),
+      JOIN ord USING (label) WHERE place < 200 AND word NOT IN (SELECT label FROM ord) GROUP BY word),
     {name} AS (SELECT row_number() OVER (ORDER BY k, word) - 1 AS rank, word FROM {name}_place)"""
 
 
@@ -144,13 +147,19 @@ def scored(source: str, weight: str = "1.0") -> str:
 
 ROUNDED = "round(accuracy, 6) AS accuracy, round(f1, 6) AS f1"
 
+def bucket(key: str, n: int, salt: str) -> str:
+    return f"(('0x' || substr(md5({key}::VARCHAR || '{salt}'), 1, 15))::BIGINT % {n})"
+
+
 BAYES = f"""WITH dw AS (
       SELECT DISTINCT doc_id, w
       FROM (SELECT doc_id, unnest({tokens("lower(text)", False)}) AS w
             FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
       WHERE regexp_full_match(w, '\\p{{L}}+')),
-    vocab AS (SELECT w FROM dw GROUP BY w ORDER BY count(*) DESC, w LIMIT 50),
-    d AS (SELECT doc_id, quality AS c FROM documents JOIN labels USING (doc_id)),
+    every AS (SELECT doc_id, quality AS c, {bucket("doc_id", 1000, "split")} < 900 AS train
+              FROM documents JOIN labels USING (doc_id)),
+    d AS (SELECT doc_id, c FROM every WHERE train),
+    vocab AS (SELECT w FROM dw JOIN d USING (doc_id) GROUP BY w ORDER BY count(*) DESC, w LIMIT 50),
     cls AS (SELECT c, count(*) AS n FROM d GROUP BY c),
     hits AS (SELECT doc_id, w FROM dw WHERE w IN (SELECT w FROM vocab)),
     p AS (SELECT cls.c, vocab.w, (count(h.doc_id) + 1.0) / (cls.n + 2.0) AS p
@@ -160,16 +169,13 @@ BAYES = f"""WITH dw AS (
     base AS (SELECT p.c, sum(ln(1 - p)) + any_value(ln(cls.n + 1.0) - ln((SELECT count(*) FROM d) + (SELECT count(*) FROM cls))) AS s
              FROM p JOIN cls USING (c) GROUP BY p.c),
     gain AS (SELECT hits.doc_id, p.c, sum(ln(p) - ln(1 - p)) AS g FROM hits JOIN p USING (w) GROUP BY hits.doc_id, p.c),
-    total AS (SELECT d.doc_id, d.c AS label, base.c AS c, base.s + coalesce(g, 0) AS s
-              FROM d CROSS JOIN base LEFT JOIN gain ON gain.doc_id = d.doc_id AND gain.c = base.c),
+    held AS (SELECT doc_id, c FROM every WHERE NOT train),
+    total AS (SELECT held.doc_id, held.c AS label, base.c AS c, base.s + coalesce(g, 0) AS s
+              FROM held CROSS JOIN base LEFT JOIN gain ON gain.doc_id = held.doc_id AND gain.c = base.c),
     best AS (SELECT doc_id, label, arg_max(c, s) AS prediction FROM total GROUP BY doc_id, label)
     SELECT label, prediction, count(*)::DOUBLE AS n FROM best GROUP BY label, prediction"""
 
 
-def bucket(key: str, n: int, salt: str) -> str:
-    return f"(('0x' || substr(md5({key}::VARCHAR || '{salt}'), 1, 15))::BIGINT % {n})"
-
-
 def oracle_sql() -> dict[str, str]:
     return {
         "label_counts": """SELECT p_name, count(*) AS count, round(count(*) / (SELECT count(*) FROM part), 6) AS fraction
@@ -270,7 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "low_entropy_words": f"""WITH {SIMILARITY},
             p AS (SELECT word, (s + 1) / sum(s + 1) OVER (PARTITION BY word) AS p FROM sim),
             e AS (SELECT word, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln((SELECT count(*) FROM cen)), 12) AS e
-                  FROM p GROUP BY word)
+                  FROM p WHERE word NOT IN (SELECT label FROM ord) GROUP BY word)
             SELECT row_number() OVER (ORDER BY e, word) - 1 AS rank, word, round(e, 6) AS entropy FROM e""",
         "split": f"""SELECT doc_id, CASE WHEN {bucket("doc_id", 1000, "split")} < 900 THEN 'train' ELSE 'test' END AS part
             FROM documents""",

@@ -181,13 +181,15 @@ def stop_word_filter(spark, sf_dir):
 
 @query
 def lemma_table(spark, sf_dir):
-    return lemmas.lemma_table(wordsets.vocabulary(words_of(spark, sf_dir), "words"))
+    docs = stored(words_of(spark, sf_dir))
+    return lemmas.lemma_table(wordsets.vocabulary(docs, "words"), lemmas.corpus_lexicon(docs, "words"))
 
 
 @query
 def lemmatised_words(spark, sf_dir):
-    words = wordsets.exploded_words(words_of(spark, sf_dir, STOP_WORDS), "words", "doc_id")
-    table_ = lemmas.lemma_table(words.select("word").distinct())
+    docs = stored(words_of(spark, sf_dir, STOP_WORDS))
+    words = wordsets.exploded_words(docs, "words", "doc_id")
+    table_ = lemmas.lemma_table(words.select("word").distinct(), lemmas.corpus_lexicon(docs, "words"))
     kept = lemmas.lemmatise(words, table_, "doc_id")
     return kept.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 
@@ -304,7 +306,9 @@ def weighted_documents(spark, sf_dir):
 def vectors_of(spark, sf_dir):
     """Vectors as words v<id>, centroids as labels c<n>, label order by frequency."""
     rows = table(spark, sf_dir, "embeddings")
-    words = rows.select(F.concat(F.lit("v"), "vec_id").alias("word"), F.col("embedding").alias("vector"))
+    # The first ten words have the names of labels, as words of a text do that name its label.
+    letter = F.when(F.col("vec_id") < 10, "c").otherwise("v")
+    words = rows.select(F.concat(letter, "vec_id").alias("word"), F.col("embedding").alias("vector"))
     named = rows.select(F.concat(F.lit("c"), "label").alias("label"), "embedding")
     order = labels.label_index(named, "label").select(
         F.col("value").alias("label"), F.col("label").cast("int").alias("label_order")
@@ -417,10 +421,13 @@ def vs_baseline(spark, sf_dir):
 
 @query
 def bayes_score(spark, sf_dir):
+    """Trained on the training part, scored on the test part."""
     docs = documents(spark, sf_dir, "doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
-    words = docs.select(F.col("quality").cast("double").alias("label"), canonical_words("text", lower=True).alias("words"))
-    features = stored(WordSetEstimator(limitTo=50).fit(words).transform(words).select("label", "features"))
-    predictions = models.bayes().fit(features).transform(features)
+    label = F.col("quality").cast("double").alias("label")
+    words = stored(docs.select("doc_id", label, canonical_words("text", lower=True).alias("words")))
+    train, test = evaluate.split(words, "doc_id")
+    stages = models.Pipeline(stages=[WordSetEstimator(limitTo=50), models.bayes()])
+    predictions = stages.fit(train).transform(test)
     return evaluate.confusion(predictions).select(F.col("label").cast("int"), F.col("prediction").cast("int"), "n")
 
 
@@ -465,23 +472,39 @@ def boosted_metrics(spark, sf_dir):
 @query
 def compared_models(spark, sf_dir):
     train, test = _features(spark, sf_dir)
-    chosen = {"logistic": models.logistic(), "bayes": models.bayes(), "forest": models.forest(seed=17)}
+    chosen = {
+        "logistic": models.logistic(), "bayes": models.bayes(), "forest": models.forest(seed=17),
+        "boosted": models.boosted(seed=17),
+    }
     return models.compare_models(train, test, chosen)
 
 
 @query
 def bottleneck_metrics(spark, sf_dir):
-    docs = words_of(spark, sf_dir, STOP_WORDS)
-    tracked = WordSetEstimator(outputCol="tracked", limitTo=60, indexWords=False).fit(docs).transform(docs)
-    pairs = stored(models.index_pairs(tracked, "tracked", "lang"))
-    width = pairs.select(F.size(vector_to_array("features"))).first()[0]
+    """Trained on balanced rows of the training part, scored on the test part."""
+    train, test = _prepared(spark, sf_dir)
+    balanced = stored(labels.balance(train, "doc_id", "lang"))
+    words = WordSetEstimator(outputCol="tracked", limitTo=500, indexWords=False).fit(balanced)
+    index, pairs = models.pair_index(words.transform(balanced), "tracked", "lang")
+    pairs = stored(pairs)
+    width = len(index.stages[0].labelsArray[0])
     fitted = models.bottleneck(width, width, seed=17).fit(pairs)
-    return evaluate.scores(fitted.transform(pairs))
+    held = models.indexed_pairs(index, words.transform(test), "tracked", "lang")
+    return _rounded(evaluate.scores(fitted.transform(held)))
+
+
+def _prepared(spark, sf_dir):
+    """Training and test rows (doc_id, lang, label, words); lemmas and labels are learned from the first."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    train, test = evaluate.split(docs, "doc_id")
+    stages = models.pipeline("text", "lang", models.logistic(), stop=STOP_WORDS).getStages()[:2]
+    fitted = models.Pipeline(stages=stages).fit(train)
+    plain = F.col("label").alias("label", metadata={})
+    return [stored(fitted.transform(rows).select("doc_id", "lang", plain, "words")) for rows in (train, test)]
 
 
-def _trained_vectors(spark, sf_dir):
-    """Word and label vectors learned from documents, and the order of the labels."""
-    docs = words_of(spark, sf_dir, STOP_WORDS)
+def _trained_vectors(docs):
+    """Word and label vectors learned from rows (lang, words), and the order of the labels."""
     tracked = WordSetEstimator(outputCol="tracked", limitTo=4000, indexWords=False).fit(docs).transform(docs)
     vectors = stored(embeddings.word_vectors(embeddings.train(tracked, "tracked", "lang")))
     order = labels.label_index(docs, "lang").select(
@@ -492,18 +515,19 @@ def _trained_vectors(spark, sf_dir):
 
 @query
 def w2v_neighbours(spark, sf_dir):
-    vectors, label_vectors, order = _trained_vectors(spark, sf_dir)
+    train, _ = _prepared(spark, sf_dir)
+    vectors, label_vectors, order = _trained_vectors(train)
     return embeddings.nearest(wordsets.without_labels(vectors, order), label_vectors, 10)
 
 
-def _word_sets(spark, sf_dir, limit):
-    """The first words of all five strategies, learned from documents."""
-    vectors, label_vectors, order = _trained_vectors(spark, sf_dir)
+def _word_sets(docs, limit):
+    """The first words of all five strategies, learned from rows (lang, words)."""
+    vectors, label_vectors, order = _trained_vectors(docs)
     pairs = stored(embeddings.similarity(vectors, label_vectors))
     near, far = wordsets.similar(pairs, order, 3600), wordsets.dissimilar(pairs, order, 1400)
     near, far = stored(near), stored(far)
     sets = {
-        "common": wordsets.common(words_of(spark, sf_dir, STOP_WORDS), "words", limit),
+        "common": wordsets.common(docs, "words", limit),
         "similar": near,
         "dissimilar": far,
         "extremes": wordsets.extremes(near, far),
@@ -514,37 +538,33 @@ def _word_sets(spark, sf_dir, limit):
 
 @query
 def trained_variants(spark, sf_dir):
-    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
-    train, test = evaluate.split(docs, "doc_id")
-    sets = _word_sets(spark, sf_dir, models.FEATURES_PER_LABEL * 4)
-    pipelines = models.variants("text", "lang", sets, 4, learn_lemmas=False)
-    return models.train_all(pipelines, train, test)[1]
+    train, test = _prepared(spark, sf_dir)
+    n_labels = train.select("label").distinct().count()
+    sets = _word_sets(train, models.FEATURES_PER_LABEL * n_labels)
+    return models.train_all(models.prepared_variants(sets, n_labels), train, test)[1]
 
 
 @query
 def grid_metrics(spark, sf_dir):
-    docs = words_of(spark, sf_dir, STOP_WORDS)
-    rows = labels.with_label(docs, labels.label_index(docs, "lang"), "lang")
-    rows = evaluate.folds(evaluate.with_class_weight(rows, "lang"), "doc_id", 3)
+    """Strategy by words per label, on folds of the training rows from which the sets were learned."""
+    train, _ = _prepared(spark, sf_dir)
+    n_labels = train.select("label").distinct().count()
+    sets = _word_sets(train, models.FEATURES_PER_LABEL * n_labels)
+    rows = evaluate.folds(evaluate.with_class_weight(train, "lang"), "doc_id", 3)
     rows = stored(rows.select("label", "words", "weight", "fold"))
-    sets = {
-        "common": tables.word_list(wordsets.common(rows, "words", 112), 112),
-        "rare": tables.word_list(wordsets.common(rows, "words", 2000), 2000)[-112:],
-    }
-    words = WordSetEstimator()
-    stages = models.Pipeline(stages=[words, models.logistic()])
-    grid = {words.limitTo: [4, 56, 112], words.wordSet: list(sets.values())}
-    tuned = {
-        metric: evaluate.grid_search(rows, stages, grid, metric, fold_col="fold", parallelism=4)
-        for metric in ("accuracy", "f1")
-    }
-    return evaluate.metric_table(spark, tuned, sets)
+    points = [
+        ({"wordSet": name, "wordsPerLabel": each}, models.Pipeline(
+            stages=[WordSetEstimator(wordSet=words, limitTo=each * n_labels), models.logistic()]))
+        for name, words in sets.items()
+        for each in (1, 7, models.FEATURES_PER_LABEL)
+    ]
+    return evaluate.fold_scores(rows, points)
 
 
 @query
 def scored_documents(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
-    fitted = models.pipeline("text", "lang", models.logistic(), limit=56).fit(docs)
+    fitted = models.pipeline("text", "lang", models.logistic(), limit=56).fit(evaluate.split(docs, "doc_id")[0])
     folder = f"{shared_folder(spark)}/scorers-{uuid.uuid4().hex}"
     models.save(models.deployable(fitted), f"{folder}/common")
     scorer = models.load_scorer("common", folder)(inputCol="text", outputCol="predicted_lang")

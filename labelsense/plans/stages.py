@@ -5,19 +5,20 @@ import json
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, StringIndexer, StringIndexerModel
-from pyspark.ml.param import Param, Params
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import functions as F
 
 from labelsense.functions.text import canonical_words
 from labelsense.operators.labels import stack_columns
-from labelsense.operators.lemmas import lemma_table
+from labelsense.operators.lemmas import LEXICON_SHARE, corpus_lexicon, lemma_table
+from labelsense.operators.scale import stored
 from labelsense.operators.wordsets import document_frequency, vocabulary
-from labelsense.plans.params import HasIndexWords, HasLimitTo, HasTopLabel, HasWordCount, HasWordRules, HasWordSet
+from labelsense.plans.params import TrackedWords, WordRules
 
-# Words and lemmas kept as stage parameters live on the driver and in every task.
-MAX_DRIVER_WORDS = 1 << 18
+# Words to track if no limit is given: as many as Spark's CountVectorizer takes.
+DEFAULT_VOCABULARY = 1 << 18
 
 
 class _InOut(HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -28,7 +29,7 @@ class _InOut(HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWrit
         return self._set(outputCol=value)
 
 
-class CanonicalWords(Transformer, _InOut, HasWordRules):
+class CanonicalWords(Transformer, _InOut, WordRules):
     """Text to its set of canonical words.
 
     ``lemmas`` maps a form to its lemma; ``LemmaEstimator`` learns it from the texts.
@@ -52,61 +53,74 @@ class CanonicalWords(Transformer, _InOut, HasWordRules):
         return self.getOrDefault(self.lemmas)
 
     def _transform(self, dataset):
+        rules = self.rules()
         return dataset.withColumn(
             self.getOutputCol(),
             canonical_words(
                 self.getInputCol(),
-                stop=self.getStopWords(),
-                only_alpha=self.getOnlyAlpha(),
-                lower=self.getLower(),
+                stop=rules["stopWords"],
+                only_alpha=rules["onlyAlpha"],
+                lower=rules["lower"],
                 lemmas=self.getLemmas(),
-                filter_after=self.getFilterAfter(),
+                filter_after=rules["filterAfter"],
             ),
         )
 
 
-class LemmaEstimator(Estimator, _InOut, HasWordRules):
+class LemmaEstimator(Estimator, _InOut, WordRules):
     """Learns the lemmas of the words in a text column; the model is ``CanonicalWords``.
 
-    ``lexicon`` is a list of base forms; without it the words of the texts serve as lexicon.
+    ``lexicon`` is a list of base forms; without it the words held by at least ``lexiconShare`` of
+    the rows serve as lexicon, which bounds the map that the model carries.
     """
 
     lexicon = Param(Params._dummy(), "lexicon", "base forms a lemma must be one of")
+    lexiconShare = Param(
+        Params._dummy(), "lexiconShare", "least share of rows that hold a base form", typeConverter=TypeConverters.toFloat
+    )
 
     @keyword_only
     def __init__(
         self, *, inputCol=None, outputCol="words", stopWords=None, onlyAlpha=True, lower=False, filterAfter=False,
-        lexicon=None,
+        lexicon=None, lexiconShare=LEXICON_SHARE,
     ):
         super().__init__()
-        self._setDefault(outputCol="words", stopWords=[], onlyAlpha=True, lower=False, filterAfter=False, lexicon=None)
+        self._setDefault(
+            outputCol="words", stopWords=[], onlyAlpha=True, lower=False, filterAfter=False, lexicon=None,
+            lexiconShare=LEXICON_SHARE,
+        )
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
-        rules = {name: self.getOrDefault(name) for name in ("stopWords", "onlyAlpha", "lower", "filterAfter")}
+        rules = self.rules()
         stage = CanonicalWords(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), **rules)
         plain = dataset.select(
             canonical_words(self.getInputCol(), rules["stopWords"], rules["onlyAlpha"], rules["lower"]).alias("words")
         )
-        lexicon = self.getOrDefault("lexicon")
-        if lexicon is not None:
-            lexicon = dataset.sparkSession.createDataFrame([(w,) for w in lexicon], "word string")
-        changed = lemma_table(vocabulary(plain, "words"), lexicon)
-        rows = changed.limit(MAX_DRIVER_WORDS + 1).collect()
-        if len(rows) > MAX_DRIVER_WORDS:
-            raise ValueError("too many lemmas for a stage parameter; use lemma_table and lemmatise on tables")
+        plain = stored(plain)
+        given, share = self.getOrDefault("lexicon"), self.getOrDefault("lexiconShare")
+        if given is None:
+            lexicon = corpus_lexicon(plain, "words", share)
+        else:
+            lexicon = dataset.sparkSession.createDataFrame([(w,) for w in given], "word string")
+        rows = lemma_table(vocabulary(plain, "words"), lexicon).collect()  # at most eight per base form
         return stage.setLemmas({row.word: row.lemma for row in sorted(rows)})
 
 
-class MajorityModel(Model, _InOut, HasTopLabel):
+class MajorityModel(Model, _InOut):
     """Predicts the same label for every row."""
 
+    topLabel = Param(Params._dummy(), "topLabel", "label given to every row")
+
     @keyword_only
     def __init__(self, *, inputCol="label", outputCol="prediction", topLabel=None):
         super().__init__()
         self._setDefault(inputCol="label", outputCol="prediction")
         self._set(**self._input_kwargs)
 
+    def getTopLabel(self):
+        return self.getOrDefault("topLabel")
+
     def getPredictionCol(self):
         return self.getOutputCol()
 
@@ -132,9 +146,14 @@ class MajorityEstimator(Estimator, _InOut):
         return MajorityModel(inputCol=label, outputCol=self.getOutputCol(), topLabel=top[0])
 
 
-class WordSetModel(Model, _InOut, HasWordSet, HasWordCount, HasIndexWords):
+class WordSetModel(Model, _InOut, TrackedWords):
     """Which of the tracked words a row holds, as a 0/1 vector or as a list in tracked order."""
 
+    wordCount = Param(Params._dummy(), "wordCount", "rows that hold each word, for a learned set")
+
+    def getWordCount(self):
+        return self.getOrDefault("wordCount")
+
     @keyword_only
     def __init__(self, *, inputCol="words", outputCol="features", wordSet=None, wordCount=None, indexWords=True):
         super().__init__()
@@ -154,8 +173,16 @@ class WordSetModel(Model, _InOut, HasWordSet, HasWordCount, HasIndexWords):
         return encoded.withColumn(out, F.transform(places, lambda i: F.get(tracked, i)))
 
 
-class WordSetEstimator(Estimator, _InOut, HasLimitTo, HasWordSet, HasIndexWords):
-    """Tracks the ``limitTo`` most common words, or the first ``limitTo`` words of a given set."""
+class WordSetEstimator(Estimator, _InOut, TrackedWords):
+    """Tracks the ``limitTo`` most common words, or the first ``limitTo`` words of a given set.
+
+    Without a limit all words of a given set, or the ``DEFAULT_VOCABULARY`` most common words; for
+    more use ``wordsets.encode``, which works on tables.
+    """
+
+    limitTo = Param(
+        Params._dummy(), "limitTo", "most words to track", lambda n: None if n is None else TypeConverters.toInt(n)
+    )
 
     @keyword_only
     def __init__(self, *, inputCol="words", outputCol="features", limitTo=None, wordSet=None, indexWords=True):
@@ -164,15 +191,12 @@ class WordSetEstimator(Estimator, _InOut, HasLimitTo, HasWordSet, HasIndexWords)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
-        limit, given = self.getLimitTo(), self.getWordSet()
+        limit, given = self.getOrDefault("limitTo"), self.getWordSet()
         if given:
             words, counts = list(dict.fromkeys(given))[:limit], None
         else:
             table = document_frequency(dataset, self.getInputCol()).orderBy(F.desc("count"), F.asc("word"))
-            bound = MAX_DRIVER_WORDS if limit is None else limit
-            top = table.limit(bound + (limit is None)).collect()
-            if limit is None and len(top) > bound:
-                raise ValueError("set limitTo: too many words for a stage parameter; or use wordsets.encode on tables")
+            top = table.limit(DEFAULT_VOCABULARY if limit is None else limit).collect()
             words, counts = [row["word"] for row in top], [row["count"] for row in top]
         return WordSetModel(
             inputCol=self.getInputCol(),

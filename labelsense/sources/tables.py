@@ -24,9 +24,15 @@ REVIEW_SCHEMA = T.StructType(
 )
 
 
-def read_reviews_csv(spark: SparkSession, path: str, schema: T.StructType | None = REVIEW_SCHEMA) -> DataFrame:
-    """CSV with a header; quoted fields may hold line breaks. ``schema=None`` infers the types."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_reviews_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = REVIEW_SCHEMA, line_breaks: bool = False
+) -> DataFrame:
+    """CSV with a header. ``schema=None`` infers the types.
+
+    With ``line_breaks`` quoted fields may hold line breaks; a file is then read by one task, as no
+    place in its middle is known to be outside of quotes.
+    """
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)

@@ -73,8 +73,8 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [(1, 'She said "dry", twice', "a\nb", 5.5), (2, "plain", None, None)]
     df = spark.createDataFrame(rows, "id long, description string, variety string, price double")
     df.write.option("header", True).option("escape", '"').csv(str(tmp_path / "csv"))
-    assert sorted(map(tuple, tables.read_reviews_csv(spark, str(tmp_path / "csv"), df.schema).collect())) == rows
-    inferred = tables.read_reviews_csv(spark, str(tmp_path / "csv"), None)
+    assert sorted(map(tuple, tables.read_reviews_csv(spark, str(tmp_path / "csv"), df.schema, line_breaks=True).collect())) == rows
+    inferred = tables.read_reviews_csv(spark, str(tmp_path / "csv"), None, line_breaks=True)
     assert dict(inferred.dtypes)["price"] == "double"
 
 

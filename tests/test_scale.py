@@ -204,3 +204,19 @@ def test_encode_matches_target_order(spark):
     target = spark.createDataFrame([(0, "red"), (1, "oak"), (2, "dry")], "rank long, word string")
     found = {r.id: r.indices for r in wordsets.encode(words, target, "id").collect()}
     assert found == {1: [0, 2], 3: [0]}
+
+
+def test_balance_of_one_row_against_many(spark):
+    """A row that is repeated 10,000 times is divided into blocks first."""
+    rows = [(i, "many") for i in range(10_000)] + [(10_000, "one"), (10_001, "three"), (10_002, "three"), (10_003, "three")]
+    out = labels.balance(spark.createDataFrame(rows, "id long, label string"), "id", "label")
+    counts = out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id", "copy").alias("d")).collect()
+    assert {r.label: (r.n, r.d) for r in counts} == dict.fromkeys(["many", "one", "three"], (10_000, 10_000))
+
+
+def test_split_join_keeps_rows_with_null_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(400)], "id long, k string")
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    joined = scale.split_join(rows, table, ["k"], "left", salt_on=["id"]).collect()
+    assert len(joined) == 400 and all((r.v is None) == (r.k is None) for r in joined)
+    assert scale.split_join(rows, table, ["k"], "left_anti", salt_on=["id"]).count() == 200

@@ -127,3 +127,14 @@ def test_lemmatised_rows_hold_each_word_once(spark):
     assert sorted(map(tuple, lemmas.lemmatise(rows, table, "id").select("id", "word").collect())) == [
         (1, "open"), (2, "open"), (2, "red"),
     ]
+
+
+@pytest.mark.parametrize("joint", [",", "-", ".", "'"])
+def test_words_of_very_many_parts(spark, joint):
+    """No length at which the patterns overflow the stack."""
+    text = joint.join(["1" if joint == "," else "ab"] * 200_000) + " end"
+    frame = spark.createDataFrame([(text,)], "text string")
+    row = frame.select(
+        F.size(tokens("text")).alias("tokens"), canonical_words("text").alias("words"), word_count("text").alias("n")
+    ).first()
+    assert row.tokens == row.n == 2 and row.words == ["end"]

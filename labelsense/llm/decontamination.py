@@ -3,9 +3,9 @@
 Every run of ``WINDOW`` tokens of a benchmark item, with numbers, names and units replaced by typed
 placeholders, is a key. The runs of every document are tested against a bitmap of the keys, whose
 size is fixed, and those that pass are hash-joined with them. Matches of one document and item at
-one distance are brought together. They count if the values under the placeholders map one to one
-from the item to the document, and if they are as many as a run of ``RUN`` tokens has, or as the
-item has.
+one distance are brought together, but for those whose own values under the placeholders do not map
+one to one from the item to the document. The rest count if all their values together map one to
+one, and if they are as many as a run of ``RUN`` tokens has, or as the item has.
 
 A window needs ``LEAST_FIXED`` tokens that are not placeholders: without words, a template says
 nothing of the question.

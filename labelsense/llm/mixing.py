@@ -61,15 +61,14 @@ def rates(
     is the expected size of the mix, that of the input if None.
     """
     spark = docs.sparkSession
-    counts = docs.groupBy(source_key(F.col(source)).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stored(docs.groupBy(source_key(F.col(source)).alias("_key")).agg(F.count(F.lit(1)).alias("_n")))
     if weights is None:
         weighed = counts.withColumn("_weight", F.pow(F.col("_n").cast("double"), F.lit(temperature)))
     else:
         given = [("n" if k is None else f"s{k}", float(w)) for k, w in weights.items()]
         weighed = counts.join(spark.createDataFrame(given, "_key string, _weight double"), "_key")
-    weighed = stored(weighed)
-    sums = weighed.agg(F.sum("_n"), F.sum("_weight")).first()
-    total, weight = float(rows if rows is not None else sums[0] or 0), float(sums[1] or 0)
+    total = float(rows if rows is not None else counts.agg(F.sum("_n")).first()[0] or 0)
+    weight = float(weighed.agg(F.sum("_weight")).first()[0] or 0)
     if weight <= 0:
         return weighed.select("_key", "_n", F.lit(0.0).alias("rate"))
     return weighed.select("_key", "_n", (F.col("_weight") / F.lit(weight) * F.lit(total) / F.col("_n")).alias("rate"))

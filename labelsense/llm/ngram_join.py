@@ -8,13 +8,17 @@ what it has plus what it can still get is below what its sizes ask for.
 1. The first block of a class is its prefix: the first n - ceil(t*n) + 1 of its n-grams in an order
    common to all. A pair that reaches the threshold t shares one of them, and its sizes are within
    the factor t, so the block is a join on n-gram and size band. The order puts n-grams that many
-   classes hold last; so a passage that stands in every document makes no pairs.
-2. The second block is the zone, the n-grams with the lowest hashes, somewhat longer than the
+   classes hold last; so a passage that stands in every document makes no pairs, unless a prefix
+   consists of such n-grams.
+2. Columns of such n-grams would make a row for every pair. Their classes are laid out in tiles of
+   at most ``TILE`` by ``TILE`` instead, and a task multiplies the whole sets of a tile and gives
+   only the links. Of the tiles that a pair shares, the one of its first common n-gram gives it.
+3. For all other pairs the second block is the zone, the n-grams with the lowest hashes, somewhat longer than the
    prefix. Its overlap, plus the smaller rest, bounds the whole overlap.
-3. The last block is everything; it gives the exact overlap of the few pairs that are left.
+4. The last block is everything; it gives the exact overlap of the few pairs that are left.
 
-No group of copies is expanded, no column is capped. ``HOT`` decides only the order of the columns,
-never the result. Two different n-grams with one 64-bit hash would count as one; expect that once
+No group of copies is expanded, no column is capped. ``HOT`` decides only the order of the columns
+and where their products are made, never the result. Two different n-grams with one 64-bit hash would count as one; expect that once
 in some billions of n-grams, with an effect of one in an overlap.
 
 Defined results: null texts and texts without words have the empty set and are linked with nothing,
@@ -38,6 +42,8 @@ from labelsense.operators.scale import lookup_join, stored
 
 #: An n-gram held by more classes than this comes late in the order of columns.
 HOT = 32
+TILE = 512
+TILE_COLUMNS = 4096
 FILTER_BITS = 24
 ARROW_ROWS = 500
 
@@ -109,17 +115,27 @@ def _counted(grams: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, hot: DataFrame, like: Likeness) -> DataFrame:
-    """(class, n, prefix) from (class, n, grams); null where ``grams`` is a zone that is too short."""
+    """(class, n, prefix, late, grams) from (class, n, grams).
+
+    ``prefix`` has the n-grams of the first block that are not hot, ``late`` those that are, null
+    for none. ``prefix`` is null where ``grams`` is a zone that is too short to tell. ``grams`` is kept where ``late``
+    has any; it is the whole set there.
+    """
     held = lookup_join(sets.select("class", F.explode("grams").alias("g")), hot, ["g"], "inner", salt_on=["class"])
-    late = held.groupBy("class").agg(F.sort_array(F.collect_list("g")).alias("late"))
-    early = F.array_except("grams", F.coalesce("late", F.array().cast("array<bigint>")))
-    joined = sets.join(late, "class", "left").withColumn("early", early)
+    found = held.groupBy("class").agg(F.sort_array(F.collect_list("g")).alias("hot"))
+    none = F.array().cast("array<bigint>")
+    joined = sets.join(found, "class", "left").withColumn("hot", F.coalesce("hot", none))
+    joined = joined.withColumn("early", F.array_except("grams", "hot"))
     length = like.prefix(F.col("n"))
-    whole = F.size("grams") == F.col("n")
-    ordered = F.when(whole, F.concat("early", F.coalesce("late", F.array().cast("array<bigint>")))).when(
-        F.size("early") >= length, F.col("early")
-    )
-    return joined.select("class", "n", F.slice(ordered, F.lit(1), length).alias("prefix"))
+    known = (F.size("grams") == F.col("n")) | (F.size("early") >= length)
+    more = F.greatest(length - F.size("early"), F.lit(0))
+    has_late = known & (more > 0)
+    return joined.select(
+        "class", "n",
+        F.when(known, F.slice("early", F.lit(1), length)).alias("prefix"),
+        F.when(has_late, F.slice("hot", F.lit(1), more)).alias("late"),
+        F.when(has_late, F.col("grams")).alias("grams"),
+    )
 
 
 def _repeated_filter(prefix: DataFrame) -> np.ndarray:
@@ -155,12 +171,17 @@ def _entries(bits) -> object:
     return emit
 
 
+def _band(like: Likeness) -> Column:
+    """Sizes within the factor of the threshold are in the same band or in neighbouring ones."""
+    return F.floor(F.log("n") / F.lit(math.log(101 / like.percent))).cast("int")
+
+
 def candidate_pairs(prefix: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b, n, m): classes that share an n-gram of their prefixes, with sizes n <= m in reach."""
+    """(a, b, n, m, shared): classes whose prefixes share n-grams that are not hot, with sizes in reach."""
     spark = prefix.sparkSession
     bits = spark.sparkContext.broadcast(_repeated_filter(prefix))
-    band = F.floor(F.log("n") / F.lit(math.log(101 / like.percent))).cast("int")
-    entries = prefix.mapInArrow(_entries(bits), "class binary, n int, g bigint").withColumn("band", band)
+    entries = prefix.select("class", "n", "prefix").mapInArrow(_entries(bits), "class binary, n int, g bigint")
+    entries = entries.withColumn("band", _band(like))
     small = entries.select(F.col("class").alias("a"), "n", "g", "band")
     large = entries.select(
         F.col("class").alias("b"), F.col("n").alias("m"), "g",
@@ -171,6 +192,86 @@ def candidate_pairs(prefix: DataFrame, like: Likeness) -> DataFrame:
     return met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _tile(like: Likeness):
+    def multiply(table: pa.Table) -> pa.Table:
+        """The links of one tile, from rows (g, side, class, n, late, grams).
+
+        Rows of side 0 are held against those of side 1, rows of side 2 against each other.
+        """
+        table = table.combine_chunks()
+        g, side = table.column("g")[0].as_py(), np.asarray(table.column("side"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        size = np.asarray(table.column("n")).astype(np.int64)
+
+        def overlaps(name: str, below: int | None = None) -> np.ndarray:
+            """Common n-grams of each row on the left and each on the right, block by block of columns."""
+            column = table.column(name).combine_chunks()
+            values = np.asarray(column.flatten())
+            row = np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets)))
+            if below is not None:
+                values, row = values[values < below], row[values < below]
+            columns, place = np.unique(values, return_inverse=True)
+            order = np.argsort(place, kind="stable")
+            place, row = place[order], row[order]
+            total = np.zeros((len(left), len(right)), np.float32)
+            for at in range(0, len(columns), TILE_COLUMNS):
+                low, high = np.searchsorted(place, [at, at + TILE_COLUMNS])
+                block = np.zeros((len(size), min(TILE_COLUMNS, len(columns) - at)), np.float32)
+                block[row[low:high], place[low:high] - at] = 1
+                total += block[left] @ block[right].T
+            return total
+
+        overlap = overlaps("grams")
+        enough = overlap * (100 + like.percent) >= like.percent * (size[left][:, None] + size[right][None, :])
+        enough &= overlaps("late", below=g) == 0  # else the tile of an earlier n-gram has the pair
+        classes = table.column("class").to_pylist()
+        rows = []
+        for i, j in np.argwhere(enough).tolist():
+            one, other = (int(size[left[i]]), classes[left[i]]), (int(size[right[j]]), classes[right[j]])
+            if side[left[i]] == 2 and one >= other:
+                continue  # a row with itself, or a pair that is there the other way round
+            (n, a), (m, b) = sorted([one, other])
+            rows.append((a, b, n, m, int(overlap[i, j])))
+        a, b, n, m, both = zip(*rows, strict=True) if rows else ((),) * 5
+        numbers = [pa.array(c, pa.int32()) for c in (n, m, both)]
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), *numbers], ["a", "b", "n", "m", "overlap"])
+
+    return multiply
+
+
+def hot_links(prefix: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b, n, m, overlap) of the pairs that share a late n-gram, from (class, n, late, whole grams).
+
+    The classes of a column and size band are dealt to blocks of about ``TILE``. Two blocks of one
+    band are a tile, and so are a block of a band and one of the next band.
+    """
+    some = prefix.filter(F.col("late").isNotNull())
+    cells = some.select("class", "n", F.explode("late").alias("g"), _band(like).alias("band"))
+    counts = cells.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    counts = stored(counts)
+    above = counts.select("g", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = counts.select("g", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    sizes = counts.join(above, ["g", "band"], "left").join(below, ["g", "band"], "left").fillna(0, ["above", "below"])
+    told = lookup_join(cells, sizes, ["g", "band"], "inner", salt_on=["class"])
+    told = told.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    own = F.col("own")
+    each = lambda count: F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda step, side, i, j: F.struct(
+        step.alias("low"), (F.lit(0) if side is None else F.lit(1)).alias("across"),
+        (F.when(i == j, 2).when(i == own, 0).otherwise(1) if side is None else F.lit(side)).alias("side"),
+        i.alias("i"), j.alias("j"),
+    )
+    tiles = F.concat(
+        F.transform(each(F.col("blocks")), lambda o: tile(F.col("band"), None, F.least(own, o), F.greatest(own, o))),
+        F.transform(each(F.col("above")), lambda o: tile(F.col("band"), 0, own, o)),
+        F.transform(each(F.col("below")), lambda o: tile(F.col("band") - 1, 1, o, own)),
+    )
+    told = told.select("g", "class", F.inline(tiles))
+    rows = told.join(some.select("class", "n", "late", "grams"), "class")
+    schema = "a binary, b binary, n int, m int, overlap int"
+    return rows.groupBy("g", "low", "across", "i", "j").applyInArrow(_tile(like), schema).distinct()
+
+
 def _with_grams(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
@@ -216,8 +317,8 @@ def jaccard_join(docs: DataFrame, like: Likeness = Likeness()) -> Joined:
     more = _counted(whole_sets(docs, like, short)).filter(F.col("times") > HOT).select("g")
     hot = stored(hot.unionByName(more).distinct())
     zones = stored(prefixes(classes, hot, like))
-    full = prefixes(stored(whole_sets(docs, like, _short(classes, zones))), hot, like)
-    prefix = stored(zones.filter(F.col("prefix").isNotNull()).unionByName(full))
+    full = stored(prefixes(stored(whole_sets(docs, like, _short(classes, zones))), hot, like))
+    prefix = zones.filter(F.col("prefix").isNotNull()).unionByName(full)
 
     pairs = stored(candidate_pairs(prefix, like))
     seen = lookup_join(classes.select("class", "grams"), _members(pairs), ["class"], "left_semi")
@@ -225,7 +326,8 @@ def jaccard_join(docs: DataFrame, like: Likeness = Likeness()) -> Joined:
     keys = lookup_join(classes.select("class", "key"), _members(pairs), ["class"], "left_semi")
     both = _with_grams(pairs, stored(whole_sets(docs, like, keys)))
     overlap = both.select("a", "b", "n", "m", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap"))
-    links = stored(overlap.filter(like.reaches(F.col("overlap"), F.col("n"), F.col("m"))))
+    links = overlap.filter(like.reaches(F.col("overlap"), F.col("n"), F.col("m")))
+    links = stored(links.unionByName(hot_links(prefix, like)).distinct())
     return Joined(sets.select("doc_id", "key", "n", "class"), classes.drop("grams"), links)
 
 
@@ -243,11 +345,13 @@ def grouped(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     joined = jaccard_join(docs, like)
     nodes = stored(components(joined.links.select("a", "b")))
     sized = joined.classes.select("class", "first_id", "rows")
-    ends = joined.links.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(
-        joined.links.select(F.col("b").alias("class"), F.col("a").alias("other"))
-    )
-    others = ends.join(sized.select(F.col("class").alias("other"), F.col("rows").alias("_rows")), "other")
-    linked = others.groupBy("class").agg(F.sum("_rows").alias("linked"))
+    near = nodes.select(F.col("node").alias("class")).join(sized, "class").select("class", "rows")
+
+    def linked_rows(end: str, other: str) -> DataFrame:
+        there = near.select(F.col("class").alias(other), F.col("rows").alias("_rows"))
+        return joined.links.join(there, other).groupBy(F.col(end).alias("class")).agg(F.sum("_rows").alias("linked"))
+
+    linked = linked_rows("a", "b").unionByName(linked_rows("b", "a")).groupBy("class").agg(F.sum("linked").alias("linked"))
     placed = nodes.withColumnRenamed("node", "class").join(sized, "class")
     lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = placed.join(lowest, "root").join(linked, "class")
@@ -276,7 +380,8 @@ def one_of_each(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     node = F.coalesce(F.col("component_id").cast("string"), F.hex("class"))
     some = rows.filter("n_shingles > 0").withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     lowest = some.withColumn("_node", node).groupBy("_node").agg(
-        F.min(F.struct("doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("rows")
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("least"),
+        F.count(F.lit(1)).alias("rows"),
     )
     many = lowest.filter("rows > 1")
     members = lookup_join(some.withColumn("_node", node), many.select("_node", "least"), ["_node"], salt_on=["doc_id"])

@@ -294,4 +294,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'model' AS name, {ROUNDED} FROM {scored("j")}
             UNION ALL SELECT 'majority' AS name, {ROUNDED} FROM {scored("b")}""",
         "bayes_score": BAYES,
+        "majority_scored_documents": f"""WITH d AS (
+              SELECT doc_id, lang, {bucket("doc_id", 1000, "split")} < 900 AS train FROM documents)
+            SELECT doc_id, (SELECT lang FROM d WHERE train GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) AS predicted_lang
+            FROM d WHERE NOT train""",
+        "csv_documents": "SELECT doc_id, md5(text) AS text_md5, lang, n_chars FROM documents",
+        "stored_metrics": f"""WITH {JUDGED}, s AS (
+              SELECT lang, source, avg((label = prediction)::INT) AS a FROM j JOIN documents USING (doc_id) GROUP BY lang, source)
+            SELECT lang, round(max(a), 6) AS best_accuracy, round(avg(a), 6) AS mean_accuracy FROM s GROUP BY lang""",
     }

@@ -12,7 +12,6 @@ from labelsense.operators import clean, embeddings, evaluate, labels, lemmas, pr
 from labelsense.operators.scale import shared_folder, stored
 from labelsense.plans import models
 from labelsense.plans.stages import (
-    CanonicalWords,
     MajorityEstimator,
     SharedIndexer,
     SharedOneHot,
@@ -569,3 +568,35 @@ def scored_documents(spark, sf_dir):
     models.save(models.deployable(fitted), f"{folder}/common")
     scorer = models.load_scorer("common", folder)(inputCol="text", outputCol="predicted_lang")
     return scorer.transform(docs.select("doc_id", "text")).select("doc_id", "predicted_lang")
+
+
+@query
+def majority_scored_documents(spark, sf_dir):
+    """The majority scorer, learned from the training part, saved, loaded and used on the test part."""
+    train, test = evaluate.split(documents(spark, sf_dir, "doc_id", "text", "lang"), "doc_id")
+    folder = f"{shared_folder(spark)}/scorers-{uuid.uuid4().hex}"
+    models.save(models.deployable(models.majority_pipeline("lang").fit(train)), f"{folder}/majority")
+    scorer = models.load_scorer("majority", folder)(inputCol="text", outputCol="predicted_lang")
+    return scorer.transform(test.select("doc_id", "text")).select("doc_id", "predicted_lang")
+
+
+@query
+def csv_documents(spark, sf_dir):
+    """Documents written as CSV and read again, line breaks, quotes and all."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "n_chars")
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    tables.write_reviews_csv(docs, path)
+    back = tables.read_reviews_csv(spark, path, docs.schema, line_breaks=True)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "n_chars")
+
+
+@query
+def stored_metrics(spark, sf_dir):
+    """Scores of a rule per source, written to the metrics sink, read back, and sliced by language."""
+    rows = judged(spark, sf_dir).join(documents(spark, sf_dir, "doc_id", "lang", "source"), "doc_id")
+    hit = (F.col("label") == F.col("prediction")).cast("int")
+    per_source = rows.groupBy("lang", "source").agg(F.avg(hit).alias("accuracy"))
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    evaluate.save_metrics(per_source, path)
+    table_ = evaluate.metric_slice(tables.read_table(spark, path), "lang", "accuracy")
+    return table_.select("lang", *[F.round(f"{kind}_accuracy", 6).alias(f"{kind}_accuracy") for kind in ("best", "mean")])

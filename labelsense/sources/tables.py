@@ -38,6 +38,12 @@ def read_reviews_csv(
     return reader.schema(schema).csv(path)
 
 
+def write_reviews_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; every text is quoted and quotes are doubled, so that it is read back as it was."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -114,25 +114,41 @@ def _counted(grams: DataFrame) -> DataFrame:
     return grams.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("times"))
 
 
+def _hot_of(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """(class, g): the hot n-grams of each class."""
+    return lookup_join(sets.select("class", F.explode("grams").alias("g")), hot, ["g"], "inner", salt_on=["class"])
+
+
+def _too_short(like: Likeness, length: Column, n_hot: Column) -> Column:
+    """Whether a zone of ``length`` n-grams, of which ``n_hot`` are hot, doesn't hold the whole prefix."""
+    return (length < F.col("n")) & (length - n_hot < like.prefix(F.col("n")))
+
+
+def short_zones(classes: DataFrame, hot: DataFrame, like: Likeness) -> DataFrame:
+    """(class, key) of the classes whose whole sets are needed; n-grams themselves are not shuffled."""
+    counts = _hot_of(classes, hot).groupBy("class").agg(F.count(F.lit(1)).alias("n_hot"))
+    slim = classes.select("class", "key", "n", F.size("grams").alias("length"))
+    return stored(slim.join(counts, "class").filter(_too_short(like, F.col("length"), F.col("n_hot"))).select("class", "key"))
+
+
 def prefixes(sets: DataFrame, hot: DataFrame, like: Likeness) -> DataFrame:
     """(class, n, prefix, late, grams) from (class, n, grams).
 
     ``prefix`` has the n-grams of the first block that are not hot, ``late`` those that are, null
-    for none. ``prefix`` is null where ``grams`` is a zone that is too short to tell. ``grams`` is kept where ``late``
-    has any; it is the whole set there.
+    for none. ``prefix`` is null where ``grams`` is a zone that is too short to tell. ``grams`` is
+    kept where ``late`` has any; it is the whole set there.
     """
-    held = lookup_join(sets.select("class", F.explode("grams").alias("g")), hot, ["g"], "inner", salt_on=["class"])
-    found = held.groupBy("class").agg(F.sort_array(F.collect_list("g")).alias("hot"))
+    found = _hot_of(sets, hot).groupBy("class").agg(F.sort_array(F.collect_list("g")).alias("hot"))
     none = F.array().cast("array<bigint>")
-    joined = sets.join(found, "class", "left").withColumn("hot", F.coalesce("hot", none))
-    joined = joined.withColumn("early", F.array_except("grams", "hot"))
+    joined = lookup_join(sets, found, ["class"], "left").withColumn("hot", F.coalesce("hot", none))
+    early = F.array_except("grams", "hot")
     length = like.prefix(F.col("n"))
-    known = (F.size("grams") == F.col("n")) | (F.size("early") >= length)
-    more = F.greatest(length - F.size("early"), F.lit(0))
+    known = ~_too_short(like, F.size("grams"), F.size("hot"))
+    more = F.greatest(length - F.size("grams") + F.size("hot"), F.lit(0))
     has_late = known & (more > 0)
     return joined.select(
         "class", "n",
-        F.when(known, F.slice("early", F.lit(1), length)).alias("prefix"),
+        F.when(known, F.slice(early, F.lit(1), length)).alias("prefix"),
         F.when(has_late, F.slice("hot", F.lit(1), more)).alias("late"),
         F.when(has_late, F.col("grams")).alias("grams"),
     )
@@ -303,37 +319,34 @@ class Joined:
 def jaccard_join(docs: DataFrame, like: Likeness = Likeness()) -> Joined:
     """All links between unequal sets, as pairs of classes, and the class of each row."""
     docs = docs.select("doc_id", "text")
-    sets = stored(_read_sets(_text_key(docs), like, False))
-    classes = sets.filter("n > 0").groupBy("class", "n").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.any_value("key").alias("key"),
-        F.any_value("grams").alias("grams"),
-    )
-    classes = stored(classes)
+    # The row number is stored with the row, so it is the same whenever the table is read.
+    sets = stored(_read_sets(_text_key(docs), like, False).withColumn("row", F.monotonically_increasing_id()))
+    found = sets.filter("n > 0").groupBy("class", "n").agg(
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("key"), F.min("row").alias("row")
+    )
+    found = stored(found)
+    # One row per class, with its zone; the zones stay where they are if the list is short.
+    classes = lookup_join(sets.select("row", "grams"), found.select("row", "class", "n", "key"), ["row"], "inner")
 
     # Columns that many classes hold: first in the zones, then in the whole sets of those classes
     # whose zone consists of them.
     hot = stored(_counted(classes).filter(F.col("times") > HOT).select("g"))
-    short = _short(classes, prefixes(classes, hot, like))
-    more = _counted(whole_sets(docs, like, short)).filter(F.col("times") > HOT).select("g")
+    more = _counted(whole_sets(docs, like, short_zones(classes, hot, like))).filter(F.col("times") > HOT).select("g")
     hot = stored(hot.unionByName(more).distinct())
-    zones = stored(prefixes(classes, hot, like))
-    full = stored(prefixes(stored(whole_sets(docs, like, _short(classes, zones))), hot, like))
-    prefix = zones.filter(F.col("prefix").isNotNull()).unionByName(full)
+    short = short_zones(classes, hot, like)
+    full = stored(prefixes(stored(whole_sets(docs, like, short)), hot, like))
+    zones = stored(prefixes(classes.select("class", "n", "grams"), hot, like).filter(F.col("prefix").isNotNull()))
+    prefix = zones.unionByName(full)
 
     pairs = stored(candidate_pairs(prefix, like))
-    seen = lookup_join(classes.select("class", "grams"), _members(pairs), ["class"], "left_semi")
+    seen = stored(lookup_join(classes.select("class", "grams"), _members(pairs), ["class"], "left_semi"))
     pairs = stored(_with_grams(pairs, seen).filter(_zone_bound(like)).select("a", "b", "n", "m"))
-    keys = lookup_join(classes.select("class", "key"), _members(pairs), ["class"], "left_semi")
+    keys = lookup_join(found.select("class", "key"), _members(pairs), ["class"], "left_semi")
     both = _with_grams(pairs, stored(whole_sets(docs, like, keys)))
     overlap = both.select("a", "b", "n", "m", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap"))
     links = overlap.filter(like.reaches(F.col("overlap"), F.col("n"), F.col("m")))
     links = stored(links.unionByName(hot_links(prefix, like)).distinct())
-    return Joined(sets.select("doc_id", "key", "n", "class"), classes.drop("grams"), links)
-
-
-def _short(classes: DataFrame, prefix: DataFrame) -> DataFrame:
-    short = prefix.filter(F.col("prefix").isNull()).select("class")
-    return stored(lookup_join(classes.select("class", "key"), short, ["class"], "left_semi"))
+    return Joined(sets.select("doc_id", "key", "n", "class"), found.drop("row"), links)
 
 
 def grouped(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:

@@ -198,8 +198,8 @@ def earlier_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     one_self = selves.groupBy("variant").agg(F.min("at").alias("earlier"))
     longer = lookup_join(cut, one_self, ["variant"], "inner", salt_on=["line", "place"])
     shorter = selves.join(cut.groupBy("variant").agg(F.min("at").alias("earlier")), "variant")
-    pairs = [t.filter(F.col("earlier") < F.col("at")).select(F.col("at.line").alias("line"), "earlier") for t in (replaced, longer, shorter)]
-    pairs = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+    own_and_earlier = lambda t: t.filter(F.col("earlier") < F.col("at")).select(F.col("at.line").alias("line"), "earlier")
+    pairs = own_and_earlier(replaced).unionByName(own_and_earlier(longer)).unionByName(own_and_earlier(shorter)).distinct()
 
     texts = own.groupBy("line").agg(F.any_value("words").alias("words"))
     other = texts.select(F.col("line").alias("other"), F.col("words").alias("other_words"))

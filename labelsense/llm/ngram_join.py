@@ -9,10 +9,12 @@ what it has plus what it can still get is below what its sizes ask for.
    common to all. A pair that reaches the threshold t shares one of them, and its sizes are within
    the factor t, so the block is a join on n-gram and size band. The order puts n-grams that many
    classes hold last; so a passage that stands in every document makes no pairs, unless a prefix
-   consists of such n-grams.
+   consists of such n-grams. What two prefixes share, plus the rest of the set whose prefix ends
+   first, bounds the overlap.
 2. Columns of such n-grams would make a row for every pair. Their classes are laid out in tiles of
-   at most ``TILE`` by ``TILE`` instead, and a task multiplies the whole sets of a tile and gives
-   only the links. Of the tiles that a pair shares, the one of its first common n-gram gives it.
+   at most ``TILE`` by ``TILE`` instead. A task multiplies the whole sets of a tile, counts the links
+   of each class, and gives one row per class with its count and its component in the tile. A pair
+   counts in the tile of its first common n-gram only, and not at all if the join above has it.
 3. For all other pairs the second block is the zone, the n-grams with the lowest hashes, somewhat longer than the
    prefix. Its overlap, plus the smaller rest, bounds the whole overlap.
 4. The last block is everything; it gives the exact overlap of the few pairs that are left.
@@ -180,9 +182,8 @@ def _entries(bits) -> object:
             row = np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))
             keep = table[g & ((1 << FILTER_BITS) - 1)] == 1
             row = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("class").take(row), batch.column("n").take(row), pa.array(g[keep])], ["class", "n", "g"]
-            )
+            kept = ["class", "n", "rest", "last"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in kept], pa.array(g[keep])], [*kept, "g"])
 
     return emit
 
@@ -193,31 +194,41 @@ def _band(like: Likeness) -> Column:
 
 
 def candidate_pairs(prefix: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b, n, m, shared): classes whose prefixes share n-grams that are not hot, with sizes in reach."""
+    """(a, b, n, m): classes whose prefixes share enough n-grams that are not hot, with sizes in reach."""
     spark = prefix.sparkSession
     bits = spark.sparkContext.broadcast(_repeated_filter(prefix))
-    entries = prefix.select("class", "n", "prefix").mapInArrow(_entries(bits), "class binary, n int, g bigint")
+    # Up to its last n-gram, a prefix has all of the class that are not hot; to the end, if it has late ones.
+    last = F.when(F.col("late").isNotNull(), F.lit((1 << 63) - 1)).otherwise(F.array_max("prefix"))
+    ranged = prefix.select("class", "n", "prefix", (F.col("n") - F.size("prefix")).alias("rest"), last.alias("last"))
+    entries = ranged.mapInArrow(_entries(bits), "class binary, n int, rest int, last bigint, g bigint")
     entries = entries.withColumn("band", _band(like))
-    small = entries.select(F.col("class").alias("a"), "n", "g", "band")
+    small = entries.select(F.col("class").alias("a"), "n", F.col("rest").alias("rest_a"), F.col("last").alias("last_a"), "g", "band")
     large = entries.select(
-        F.col("class").alias("b"), F.col("n").alias("m"), "g",
+        F.col("class").alias("b"), F.col("n").alias("m"), F.col("rest").alias("rest_b"), F.col("last").alias("last_b"), "g",
         F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"),
     )
     first = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     met = small.join(large, ["g", "band"]).filter(first & (F.col("n") * 100 >= F.col("m") * like.percent))
-    return met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = met.groupBy("a", "b", "n", "m", "rest_a", "last_a", "rest_b", "last_b").agg(F.count(F.lit(1)).alias("shared"))
+    # What ends first shares no more of its prefix than was counted, so the rest bounds the overlap.
+    rest = F.least(
+        F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")), F.when(F.col("last_b") <= F.col("last_a"), F.col("rest_b"))
+    )
+    return pairs.filter(like.reaches(F.col("shared") + rest, F.col("n"), F.col("m"))).select("a", "b", "n", "m")
 
 
 def _tile(like: Likeness):
     def multiply(table: pa.Table) -> pa.Table:
-        """The links of one tile, from rows (g, side, class, n, late, grams).
+        """The links of one tile, from rows (g, side, class, n, rows, prefix, late, grams).
 
-        Rows of side 0 are held against those of side 1, rows of side 2 against each other.
+        Rows of side 0 are held against those of side 1, rows of side 2 against each other. There is
+        a result row per class that has links, not per link: the number of rows of the classes that
+        it is linked with, and a class of its component in the tile.
         """
         table = table.combine_chunks()
         g, side = table.column("g")[0].as_py(), np.asarray(table.column("side"))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        size = np.asarray(table.column("n")).astype(np.int64)
+        size, rows = (np.asarray(table.column(c)).astype(np.int64) for c in ("n", "rows"))
 
         def overlaps(name: str, below: int | None = None) -> np.ndarray:
             """Common n-grams of each row on the left and each on the right, block by block of columns."""
@@ -238,30 +249,35 @@ def _tile(like: Likeness):
             return total
 
         overlap = overlaps("grams")
-        enough = overlap * (100 + like.percent) >= like.percent * (size[left][:, None] + size[right][None, :])
-        enough &= overlaps("late", below=g) == 0  # else the tile of an earlier n-gram has the pair
-        classes = table.column("class").to_pylist()
-        rows = []
-        for i, j in np.argwhere(enough).tolist():
-            one, other = (int(size[left[i]]), classes[left[i]]), (int(size[right[j]]), classes[right[j]])
-            if side[left[i]] == 2 and one >= other:
-                continue  # a row with itself, or a pair that is there the other way round
-            (n, a), (m, b) = sorted([one, other])
-            rows.append((a, b, n, m, int(overlap[i, j])))
-        a, b, n, m, both = zip(*rows, strict=True) if rows else ((),) * 5
-        numbers = [pa.array(c, pa.int32()) for c in (n, m, both)]
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), *numbers], ["a", "b", "n", "m", "overlap"])
+        linked = overlap * (100 + like.percent) >= like.percent * (size[left][:, None] + size[right][None, :])
+        # The tile of an earlier common n-gram, or the join on those that are not hot, has the others.
+        linked &= (overlaps("late", below=g) == 0) & (overlaps("prefix") == 0) & (left[:, None] != right[None, :])
+        count = np.zeros(len(size), np.int64)
+        count[left] += linked @ rows[right]
+        if not (side == 2).all():
+            count[right] += linked.T @ rows[left]
+        root = np.arange(len(size))
+        while True:
+            before = root.copy()
+            root[left] = np.minimum(root[left], np.where(linked, root[right][None, :], len(size)).min(axis=1, initial=len(size)))
+            root[right] = np.minimum(root[right], np.where(linked, root[left][:, None], len(size)).min(axis=0, initial=len(size)))
+            if (root == before).all():
+                break
+        held = np.flatnonzero(count)
+        classes = table.column("class")
+        return pa.table([classes.take(held), classes.take(root[held]), pa.array(count[held])], ["class", "root", "linked"])
 
     return multiply
 
 
-def hot_links(prefix: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b, n, m, overlap) of the pairs that share a late n-gram, from (class, n, late, whole grams).
+def hot_links(prefix: DataFrame, rows: DataFrame, like: Likeness) -> DataFrame:
+    """(class, root, linked) from the pairs that share late n-grams but no other of their prefixes.
 
-    The classes of a column and size band are dealt to blocks of about ``TILE``. Two blocks of one
-    band are a tile, and so are a block of a band and one of the next band.
+    ``prefix``: (class, n, prefix, late, whole grams); ``rows``: (class, rows). The classes of a
+    column and size band are dealt to blocks of about ``TILE``. Two blocks of one band are a tile,
+    and so are a block of a band and one of the next band.
     """
-    some = prefix.filter(F.col("late").isNotNull())
+    some = stored(prefix.filter(F.col("late").isNotNull()).join(rows, "class"))
     cells = some.select("class", "n", F.explode("late").alias("g"), _band(like).alias("band"))
     counts = cells.groupBy("g", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     counts = stored(counts)
@@ -283,9 +299,8 @@ def hot_links(prefix: DataFrame, like: Likeness) -> DataFrame:
         F.transform(each(F.col("below")), lambda o: tile(F.col("band") - 1, 1, o, own)),
     )
     told = told.select("g", "class", F.inline(tiles))
-    rows = told.join(some.select("class", "n", "late", "grams"), "class")
-    schema = "a binary, b binary, n int, m int, overlap int"
-    return rows.groupBy("g", "low", "across", "i", "j").applyInArrow(_tile(like), schema).distinct()
+    laid = told.join(some, "class")
+    return laid.groupBy("g", "low", "across", "i", "j").applyInArrow(_tile(like), "class binary, root binary, linked bigint")
 
 
 def _with_grams(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -309,15 +324,18 @@ def _members(pairs: DataFrame) -> DataFrame:
 
 @dataclass
 class Joined:
-    """``rows``: (doc_id, key, n, class); ``classes``: (class, n, first_id, rows, key); ``links``: (a, b, n, m, overlap)."""
+    """``rows``: (doc_id, key, n, class); ``classes``: (class, n, first_id, rows, key); ``links``:
+    (a, b, n, m, overlap), each pair once, but for those of ``stars``: (class, root, linked), which says
+    that a class is in one component with the root, and linked with so many rows more."""
 
     rows: DataFrame
     classes: DataFrame
     links: DataFrame
+    stars: DataFrame
 
 
 def jaccard_join(docs: DataFrame, like: Likeness = Likeness()) -> Joined:
-    """All links between unequal sets, as pairs of classes, and the class of each row."""
+    """The links between unequal sets, and the class of each row."""
     docs = docs.select("doc_id", "text")
     # The row number is stored with the row, so it is the same whenever the table is read.
     sets = stored(_read_sets(_text_key(docs), like, False).withColumn("row", F.monotonically_increasing_id()))
@@ -344,9 +362,9 @@ def jaccard_join(docs: DataFrame, like: Likeness = Likeness()) -> Joined:
     keys = lookup_join(found.select("class", "key"), _members(pairs), ["class"], "left_semi")
     both = _with_grams(pairs, stored(whole_sets(docs, like, keys)))
     overlap = both.select("a", "b", "n", "m", F.size(F.array_intersect("grams_a", "grams_b")).alias("overlap"))
-    links = overlap.filter(like.reaches(F.col("overlap"), F.col("n"), F.col("m")))
-    links = stored(links.unionByName(hot_links(prefix, like)).distinct())
-    return Joined(sets.select("doc_id", "key", "n", "class"), found.drop("row"), links)
+    links = stored(overlap.filter(like.reaches(F.col("overlap"), F.col("n"), F.col("m"))))
+    stars = stored(hot_links(prefix, found.select("class", "rows"), like))
+    return Joined(sets.select("doc_id", "key", "n", "class"), found.drop("row"), links, stars)
 
 
 def grouped(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -356,7 +374,8 @@ def grouped(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     that the row is linked with directly. ``key`` is a hash of the text.
     """
     joined = jaccard_join(docs, like)
-    nodes = stored(components(joined.links.select("a", "b")))
+    stars = joined.stars.select(F.col("class").alias("a"), F.col("root").alias("b"))
+    nodes = stored(components(joined.links.select("a", "b").unionByName(stars)))
     sized = joined.classes.select("class", "first_id", "rows")
     near = nodes.select(F.col("node").alias("class")).join(sized, "class").select("class", "rows")
 
@@ -364,7 +383,8 @@ def grouped(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
         there = near.select(F.col("class").alias(other), F.col("rows").alias("_rows"))
         return joined.links.join(there, other).groupBy(F.col(end).alias("class")).agg(F.sum("_rows").alias("linked"))
 
-    linked = linked_rows("a", "b").unionByName(linked_rows("b", "a")).groupBy("class").agg(F.sum("linked").alias("linked"))
+    linked = linked_rows("a", "b").unionByName(linked_rows("b", "a")).unionByName(joined.stars.select("class", "linked"))
+    linked = linked.groupBy("class").agg(F.sum("linked").alias("linked"))
     placed = nodes.withColumnRenamed("node", "class").join(sized, "class")
     lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = placed.join(lowest, "root").join(linked, "class")

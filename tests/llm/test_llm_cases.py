@@ -423,3 +423,16 @@ def test_stage_cases(spark, docs, empty, benchmark, tmp_path, name):
     if name != "sharding":
         assert out.columns == docs.columns and {r.kept for r in out.collect()} == {"mine"}
     assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_characters_across_blocks(monkeypatch):
+    texts = ["The old House.", "", "  ÄÖ 12 x", "abc" * 20, "..."]
+    codes, starts = language_id.characters(texts)
+    assert starts.tolist() == [0, 14, 14, 19, 80, 80]
+    whole = [(t.tolist(), rows.tolist()) for t, rows in language_id.histories(codes, starts)]
+    monkeypatch.setattr(language_id, "BATCH_CHARS", 7)
+    parts = [(t.tolist(), rows.tolist()) for t, rows in language_id.histories(codes, starts)]
+    assert len(whole) == 1 and len(parts) == 12
+    assert whole[0][0] == [x for t, _ in parts for x in t]
+    assert whole[0][1] == [[x for _, rows in parts for x in rows[k]] for k in range(4)]
+    assert bytes(whole[0][1][0][:4]) == b"the\0" and whole[0][1][1][:5] == [0, *b"the\0"[:4]]

@@ -54,6 +54,9 @@ PATTERN = "|".join([
     rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\s(?:{_NAME}\s)?{_NAME}(?!\p{{L}})",
 ])
 
+#: What a text with an entity holds at least; a cheap test before the patterns are tried everywhere.
+HINT = rf"[0-9@=:]|(?<!\p{{L}})(?:{MALE}|{FEMALE}|{NEUTRAL})\.?\s\p{{Lu}}"
+
 # Syllables for names, by script; endings of given names by gender.
 SYLLABLES = {
     "latin": "ba da fe ga ho ja ka lo ma ne pi ra sa to vi zu".split(),
@@ -67,6 +70,10 @@ ENDINGS = {
 }
 
 
+def has_entity(text: Column) -> Column:
+    return text.rlike(HINT) & text.rlike(PATTERN)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -230,7 +237,10 @@ def _rendered(match: Column, known: Column) -> Column:
     secret = _secret_value(match)
     start = F.substring(match, F.lit(1), F.length(match) - F.length(secret))
     account = F.array_join(  # blanks after every fourth character, if the match has them
-        F.transform(F.sequence(F.lit(0), F.floor((F.length(found) - 1) / 4).cast("int")), lambda i: F.substring(found, i * 4 + 1, F.lit(4))),
+        F.transform(
+            F.sequence(F.lit(0), F.floor((F.length(found) - 1) / 4).cast("int")),
+            lambda i: F.substring(found, i * 4 + 1, F.lit(4)),
+        ),
         " ",
     )
     words = F.split(match, r"\s+")
@@ -263,7 +273,7 @@ def replaced(docs: DataFrame, key: str = KEY, id_: str = "doc_id", text: str = "
     names = [f"_in{i}" for i in range(len(docs.columns))]
     body, own_id = names[docs.columns.index(text)], names[docs.columns.index(id_)]
     held = docs.toDF(*names)
-    some = stored(held.filter(F.col(body).rlike(PATTERN)))
+    some = stored(held.filter(has_entity(F.col(body))))
     keyed = some.withColumns({
         "_id": F.coalesce(F.col(own_id).cast("string"), F.lit("null")),
         "_key": F.xxhash64(body),
@@ -290,7 +300,7 @@ def replaced(docs: DataFrame, key: str = KEY, id_: str = "doc_id", text: str = "
         count.cast("bigint").alias("n_entities"),
     ]
     changed = renewed.select(*columns(F.col("_new"), F.size("_matches")))
-    same = held.filter(F.col(body).isNull() | ~F.col(body).rlike(PATTERN)).select(*columns(F.col(body), F.lit(0)))
+    same = held.filter(F.col(body).isNull() | ~has_entity(F.col(body))).select(*columns(F.col(body), F.lit(0)))
     return same.unionByName(changed)
 
 

@@ -1,11 +1,13 @@
 """Benchmark decontamination by templates, which finds a question with its numbers and names changed.
 
 Every run of ``WINDOW`` tokens of a benchmark item, with numbers, names and units replaced by typed
-placeholders, is a key. The runs of every document are tested against a bitmap of the keys, whose
-size is fixed, and those that pass are hash-joined with them. Matches of one document and item at
-one distance are brought together, but for those whose own values under the placeholders do not map
-one to one from the item to the document. The rest count if all their values together map one to
-one, and if they are as many as a run of ``RUN`` tokens has, or as the item has.
+placeholders, is a key; a second key, if it is another one, has the loose types, by which a name that
+opens a sentence or a run is a placeholder as well. The runs of every document are tested against a
+bitmap of the keys, whose size is fixed, and those that pass are hash-joined with them. Matches of
+one document and item at one distance are brought together, but for those whose own values under the
+placeholders do not map one to one from the item to the document. The rest count if all their values
+together map one to one, and if they are as many as a run of ``RUN`` tokens has, or as the item has;
+where the loose ones make them differ, those of the first key count alone.
 
 A window needs ``LEAST_FIXED`` tokens that are not placeholders: without words, a template says
 nothing of the question.
@@ -29,7 +31,8 @@ from labelsense.operators.scale import lookup_join, stored
 WINDOW, LEAST_FIXED, RUN = 8, 5, 13
 FILTER_BITS = 24
 ARROW_ROWS = 500
-_WINDOWS = "id bigint, key bigint, place int, windows int, template bigint, slots array<bigint>"
+_WINDOWS = "id bigint, key bigint, place int, windows int, form int, template bigint, slots array<bigint>"
+_STRICT, _LOOSE = 0, 1
 
 
 def _windows(bits=None):
@@ -42,21 +45,26 @@ def _windows(bits=None):
                 part = batch.slice(start, ARROW_ROWS)
                 tokens = Tokens(part.column("text"))
                 at, hashes = tokens.windows(WINDOW, LEAST_FIXED)
-                row = np.searchsorted(tokens.first[1:], at, "right")
-                counts = np.bincount(row, minlength=len(part))
-                template = hashes.view(np.int64)
+                counts = np.bincount(np.searchsorted(tokens.first[1:], at, "right"), minlength=len(part))
+                loose_at, loose = tokens.windows(WINDOW, LEAST_FIXED, loose=True)
+                other = loose != hashes[np.searchsorted(at, loose_at)]
+                form = np.repeat([_STRICT, _LOOSE], [len(at), np.count_nonzero(other)])
+                at = np.concatenate([at, loose_at[other]])
+                template = np.concatenate([hashes, loose[other]]).view(np.int64)
                 if table is not None:
                     held = np.flatnonzero(table[template & ((1 << FILTER_BITS) - 1)])
-                    at, row, template = at[held], row[held], template[held]
-                slots = [tokens.slots(a, WINDOW) for a in at.tolist()]
+                    at, form, template = at[held], form[held], template[held]
+                row = np.searchsorted(tokens.first[1:], at, "right")
+                slots = [tokens.slots(a, WINDOW, f == _LOOSE) for a, f in zip(at.tolist(), form.tolist(), strict=True)]
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int32)
                 values = np.concatenate([*slots, np.zeros(0, np.int64)])
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(rows), part.column("key").take(rows),
                      pa.array((at - tokens.first[row]).astype(np.int32)), pa.array(counts[row].astype(np.int32)),
-                     pa.array(template), pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))],
-                    ["id", "key", "place", "windows", "template", "slots"],
+                     pa.array(form.astype(np.int32)), pa.array(template),
+                     pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))],
+                    ["id", "key", "place", "windows", "form", "template", "slots"],
                 )
 
     return read
@@ -87,6 +95,16 @@ def _one_to_one(pairs: Column) -> Column:
     return (count == left) & (count == right)
 
 
+def _run(which: Column) -> Column:
+    """Number of windows, first place and all pairs of values of the matches for which ``which`` holds."""
+    place = F.when(which, F.col("item_place"))
+    return F.struct(
+        F.size(F.collect_set(place)).alias("n_windows"),
+        F.min(place).alias("from_place"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(which, F.col("pairs"))))).alias("pairs"),
+    )
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -103,24 +121,24 @@ def contaminated(
     found = _keyed(docs, id_, text).mapInArrow(_windows(bits), _WINDOWS)
     keys = items.select(
         F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("place").alias("item_place"),
-        F.col("windows").alias("item_windows"), "template", F.col("slots").alias("item_slots"),
+        F.col("windows").alias("item_windows"), F.col("form").alias("item_form"), "template", F.col("slots").alias("item_slots"),
     )
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
     met = found.join(keys, "template").select(
         "id", "key", "item_id", "item_key", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("distance"),
-        pairs.alias("pairs"),
+        ((F.col("form") == _STRICT) & (F.col("item_form") == _STRICT)).alias("strict"), pairs.alias("pairs"),
     )
     inside = met.filter(_one_to_one(F.col("pairs")))
     runs = inside.groupBy("id", "key", "item_id", "item_key", "item_windows", "distance").agg(
-        F.countDistinct("item_place").cast("int").alias("n_windows"),
-        F.min("item_place").alias("from_place"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        _run(F.lit(True)).alias("all"), _run(F.col("strict")).alias("strict")
     )
-    enough = F.col("n_windows") >= F.least(F.col("item_windows"), F.lit(RUN - WINDOW + 1))
-    return runs.filter(enough & _one_to_one(F.col("pairs"))).select(
-        F.col("id").alias(id_), "key", "item_id", (F.col("distance") + F.col("from_place")).alias("first_token"),
-        "n_windows", "item_windows",
-        F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])).alias("n_changed"),
+    needed = F.least(F.col("item_windows"), F.lit(RUN - WINDOW + 1))
+    enough = lambda run: (F.col(run)["n_windows"] >= needed) & _one_to_one(F.col(run)["pairs"])
+    best = F.when(enough("all"), F.col("all")).when(enough("strict"), F.col("strict"))
+    return runs.withColumn("run", best).filter(F.col("run").isNotNull()).select(
+        F.col("id").alias(id_), "key", "item_id", (F.col("distance") + F.col("run.from_place")).alias("first_token"),
+        F.col("run.n_windows").alias("n_windows"), "item_windows",
+        F.size(F.filter("run.pairs", lambda p: p["item"] != p["doc"])).alias("n_changed"),
     )
 
 

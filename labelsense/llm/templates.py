@@ -4,6 +4,9 @@ A token is a word cut down to the bytes from its first to its last letter or dig
 either are left out. Numbers are tokens that begin with a digit. Units are tokens that follow a
 number and stand in the list of units. Names are tokens of two letters or more with one capital,
 their first letter, that do not begin a sentence. All others are fixed, compared in lower case.
+
+Loose types are for names and units that stand where these rules cannot tell them: every token with
+the capital of a name is one, and a unit at the start of a run is one without a number before it.
 """
 
 import numpy as np
@@ -44,8 +47,8 @@ class Tokens:
     """Tokens of all texts of an Arrow column.
 
     ``value``: hash of each token; ``kind``: its type given the token before it; ``alone``: its type
-    where nothing is known of the token before; ``first``: first token of each text, one entry more
-    than texts.
+    where nothing is known of the token before; ``loose_kind`` and ``loose_alone``: the loose types;
+    ``first``: first token of each text, one entry more than texts.
     """
 
     def __init__(self, texts: pa.Array):
@@ -71,10 +74,14 @@ class Tokens:
         opens[self.first[:-1][self.first[:-1] < count]] = True
         unit = np.zeros(count, bool)
         place = np.minimum(np.searchsorted(_UNIT_HASHES, self.value), len(_UNIT_HASHES) - 1)
-        unit[1:] = (_UNIT_HASHES[place] == self.value)[1:] & number[:-1]
+        listed = _UNIT_HASHES[place] == self.value
+        unit[1:] = listed[1:] & number[:-1]
         unit[self.first[:-1][self.first[:-1] < count]] = False
         self.alone = np.where(number, NUMBER, FIXED).astype(np.int8)
         self.kind = np.where(unit, UNIT, np.where(capital & ~opens, NAME, self.alone)).astype(np.int8)
+        named = np.where(capital, NAME, self.alone)
+        self.loose_kind = np.where(unit, UNIT, named).astype(np.int8)
+        self.loose_alone = np.where(listed, UNIT, named).astype(np.int8)
 
     @staticmethod
     def _capitals(data: np.ndarray) -> np.ndarray:
@@ -90,7 +97,10 @@ class Tokens:
     def _starts_capital(self, data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         return self._capitals(data)[begin] if len(begin) else np.zeros(0, bool)
 
-    def windows(self, size: int, least_fixed: int) -> tuple[np.ndarray, np.ndarray]:
+    def _types(self, loose: bool) -> tuple[np.ndarray, np.ndarray]:
+        return (self.loose_kind, self.loose_alone) if loose else (self.kind, self.alone)
+
+    def windows(self, size: int, least_fixed: int, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """First token and hash of each run of ``size`` tokens of one text with enough fixed tokens.
 
         The first token of a run is typed as if nothing came before it, so the hash depends on the
@@ -99,20 +109,22 @@ class Tokens:
         count = len(self.value) - size + 1
         if count <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        kind, alone = self._types(loose)
         text = np.searchsorted(self.first[1:], np.arange(len(self.value)), "right")
         at = np.flatnonzero(text[:count] == text[size - 1 :])
-        coded = np.where(self.kind == FIXED, self.value, _PLACEHOLDER[self.kind])
-        opening = np.where(self.alone == FIXED, self.value, _PLACEHOLDER[self.alone])
-        fixed = np.concatenate([[0], np.cumsum(self.kind == FIXED)])
-        held = fixed[at + size] - fixed[at + 1] + (self.alone[at] == FIXED) >= least_fixed
+        coded = np.where(kind == FIXED, self.value, _PLACEHOLDER[kind])
+        opening = np.where(alone == FIXED, self.value, _PLACEHOLDER[alone])
+        fixed = np.concatenate([[0], np.cumsum(kind == FIXED)])
+        held = fixed[at + size] - fixed[at + 1] + (alone[at] == FIXED) >= least_fixed
         at = at[held]
         total = opening[at]
         for k in range(1, size):
             total = total * words._BASE + coded[at + k]
         return at, words.mix(total)
 
-    def slots(self, at: int, size: int) -> np.ndarray:
+    def slots(self, at: int, size: int, loose: bool = False) -> np.ndarray:
         """Values under the placeholders of the window at a token, in order."""
-        kinds = self.kind[at : at + size].copy()
-        kinds[0] = self.alone[at]
+        kind, alone = self._types(loose)
+        kinds = kind[at : at + size].copy()
+        kinds[0] = alone[at]
         return self.value[at : at + size][kinds != FIXED].view(np.int64)

@@ -43,6 +43,21 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
+def _runs(values: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hash of each run of ``size`` values, put together from runs of 1, 2, 4 and so on."""
+    total = np.zeros(len(values) - size + 1, np.uint64)
+    part, length, done = values, 1, 0
+    while done < size:
+        power = np.uint64(pow(int(words._BASE), length, 1 << 64))
+        if size & length:
+            total = total * power + part[done : done + len(total)]
+            done += length
+        if done < size:
+            part = part[:-length] * power + part[length:]
+            length *= 2
+    return total
+
+
 class Tokens:
     """Tokens of all texts of an Arrow column.
 
@@ -122,6 +137,23 @@ class Tokens:
             total = total * words._BASE + coded[at + k]
         return at, words.mix(total)
 
+    def whole(self, size: int, loose: bool | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First token, hash and number of fixed tokens of each run of ``size`` tokens of one text.
+
+        The size is part of the hash. With ``loose`` None all tokens are fixed.
+        """
+        count = len(self.value) - size + 1
+        if size < 1 or count <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        kind, alone = (np.zeros(len(self.value), np.int8),) * 2 if loose is None else self._types(loose)
+        text = np.searchsorted(self.first[1:], np.arange(len(self.value)), "right")
+        at = np.flatnonzero(text[:count] == text[size - 1 :])
+        coded = np.where(kind == FIXED, self.value, _PLACEHOLDER[kind])
+        opening = np.where(alone == FIXED, self.value, _PLACEHOLDER[alone])
+        fixed = np.concatenate([[0], np.cumsum(kind == FIXED)])
+        total = opening[:count] * np.uint64(pow(int(words._BASE), size - 1, 1 << 64)) + _runs(coded[1:], size - 1)
+        return at, words.mix(words.mix(total[at]) + np.uint64(size)), fixed[at + size] - fixed[at + 1] + (alone[at] == FIXED)
+
     def slots(self, at: int, size: int, loose: bool = False) -> np.ndarray:
         """Values under the placeholders of the window at a token, in order."""
         kind, alone = self._types(loose)

@@ -30,3 +30,27 @@ def test_a_name_at_two_openings_has_one_value(spark):
     docs = [(1, f"Bob keeps 4 red balls in the old box. {name} sells 9 of them to a man.") for name in ("Bob", "Eve")]
     assert found(spark, docs[:1], items) == {(1, 1, 3)}
     assert found(spark, docs[1:], items) == set()
+
+
+def test_items_without_enough_windows(spark):
+    items = [
+        (1, "What is the capital of France?"),
+        (2, "A train goes 60 km in 2 hours. Ann rides 30 km in 5 hours. Who wins?"),
+        (3, "2 + 2 = 4"),
+        (4, "Tom has 3 red balls. Ann has 5. Joe has 7. Sue has 9. Who has most balls?"),
+    ]
+    docs = [
+        (1, "Quiz. What is the capital of France? Paris."),
+        (2, "WHAT IS THE CAPITAL OF FRANCE"),
+        (3, "A train goes 60 km in 2 hours. Ann rides 30 km in 5 hours. Who wins? Ann."),
+        (4, "A train goes 70 miles in 3 days. Eve rides 40 miles in 6 days. Who wins?"),
+        (5, "A train goes 70 km in 3 hours. Eve rides 70 km in 6 hours. Who wins?"),
+        (6, "It says 2 + 2 = 4 here."),
+        (7, "It says 3 + 3 = 6 here."),
+        (8, "Bob has 4 red balls. Eve has 6. Zoe has 8. Kim has 1. Who has most balls?"),
+        (9, "What is the capital"),
+        (10, None),
+        (11, ""),
+    ]
+    # In 5 one number stands for two. In 7 the template has no fixed word, so its values must be equal.
+    assert found(spark, docs, items) == {(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 2, 7), (6, 3, 0), (8, 4, 8)}

@@ -1,6 +1,6 @@
 """Cases of the second review: parts of the job that the operators left out."""
 
-from labelsense.llm import decontamination
+from labelsense.llm import decontamination, language_id
 
 
 def found(spark, docs, items):
@@ -54,3 +54,11 @@ def test_items_without_enough_windows(spark):
     ]
     # In 5 one number stands for two. In 7 the template has no fixed word, so its values must be equal.
     assert found(spark, docs, items) == {(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 2, 7), (6, 3, 0), (8, 4, 8)}
+
+
+def test_rare_runs_are_counted(spark):
+    texts = [("en", "the old house " * 200_000), ("en", "zürich")]
+    table = spark.createDataFrame(texts, "lang string, text string")
+    counts = language_id.run_counts(table).collect()
+    assert [(r.n, chr(r.c1)) for r in counts if r.c0 == ord("ü")] == [(1, "z")]
+    assert sum(r.n for r in counts) == len(texts[0][1]) + len(texts[1][1]) + 1

@@ -25,12 +25,13 @@ REVIEW_SCHEMA = T.StructType(
 
 
 def read_reviews_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = REVIEW_SCHEMA, line_breaks: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = REVIEW_SCHEMA, line_breaks: bool = True
 ) -> DataFrame:
     """CSV with a header. ``schema=None`` infers the types.
 
-    With ``line_breaks`` quoted fields may hold line breaks; a file is then read by one task, as no
-    place in its middle is known to be outside of quotes.
+    Quoted fields may hold line breaks, so a file is read by one task, as no place in its middle is
+    known to be outside of quotes. Without ``line_breaks`` a file is divided; that is only for files
+    whose fields are known to hold none.
     """
     reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     if schema is None:

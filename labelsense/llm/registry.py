@@ -13,6 +13,7 @@ from labelsense.llm import (
     ngram_join,
     pii,
     quality_rules,
+    resampling,
     sharding,
     warc,
 )
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharded_documents": sharding.op8_sharded_documents,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op3_license_digests": licenses.ORACLE,
     "op4_mixed_sources": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op12_importance_resampling": resampling.ORACLE,
 }

@@ -11,6 +11,7 @@ from labelsense.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    phrases,
     pii,
     quality_rules,
     resampling,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op4_mixed_sources": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op12_importance_resampling": resampling.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }

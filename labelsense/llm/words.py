@@ -57,9 +57,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each word, and the byte after its last."""
-    inside = ~_SEPARATOR[data]
+def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last; ``separator`` says which bytes part words."""
+    inside = ~separator[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[(offsets > 0) & (offsets < len(data))]

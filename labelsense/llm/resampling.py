@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelsense.llm.words import text_bytes
 from labelsense.operators.scale import running_totals, stored
 
 LONGEST, BUCKETS = 1, 10_000
@@ -50,7 +51,9 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Itera
 def features(texts: pa.Array, longest: int, buckets: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Number of words of each text; for each size of run, where the features of each text begin (one
     entry more than texts) and the bucket of every feature."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")), SEPARATORS)
+    data, offsets = text_bytes(texts)  # from its first byte: ascii_lower reads slices of large strings wrongly
+    whole_texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
+    lists = pc.split_pattern_regex(pc.ascii_lower(whole_texts), SEPARATORS)
     text = pc.list_parent_indices(lists).to_numpy()
     encoded = pc.list_flatten(lists).dictionary_encode()
     codes = encoded.indices.to_numpy().astype(np.int64)

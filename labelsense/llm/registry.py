@@ -11,6 +11,7 @@ from labelsense.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    packing,
     phrases,
     pii,
     quality_rules,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharded_documents": sharding.op8_sharded_documents,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op11_packed_sequences": packing.op11_packed_sequences,
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_phrases": phrases.op13_phrases,
 }
@@ -38,6 +40,7 @@ ORACLES: dict[str, str] = {
     "op3_license_digests": licenses.ORACLE,
     "op4_mixed_sources": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
+    "op11_packed_sequences": packing.op11_packed_sequences,
     "op12_importance_resampling": resampling.ORACLE,
     "op13_phrases": phrases.ORACLE,
 }

@@ -3,6 +3,7 @@
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
 from labelsense.functions.text import JOINED_WORDS, SENTENCE_PATTERN, TOKEN_PATTERN
 from labelsense.operators.lemmas import IRREGULAR_VERBS, LEXICON_SHARE, VERB_ENDINGS
+from labelsense.operators.sentences import CLOSING, FIRST_TOKEN, LAST_TOKEN, OPENING, TOKEN
 
 
 def quoted(text: str) -> str:
@@ -27,6 +28,90 @@ def tokens(text: str, marks: bool) -> str:
 STOP = in_list(stop_words(REVIEW_BLACKLIST))
 
 
+def described(token: str) -> str:
+    """Columns type, stop, dots, capital and small of a token."""
+    bare = f"regexp_replace(regexp_replace({token}, {quoted(OPENING)}, ''), {quoted(CLOSING)}, '')"
+    return f"""regexp_replace(lower({bare}), '\\.+$', '') AS type, ends_with({bare}, '.') AND NOT ends_with({bare}, '..') AS stop,
+      ends_with({bare}, '..') AS dots, regexp_matches({bare}, '^\\p{{Lu}}') AS capital, regexp_matches({bare}, '^\\p{{Ll}}') AS small"""
+
+
+def times(x: str, p: str) -> str:
+    return f"(CASE WHEN {x} > 0 THEN ({x}) * ln({p}) ELSE 0 END)"
+
+
+def association(a: str, b: str, both: str, n: str) -> str:
+    p, p1, p2 = f"({b})::DOUBLE / {n}", f"({both})::DOUBLE / {a}", f"({b} - {both})::DOUBLE / nullif({n} - {a}, 0)"
+    counts = [both, f"{a} - {both}", f"{b} - {both}", f"{n} - {a} - {b} + {both}"]
+    found = " + ".join(times(c, q) for c, q in zip(counts, [p1, f"1 - {p1}", p2, f"1 - {p2}"], strict=True))
+    chance = " + ".join(times(c, q) for c, q in zip(counts, [p, f"1 - {p}", p, f"1 - {p}"], strict=True))
+    return f"round(2 * (({found}) - ({chance})), 6)"
+
+
+LETTERS = "length(replace(type, '.', ''))"
+SENTENCE_MODEL = f"""tokens AS (
+      SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, {quoted(TOKEN)})) AS token FROM documents) GROUP BY token),
+    types AS MATERIALIZED (
+      SELECT type, sum(n) AS n, coalesce(sum(n) FILTER (stop), 0) AS stops, coalesce(sum(n) FILTER (dots), 0) AS dotted,
+        coalesce(sum(n) FILTER (capital), 0) AS capitals, coalesce(sum(n) FILTER (small), 0) AS smalls
+      FROM (SELECT n, {described("token")} FROM tokens) GROUP BY type),
+    total AS (SELECT sum(n) AS n, sum(stops)::DOUBLE / sum(n) AS rate FROM types),
+    abbreviations AS MATERIALIZED (
+      SELECT * FROM (
+        SELECT type, round(2 * (stops * ln(0.99::DOUBLE) + others * ln(1 - 0.99::DOUBLE)
+            - ({times("stops", "rate")} + {times("others", "1 - rate")}))
+          * exp(-{LETTERS}::DOUBLE - others * ln({LETTERS})) * (length(type) - {LETTERS} + 1), 6) AS score
+        FROM (SELECT type, stops, types.n - stops - dotted AS others, rate FROM types, total WHERE stops > 0)
+        WHERE regexp_matches(type, '\\p{{L}}')) WHERE score >= 0.3),
+    pieces AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, {quoted(SENTENCE_PATTERN)}) AS p FROM documents),
+    borders AS (
+      SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE regexp_extract(p[i - 1], {quoted(LAST_TOKEN)}, 1) END AS before,
+        regexp_extract(p[i], {quoted(FIRST_TOKEN)}, 1) AS after
+      FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM pieces)),
+    pairs AS MATERIALIZED (
+      SELECT before, after, n, b.*, a.type AS next, a.capital AS next_capital, a.small AS next_small FROM (
+        SELECT before, after, n, (SELECT x FROM (SELECT {described("before")}) x) AS b, (SELECT y FROM (SELECT {described("after")}) y) AS a
+        FROM (SELECT before, after, count(*) AS n FROM borders GROUP BY ALL))),
+    judged AS MATERIALIZED (
+      SELECT *, type IN (SELECT type FROM abbreviations) AS abbreviated, regexp_full_match(type, '\\p{{L}}') AS initial,
+        regexp_full_match(type, '[0-9]+') AS number FROM pairs),
+    firsts AS (
+      SELECT next AS type,
+        sum(n) FILTER (NOT dots AND before <> '' AND (NOT stop OR NOT (abbreviated OR initial OR number))) AS after_end,
+        sum(n) FILTER (next_capital) AS capitals_first, sum(n) FILTER (next_small AND before <> '') AS smalls_first
+      FROM judged GROUP BY next),
+    joined AS MATERIALIZED (
+      SELECT types.*, coalesce(after_end, 0) AS after_end, coalesce(capitals_first, 0) AS capitals_first,
+        coalesce(smalls_first, 0) AS smalls_first FROM types LEFT JOIN firsts USING (type)),
+    ends AS (SELECT sum(after_end) AS e FROM joined),
+    starters AS MATERIALIZED (
+      SELECT * FROM (
+        SELECT type, {association("e", "joined.n", "after_end", "total.n")} AS score FROM joined, ends, total
+        WHERE after_end > 0 AND regexp_full_match(type, '\\p{{L}}+') AND after_end * total.n > joined.n * e) WHERE score >= 30),
+    collocations AS (
+      SELECT * FROM (
+        SELECT c.type, c.next, {association("t.stops", "u.n", "c.both_", "total.n")} AS score
+        FROM (SELECT type, next, sum(n) AS both_ FROM judged
+              WHERE stop AND (initial OR number) AND regexp_full_match(next, '\\p{{L}}+') GROUP BY ALL) c
+        JOIN types t ON t.type = c.type JOIN types u ON u.type = c.next, total
+        WHERE c.both_ * total.n > u.n * t.stops) WHERE score >= 7.88),
+    inner_marks AS MATERIALIZED (
+      SELECT before, after FROM (
+        SELECT j.*, coalesce(k.capitals > 0, false) AS u, coalesce(k.smalls > 0, false) AS l,
+          coalesce(k.capitals > k.capitals_first, false) AS u_inside, coalesce(k.smalls_first > 0, false) AS l_first,
+          next_capital AND l AND NOT u_inside AS begins,
+          c.type IS NOT NULL AS collocation, j.next IN (SELECT type FROM starters) AS starter
+        FROM judged j LEFT JOIN joined k ON k.type = j.next LEFT JOIN collocations c ON c.type = j.type AND c.next = j.next
+        WHERE before <> '' AND (stop OR dots) AND (abbreviated OR dots OR initial OR number))
+      WHERE CASE WHEN collocation THEN true
+        WHEN (initial OR number) AND NOT dots AND NOT abbreviated
+          THEN (next_small AND (u OR NOT l_first)) OR (initial AND next_capital AND NOT l AND NOT begins)
+        ELSE NOT begins AND NOT starter END),
+    sentence_counts AS (
+      SELECT doc_id, (len(any_value(p)) - count(before))::INT AS n_sentences
+      FROM pieces LEFT JOIN (SELECT doc_id, before FROM borders JOIN inner_marks USING (before, after)) USING (doc_id)
+      GROUP BY doc_id)"""
+
+
 def words_cte(stop: bool = False) -> str:
     """docs(doc_id, lang, w): one row per document and word."""
     dropped = f"AND w NOT IN ({STOP})" if stop else ""
@@ -201,6 +286,11 @@ def oracle_sql() -> dict[str, str]:
         "sentence_summary": f"""WITH w AS ({box("n_words", f"SELECT len({tokens('text', True)}) AS v FROM documents")}),
             s AS ({box("n_sentences", f"SELECT len(regexp_extract_all(text, {quoted(SENTENCE_PATTERN)})) AS v FROM documents")})
             SELECT * FROM w UNION ALL SELECT * FROM s""",
+        "sentence_abbreviations": f"""WITH {SENTENCE_MODEL}
+            SELECT 'abbreviation' AS kind, type, round(score, 4) AS score FROM abbreviations
+            UNION ALL SELECT 'starter', type, round(score, 4) FROM starters""",
+        "learned_sentences": f"WITH {SENTENCE_MODEL} SELECT doc_id, n_sentences FROM sentence_counts",
+        "learned_sentence_summary": f"WITH {SENTENCE_MODEL}, z AS ({box('n_sentences', 'SELECT n_sentences AS v FROM sentence_counts')}) SELECT * FROM z",
         "spearman": spearman("lineitem", "l_extendedprice", "l_quantity", "l_discount"),
         "length_spearman": f"""WITH x AS MATERIALIZED (SELECT n_chars, quality, len({tokens("text", True)}) AS n_words
             FROM documents LEFT JOIN labels USING (doc_id)) """

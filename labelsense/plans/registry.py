@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
 from labelsense.functions.text import canonical_words, pair_sentence, remove_stop_words, tokens
-from labelsense.operators import clean, embeddings, evaluate, labels, lemmas, profile, wordsets
+from labelsense.operators import clean, embeddings, evaluate, labels, lemmas, profile, sentences, wordsets
 from labelsense.operators.scale import shared_folder, stored
 from labelsense.plans import models
 from labelsense.plans.stages import (
@@ -107,6 +107,28 @@ def sentence_summary(spark, sf_dir):
     return profile.length_summary(lengths, "n_sentences", "n_words")
 
 
+@query
+def sentence_abbreviations(spark, sf_dir):
+    """What the texts themselves say of full stops: abbreviations and sentence starters."""
+    model = sentences.learn(documents(spark, sf_dir, "text"))
+    found = [(model.abbreviations, "abbreviation"), (model.starters, "starter")]
+    rows = [rows.select(F.lit(kind).alias("kind"), "type", F.round("score", 4).alias("score")) for rows, kind in found]
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def learned_sentences(spark, sf_dir):
+    """Number of sentences of every document, with abbreviations learned from all of them."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return sentences.with_sentence_counts(docs, "text", sentences.learn(docs), ["doc_id"])
+
+
+@query
+def learned_sentence_summary(spark, sf_dir):
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return profile.length_summary(sentences.with_sentence_counts(docs, "text", sentences.learn(docs), ["doc_id"]), "n_sentences")
+
+
 @query
 def spearman(spark, sf_dir):
     rows = tables.evened(table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", "l_discount"))

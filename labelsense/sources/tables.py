@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelsense.sources import csv_blocks
+
 REVIEW_SCHEMA = T.StructType(
     [
         T.StructField("index", T.LongType()),
@@ -29,10 +31,19 @@ def read_reviews_csv(
 ) -> DataFrame:
     """CSV with a header. ``schema=None`` infers the types.
 
-    Quoted fields may hold line breaks, so a file is read by one task, as no place in its middle is
-    known to be outside of quotes. Without ``line_breaks`` a file is divided; that is only for files
-    whose fields are known to hold none.
+    Quoted fields may hold line breaks; with a schema, a file is read by many tasks all the same, see
+    ``csv_blocks``, and to infer one it is read by one task. Without ``line_breaks`` Spark divides a
+    file at every line end; that is only for files whose fields are known to hold none.
     """
+    if schema is not None and line_breaks:
+        return csv_blocks.read_csv(spark, path, schema)
+    return read_whole_csv(spark, path, schema, line_breaks)
+
+
+def read_whole_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = REVIEW_SCHEMA, line_breaks: bool = True
+) -> DataFrame:
+    """CSV with a header, by Spark's reader; with ``line_breaks`` each file is read by one task."""
     reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     if schema is None:
         return reader.option("inferSchema", True).csv(path)

@@ -1,18 +1,15 @@
 """Which words to track: five strategies, each giving an ordered table (rank, word).
 
-Ranks start at 0. The strategies other than the most common words start from the similarity of
-every word to every label, see ``operators.embeddings``.
+Ranks start at 0. The strategies other than the most common words start from the matches of words
+and labels, see ``operators.matching``.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelsense.operators.matching import Matches
 from labelsense.operators.scale import lookup_join, running_totals, stored
 
-# Spark limits the rows of a group before the shuffle up to this many.
-TASK_LIMIT = 1000
-
-
 def exploded_words(df: DataFrame, words: str, *keep: str) -> DataFrame:
     """One row per word of the row's word list.
 
@@ -59,47 +56,17 @@ def interleave(ranks: DataFrame, label_order: DataFrame) -> DataFrame:
     return ranked(best, F.asc("best"), F.asc("word")).select("rank", "word")
 
 
-def nearest_per_label(similarities: DataFrame, fetch: int | None = None, opposite: bool = False) -> DataFrame:
-    """(label, word, place): words of each label by falling similarity, or by rising similarity.
-
-    The words nearest to the negated label vector are those with the lowest similarity. Place 0
-    is the nearest. With ``fetch`` only that many per label. For a short list each task keeps no
-    more than that per label before the shuffle; a long list is cut after placing all words.
-    """
-    order = [F.asc("similarity") if opposite else F.desc("similarity"), F.asc("word")]
-    if fetch is None or fetch > TASK_LIMIT:
-        places = _places(similarities, order)
-        return places if fetch is None else places.filter(F.col("place") < fetch)
-    place = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-    return similarities.select("label", "word", "similarity", place.alias("_n")).filter(F.col("_n") <= fetch).select(
-        "label", "word", (F.col("_n") - 1).alias("place")
-    )
-
-
-def _places(similarities: DataFrame, order) -> DataFrame:
-    """Places inside every label without sorting a whole label in one task."""
-    all_rows = running_totals(similarities.select("label", "word", "similarity"), [F.asc("label"), *order], {"_row": None})
-    kept = stored(all_rows)
-    starts = kept.groupBy("label").agg(F.min("_row").alias("_start"))
-    return lookup_join(kept, starts, ["label"], salt_on=["word"]).select(
-        "label", "word", (F.col("_row") - F.col("_start")).alias("place")
-    )
-
-
-def similar(
-    similarities: DataFrame, label_order: DataFrame, fetch: int | None = None, opposite: bool = False
-) -> DataFrame:
+def similar(matches: Matches, label_order: DataFrame, opposite: bool = False) -> DataFrame:
     """Words most similar to the labels, the best word of each label first.
 
-    Other labels count towards ``fetch`` and are removed afterwards.
+    Other labels count towards the length of the lists and are removed afterwards.
     """
-    nearest = nearest_per_label(similarities, fetch, opposite)
-    return interleave(without_labels(nearest, label_order), label_order)
+    return interleave(without_labels(matches.nearest(opposite), label_order), label_order)
 
 
-def dissimilar(similarities: DataFrame, label_order: DataFrame, fetch: int | None = None) -> DataFrame:
+def dissimilar(matches: Matches, label_order: DataFrame) -> DataFrame:
     """Words that point away from the labels."""
-    return similar(similarities, label_order, fetch, opposite=True)
+    return similar(matches, label_order, opposite=True)
 
 
 def without_labels(words: DataFrame, label_order: DataFrame) -> DataFrame:
@@ -121,22 +88,15 @@ def extremes(similar_words: DataFrame, dissimilar_words: DataFrame) -> DataFrame
     return ranked(first, F.asc("place")).select("rank", "word")
 
 
-def low_entropy(similarities: DataFrame, label_order: DataFrame, n_labels: int | None = None) -> DataFrame:
+def low_entropy(matches: Matches, label_order: DataFrame, n_labels: int | None = None) -> DataFrame:
     """Words whose similarity is spread most unevenly over the labels, with the entropy.
 
     Similarities are shifted to [0, 2] and normalised; the base of the logarithm is the number
-    of labels. With s the shifted values and S their sum, the entropy is ln S - sum(s ln s)/S,
-    so it is one aggregate that merges before the shuffle.
+    of labels. With s the shifted values and S their sum, the entropy is ln S - sum(s ln s)/S.
     """
-    shifted = F.greatest(F.col("similarity") + 1, F.lit(0.0))
     base = F.lit(n_labels) if n_labels is not None else label_order.agg(F.count(F.lit(1))).scalar()
-    per_word = (
-        without_labels(similarities, label_order)
-        .select("word", shifted.alias("s"))
-        .groupBy("word")
-        .agg(F.sum("s").alias("total"), F.sum(F.when(F.col("s") > 0, F.col("s") * F.ln("s")).otherwise(0.0)).alias("sln"))
-        .select("word", F.round((F.ln("total") - F.col("sln") / F.col("total")) / F.ln(base), 12).alias("entropy"))
-    )
+    entropy = F.round((F.ln("total") - F.col("sln") / F.nullif("total", F.lit(0.0))) / F.ln(base), 12)
+    per_word = without_labels(matches.sums, label_order).select("word", entropy.alias("entropy"))
     return ranked(per_word, F.asc("entropy"), F.asc("word")).select("rank", "word", "entropy")
 
 

@@ -363,6 +363,11 @@ def oracle_sql() -> dict[str, str]:
                   FROM (SELECT word, rank * 2 AS place, rank FROM near UNION ALL SELECT word, rank * 2 + 1, rank FROM far)
                   WHERE rank < least((SELECT count(*) FROM near), (SELECT count(*) FROM far)) GROUP BY word)
             SELECT row_number() OVER (ORDER BY place) - 1 AS rank, word FROM z""",
+        "nearest_lists": f"""WITH {SIMILARITY} SELECT side, label, word, round(s, 6) AS similarity, place FROM (
+              SELECT 1 AS side, *, (row_number() OVER (PARTITION BY label ORDER BY s DESC, word) - 1)::INT AS place FROM sim
+              UNION ALL
+              SELECT -1, *, (row_number() OVER (PARTITION BY label ORDER BY s, word) - 1)::INT FROM sim)
+            WHERE place < CASE side WHEN 1 THEN 3600 ELSE 1400 END""",
         "low_entropy_words": f"""WITH {SIMILARITY},
             p AS (SELECT word, (s + 1) / sum(s + 1) OVER (PARTITION BY word) AS p FROM sim),
             e AS (SELECT word, round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln((SELECT count(*) FROM cen)), 12) AS e

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
 from labelsense.functions.text import canonical_words, pair_sentence, remove_stop_words, tokens
-from labelsense.operators import clean, embeddings, evaluate, labels, lemmas, profile, sentences, wordsets
+from labelsense.operators import clean, embeddings, evaluate, labels, lemmas, matching, profile, sentences, wordsets
 from labelsense.operators.scale import shared_folder, stored
 from labelsense.plans import models
 from labelsense.plans.stages import (
@@ -361,29 +361,37 @@ def opposite_words(spark, sf_dir):
 @query
 def similar_words(spark, sf_dir):
     words, centres, order = vectors_of(spark, sf_dir)
-    return wordsets.similar(embeddings.similarity(words, centres), order, FETCH)
+    return wordsets.similar(matching.matched(words, centres, nearest=FETCH), order)
 
 
 @query
 def dissimilar_words(spark, sf_dir):
     words, centres, order = vectors_of(spark, sf_dir)
-    return wordsets.dissimilar(embeddings.similarity(words, centres), order, FETCH)
+    return wordsets.dissimilar(matching.matched(words, centres, farthest=FETCH), order)
 
 
 @query
 def extreme_words(spark, sf_dir):
     words, centres, order = vectors_of(spark, sf_dir)
-    pairs = stored(embeddings.similarity(words, centres))
-    return wordsets.extremes(wordsets.similar(pairs, order, FETCH), wordsets.dissimilar(pairs, order, FETCH))
+    matches = matching.matched(words, centres, FETCH, FETCH)
+    return wordsets.extremes(wordsets.similar(matches, order), wordsets.dissimilar(matches, order))
 
 
 @query
 def low_entropy_words(spark, sf_dir):
     words, centres, order = vectors_of(spark, sf_dir)
-    ranked = wordsets.low_entropy(embeddings.similarity(words, centres), order)
+    ranked = wordsets.low_entropy(matching.matched(words, centres), order)
     return ranked.withColumn("entropy", F.round("entropy", 6))
 
 
+@query
+def nearest_lists(spark, sf_dir):
+    """The first 3,600 words of every label and the last 1,400, with their places."""
+    words, centres, _ = vectors_of(spark, sf_dir)
+    lists = matching.matched(words, centres, 3600, 1400).lists
+    return lists.select("side", "label", "word", F.round("similarity", 6).alias("similarity"), "place")
+
+
 # Splits and scores
 
 
@@ -544,15 +552,15 @@ def w2v_neighbours(spark, sf_dir):
 def _word_sets(docs, limit):
     """The first words of all five strategies, learned from rows (lang, words)."""
     vectors, label_vectors, order = _trained_vectors(docs)
-    pairs = stored(embeddings.similarity(vectors, label_vectors))
-    near, far = wordsets.similar(pairs, order, 3600), wordsets.dissimilar(pairs, order, 1400)
+    matches = matching.matched(vectors, label_vectors, 3600, 1400)
+    near, far = wordsets.similar(matches, order), wordsets.dissimilar(matches, order)
     near, far = stored(near), stored(far)
     sets = {
         "common": wordsets.common(docs, "words", limit),
         "similar": near,
         "dissimilar": far,
         "extremes": wordsets.extremes(near, far),
-        "low_entropy": wordsets.low_entropy(pairs, order),
+        "low_entropy": wordsets.low_entropy(matches, order),
     }
     return {name: tables.word_list(words, limit) for name, words in sets.items()}
 

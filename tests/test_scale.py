@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelsense.operators import clean, embeddings, labels, profile, scale, wordsets
+from labelsense.operators import clean, embeddings, labels, matching, profile, scale, wordsets
 
 
 @pytest.fixture
@@ -159,14 +159,6 @@ def test_similarity_in_blocks_and_without_broadcast(vectors, monkeypatch):
     assert {(r.word, r.label): r.similarity for r in embeddings.similarity(words, names, block=7).collect()} == whole
 
 
-def test_long_fetch_places_words_like_a_short_one(spark, vectors, monkeypatch):
-    pairs = embeddings.similarity(*vectors)
-    short = wordsets.nearest_per_label(pairs, 50).collect()
-    monkeypatch.setattr(wordsets, "TASK_LIMIT", 10)
-    assert sorted(wordsets.nearest_per_label(pairs, 50).collect()) == sorted(short)
-    assert len(short) == 50 * 30
-
-
 def test_interleave_takes_one_word_per_label_and_round(spark):
     ranks = spark.createDataFrame(
         [("a", "red", 0), ("a", "dry", 1), ("a", "oak", 2), ("b", "red", 0), ("b", "lime", 1), ("b", "dry", 2)],
@@ -187,10 +179,9 @@ def test_extremes_alternate_and_keep_the_first_place(spark):
 def test_low_entropy(spark):
     import math
 
-    pairs = spark.createDataFrame(
-        [("flat", "a", 0.2), ("flat", "b", 0.2), ("one", "a", 0.8), ("one", "b", -1.0), ("a", "a", 1.0), ("a", "b", 0.1)],
-        "word string, label string, similarity double",
-    )
+    shifted = {"flat": (1.2, 1.2), "one": (1.8, 0.0), "a": (2.0, 1.1)}  # similarities to a and b, plus 1
+    rows = [(word, sum(s), sum(x * math.log(x) for x in s if x)) for word, s in shifted.items()]
+    pairs = matching.Matches(spark.createDataFrame(rows, "word string, total double, sln double"), None)
     order = spark.createDataFrame([("a", 0), ("b", 1)], "label string, label_order int")
     found = wordsets.low_entropy(pairs, order).orderBy("rank").collect()
     assert [r.word for r in found] == ["one", "flat"]

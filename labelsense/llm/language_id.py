@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney models of characters.
 
 A text is read as lower-case letters; whatever stands between letters is one blank. For each
-language there is a model of four characters. Its counts come from all learning texts: tasks count
-four-character runs, and Spark adds the counts up. No run is left out, so discounts and lower orders
+language there is a model of four characters. Its counts come from all learning texts but those set
+aside for calibration: tasks count four-character runs, and Spark adds the counts up. No run is left out, so discounts and lower orders
 are those of the whole corpus, and a model has an entry for each distinct run, which the driver and
 the tasks hold. Lower orders count in how many contexts a run stands, and every order is interpolated
 with the one below, the lowest with an even law.
@@ -12,7 +12,8 @@ log-probabilities, one per language, computed in full. So a character costs one
 that no language has ever shown are taken to shorter arrays. The language with the lowest cross
 entropy per character is chosen.
 
-Calibration, on at most ``CALIBRATION`` further texts: a temperature turns cross entropies into the
+Calibration, on at most ``CALIBRATION`` texts and a tenth of all, chosen by a hash of the text, which
+are not counted; a language that would be left without a text keeps its own. A temperature turns cross entropies into the
 chance that the choice is right, and each language gets the cross entropy above which a text of its
 length is rejected. A rejected text keeps its nearest language and gets a lower score.
 
@@ -267,12 +268,32 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> None:
             model.limits[k] = mean, per_text, per_character
 
 
+_SLOTS = 1 << 31
+
+
+def _text_slot(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(_SLOTS))
+
+
 def _sample(rows: DataFrame) -> DataFrame:
-    """About ``CALIBRATION`` of the (text, lang) rows, and no more: those with the lowest hashes, copies once."""
-    slots = 1 << 31
-    share = min(slots, -(-slots * CALIBRATION // max(1, rows.count())))
-    low = rows.filter(F.pmod(F.xxhash64("text"), F.lit(slots)) < share).dropna()
-    return low.groupBy("text").agg(F.min("lang").alias("lang")).limit(CALIBRATION)
+    """The (text, lang) rows with the lowest hashes, copies once, ``CALIBRATION`` at most."""
+    once = rows.dropna().groupBy("text").agg(F.min("lang").alias("lang"))
+    return once.orderBy(F.xxhash64("text"), "text").limit(CALIBRATION)
+
+
+def set_aside(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """The rows to count and the rows to calibrate with, by a hash of the text.
+
+    About ``CALIBRATION`` rows are set aside, and no more than a tenth; copies of a text go together.
+    A language that would have no row left to count keeps all of its rows.
+    """
+    learnable = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    share = min(_SLOTS // 10, -(-_SLOTS * CALIBRATION // max(1, learnable.count())))
+    low = _text_slot(F.col(text)) < share
+    per_language = learnable.groupBy(lang).agg(F.max((~low).cast("int")).alias("_left"))
+    whole = [row[lang] for row in per_language.filter("_left = 0").collect()]  # a model per language is held anyway
+    aside = low & ~F.col(lang).isin(whole) if whole else low
+    return learnable.filter(~aside), learnable.filter(aside)
 
 
 def trained(docs: DataFrame, calibration: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -325,12 +346,14 @@ def _judged(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
 def identified(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all if None) with lang_pred, score, rejected and cross_entropy."""
     results = ["lang_pred", "score", "rejected", "cross_entropy"]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in results and c != "_text"]
-    rows = docs.select(*kept, F.col(text).alias("_text"))
+    names = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    kept = [f"_in{i}" for i in range(len(names))]
+    rows = docs.select(*[F.col(n).alias(k) for n, k in zip(names, kept, strict=True)], F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     schema = f"{fields}{', ' if fields else ''}lang_pred string, score double, rejected boolean, cross_entropy double"
-    return rows.mapInArrow(_predict(shared, kept), schema)
+    found = rows.mapInArrow(_predict(shared, kept), schema)
+    return found.select(*[F.col(k).alias(n) for n, k in zip(names, kept, strict=True)], *results)
 
 
 def fold(id_: Column) -> Column:
@@ -339,9 +362,8 @@ def fold(id_: Column) -> Column:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds 0 and 1 give the counts, fold 3 the calibration, fold 2 is held out."""
+    """Folds 0, 1 and 3 are learned from, fold 2 is held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    own_fold = fold(F.col("doc_id"))
-    model = trained(docs.filter(own_fold.isin(0, 1)), docs.filter(own_fold == 3))
+    model = trained(*set_aside(docs.filter(fold(F.col("doc_id")) != 2)))
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "text")
     return identified(rows, model, keep=["doc_id", "held_out"])

@@ -217,6 +217,36 @@ def test_mix_reaches_its_weights(spark):
     assert first != sorted(first)
 
 
+# Language identification: what is learned from
+
+
+def test_language_that_stands_in_one_fold_only(spark, tmp_path):
+    import zlib
+
+    draw = random.Random(8)
+    fold_of = lambda i: zlib.crc32(str(i).encode()) % 4
+    letters = {"one": "abcde", "two": "vwxyz"}
+    rows = []
+    for i in range(400):
+        lang = "two" if fold_of(i) == 3 else "one" if fold_of(i) != 2 else draw.choice(["one", "two"])
+        text = " ".join("".join(draw.choice(letters[lang]) for _ in range(5)) for _ in range(20))
+        rows.append((i, text, lang))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in language_id.op10_language_id(spark, str(tmp_path)).collect()}
+    assert all(found[i].lang_pred == lang and found[i].held_out == (fold_of(i) == 2) for i, _, lang in rows)
+
+
+def test_rows_set_aside(spark):
+    rows = [(f"text {i}", "en") for i in range(300)] + [(f"text {i}", "en") for i in range(300)] + [("rare", "xx"), (None, "en"), ("a", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    counted, aside = (table.collect() for table in language_id.set_aside(docs))
+    assert len(counted) + len(aside) == 601 and 10 < len(aside) < 130
+    assert not {r.text for r in counted} & {r.text for r in aside} and ("rare", "xx") in counted
+    every = [tuple(t.collect()) for t in language_id.set_aside(docs.filter("lang = 'xx'").union(docs.limit(0)))]
+    assert len(every[0]) == 1 and not every[1]
+    assert all(not t.collect() for t in language_id.set_aside(docs.limit(0)))
+
+
 # WARC
 
 
@@ -245,6 +275,35 @@ def test_warc_cases(spark, tmp_path):
     assert none.count() == warc.read_archives(none, f"{folder}-3").count() == 0
 
 
+def test_same_files_over_ten_ranges_and_sessions(spark, tmp_path):
+    draw = random.Random(2)
+    rows = [(i * i, f"http://a b/{i}", draw.choice(["same", "x" * draw.randrange(3000)])) for i in range(600)]
+    found = []
+    for n, shuffled in enumerate((rows, draw.sample(rows, len(rows)))):
+        pages = spark.createDataFrame(shuffled, "page_id long, url string, html string").repartition(3 + n)
+        folder = f"file://{tmp_path}/archive-{n}"
+        spark.conf.set("spark.sql.shuffle.partitions", 8 + n)
+        manifest = warc.write_archives(pages, folder, range_bytes=60_000).collect()
+        found.append({(r.name, r.records, r.sha1) for r in manifest})
+        table = spark.read.parquet(f"{folder}/manifest")
+        read = warc.read_archives(table, folder)
+        assert read.rdd.getNumPartitions() == min(len(manifest), 8 + n) and read.count() == 600
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert found[0] == found[1] and len({name.split("-")[1] for name, *_ in found[0]}) >= 10
+
+
+def test_headers_that_other_readers_need():
+    text = warc.record(1, "http://a b", b"x", 9, "http://c d").decode()
+    response = warc.record(9, "http://c d", b"x", None).decode()
+    own = [line for line in response.split("\r\n") if line.startswith("WARC-Record-ID")][0].split(": ")[1]
+    for line in (f"WARC-Refers-To: {own}", "WARC-Refers-To-Target-URI: http://c%20d", "WARC-Target-URI: http://a%20b",
+                 f"WARC-Refers-To-Date: {warc.DATE}"):
+        assert f"\r\n{line}\r\n" in text
+    assert "WARC-Refers-To" not in response
+    info = warc.file_record("records-1.warc.gz")
+    assert b"WARC-Type: warcinfo\r\n" in info and b"WARC-Filename: records-1.warc.gz" in info and warc.parse(info) is None
+
+
 def test_damaged_record_is_refused():
     data = bytearray(warc.record(1, "u", b"payload", None))
     data[-8] ^= 1

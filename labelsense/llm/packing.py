@@ -17,9 +17,10 @@ Windows of a tier are dealt to steps of ``step_tokens`` tokens each in turn, so
 hold windows of one shape, and get like numbers of documents, as windows with the same plan follow
 each other.
 
-Texts are tokenised once, and the ids are written. A task cuts a text at white space and encodes each
-distinct word of a block once, which gives the ids of the whole text if neither the vocabulary's
-tokens nor its rules reach over white space. The others are encoded whole.
+Texts are tokenised once, and the ids are written. A task cuts a text at white space, and before marks
+that end a word, and keeps the ids of words it has met. That gives the ids of the whole text if the
+tokenizer's rules reach neither over white space nor from a letter or digit to a mark; for others
+there is ``by_word=False``.
 
 Defined results: a null or empty text is the end token alone; texts are read whole; equal rows are
 packed apiece; ties of length go by id, a null id last; an empty table gives an empty table. The
@@ -29,6 +30,7 @@ columns given as ``keep`` are carried along, unless they bear a result's name.
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,17 @@ from labelsense.sources.tables import evened
 TIERS = (2048, 1024, 512, 256)
 END = 1
 STEP_TOKENS = 1 << 17
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+CACHE_WORDS, ENCODED_AT_ONCE = 1 << 19, 1 << 13
 VOCABULARY = "word_bpe_49k.json"
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_ALNUM[[ord(c) for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# Byte-level vocabularies write bytes as letters: printable ones of Latin-1 as they are, others from code 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 RESULTS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step long"
 
 
@@ -178,34 +189,104 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encoded(texts: pa.Array, encode, by_word: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in one array, and where those of each text begin (one entry more than texts)."""
-    if not by_word:
-        lists = [e.ids for e in encode(texts.fill_null("").to_pylist())]
-        return np.array([i for ids in lists for i in ids], np.uint32), np.cumsum([0, *map(len, lists)])
-    data, offsets = words.text_bytes(texts)
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words between white space, and the marks that follow a letter or digit at their end by themselves."""
     starts, ends = words.spans(data, offsets)
-    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
-    spelled = pa.LargeStringArray.from_buffers(
-        len(starts), pa.py_buffer(bounds), pa.py_buffer(data[~words._SEPARATOR[data]].tobytes())
-    ).dictionary_encode()
-    lists = [e.ids for e in encode(spelled.dictionary.to_pylist())]
-    lengths = np.array([len(ids) for ids in lists], np.int64)
-    flat, begins = np.array([i for ids in lists for i in ids], np.uint32), np.cumsum(lengths) - lengths
-    word = spelled.indices.to_numpy()
-    sizes = lengths[word] if len(word) else np.zeros(0, np.int64)
-    ends_of = np.concatenate([[0], np.cumsum(sizes)])
-    ids = flat[np.repeat(begins[word] - ends_of[:-1], sizes) + np.arange(ends_of[-1])] if len(word) else flat[:0]
-    return ids, ends_of[np.searchsorted(starts, offsets)]
+    if not len(starts):
+        return starts, ends
+    at = np.where(_MARK[data], -1, np.arange(len(data)))
+    last = np.maximum.accumulate(at)[ends - 1]  # of each word, its last byte that is no mark
+    cut = last[(last >= starts) & (last < ends - 1) & _ALNUM[data[last]]] + 1
+    return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+
+class Words:
+    """The ids of words met before, ``CACHE_WORDS`` at most; then it starts anew."""
+
+    def __init__(self, model):
+        self.model = model
+        self.lower = model.normalizer is not None and model.normalizer.normalize_str("AZ") == "az"
+        self.special = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
+        samples = ["a", "abcdefgh", "éß", "ñandú", "ёлка", "straßenbahnen"]
+        self.direct = self.encode(samples) == [self._pieces(name) for name in samples]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, name: str) -> list[int]:
+        """Ids of a word that normal form and splitting leave as it is: the model's own, over its bytes as letters."""
+        return [t.id for t in self.model.model.tokenize(name if name.isascii() else name.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+
+    def _encode_words(self, names: list[str]) -> list[list[int]]:
+        """As ``encode``; words of small letters alone go straight to the model, if it gives the same for samples."""
+        if not self.direct:
+            return self.encode(names)
+        out = [
+            self._pieces(name) if name.isalpha() and name.islower() and name.lower() == name and is_normalized("NFC", name) else None
+            for name in names
+        ]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self.encode([names[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def ids(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids held, and where those of each of the words begin and end."""
+        if len(self.place) > CACHE_WORDS:
+            self._clear()
+        new = [name for name in names if name not in self.place]
+        parts, lengths = [self.flat], [self.ends]
+        for low in range(0, len(new), ENCODED_AT_ONCE):
+            found = self._encode_words(new[low : low + ENCODED_AT_ONCE])
+            parts.append(np.array([i for ids in found for i in ids], np.uint32))
+            lengths.append(lengths[-1][-1] + np.cumsum([len(ids) for ids in found], dtype=np.int64))
+        self.flat, self.ends = np.concatenate(parts), np.concatenate(lengths)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        at = np.array([self.place[name] for name in names], np.int64)
+        return self.flat, self.ends[at], self.ends[at + 1]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where those of each text begin (one entry more than texts)."""
+        data, offsets = words.text_bytes(texts)
+        if self.lower and not any(name in data.tobytes() for name in (s[:2] for s in self.special)):
+            data = _LOWER[data]  # so that there are fewer distinct words; but special tokens are told by their case
+        starts, ends = word_spans(data, offsets)
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+        spelled = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(bounds), pa.py_buffer(data[~words._SEPARATOR[data]].tobytes())
+        ).dictionary_encode()
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        flat, begins, finish = self.ids(spelled.dictionary.to_pylist())
+        word = spelled.indices.to_numpy()
+        sizes = (finish - begins)[word]
+        ends_of = np.concatenate([[0], np.cumsum(sizes)])
+        ids = flat[np.repeat(begins[word] - ends_of[:-1], sizes) + np.arange(ends_of[-1])]
+        return ids, ends_of[np.searchsorted(starts, offsets)]
+
+    def encoded_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same without looking at words, for tokenizers with rules that reach over white space or marks."""
+        lists = self.encode(texts.fill_null("").to_pylist())
+        return np.array([i for ids in lists for i in ids], np.uint32), np.cumsum([0, *map(len, lists)])
+
+
+_words: dict[str, Words] = {}  # of this Python worker
 
 
 def _tokenising(path: str, end: int, by_word: bool, kept: list[str]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
-        encode = lambda texts: model.encode_batch_fast(texts, add_special_tokens=False)
+        if path not in _words:
+            _words[path] = Words(tokenizer(path))
+        encode = _words[path].encoded if by_word else _words[path].encoded_whole
         for batch in batches:
             for part in blocks(batch, "_text", BLOCK_BYTES):
-                ids, bounds = encoded(part.column("_text"), encode, by_word)
+                ids, bounds = encode(part.column("_text"))
                 ids = np.insert(ids, bounds[1:], end).astype("<u4")
                 bounds = bounds + np.arange(len(bounds))
                 flat = pa.Array.from_buffers(
@@ -231,7 +312,7 @@ def _cutting(shared, kept: list[str], size: int, step_tokens: int):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spots, held, tiers, full = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in blocks(whole, "_ids", BLOCK_BYTES)):
             row, pieces = [], []
             ids = batch.column("_ids")
             columns = (batch.column(c).to_pylist() for c in ("_n", "_place", "_before"))

@@ -10,13 +10,16 @@ count or more.
    each shard are counted.
 2. Every shard is mined completely, phrases of one word included, with a support that is lowered to
    the shard's share of the language's words, rounded up. A phrase with the whole support has the
-   lowered one in at least one shard, or its counts could not add up. Tasks count 64-bit hashes of
-   phrases and hand them on by shard and bucket, so a shard is mined by many tasks.
-3. The locally frequent phrases of all shards are joined in a sieve of ``1 << SIEVE_BITS`` bits, one
-   for each value of a hash. It is 16 MB whatever the corpus; it lets through every candidate, and
+   lowered one in at least one shard, or its counts could not add up. Tasks count 48-bit hashes of
+   phrases and hand them on by shard and bucket, so a shard is mined by many tasks, one for each of its
+   buckets.
+3. The locally frequent phrases of all shards are united, without those whose counts in all shards, by
+   hash, miss the whole support, and set bits of a sieve of ``1 << SIEVE_BITS`` bits, one for each value
+   of the upper bits of a hash. It is 16 MB whatever the corpus; it lets through every candidate, and
    others that share a bit with one, the more the fuller it is.
 4. What passes is counted again over all documents, as text and exactly, and the whole support is
-   asked of it. Whatever the hashes did, the counts are right.
+   asked of it. Whatever the hashes did, the counts are right. Tasks add up their own counts and hand
+   them on in packs, one for a language and bucket.
 
 Scores, covering and ranks are joins and aggregates of counted phrases; the ranks of a language are
 cut to the first ones in every task before they meet.
@@ -26,10 +29,9 @@ count as often as they are there; ties are broken by count, then by phrase in by
 table gives an empty table. Other columns are not read.
 """
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,11 @@ from labelsense.operators.scale import lookup_join, stored
 LONGEST, SUPPORT, COVERED, FIRST = 3, 10, 50, 2000
 SHARDS = 4
 SIEVE_BITS = 27
-SLOT_BITS = 12  # languages are told apart by so many bits of a hash; those that share one have the lower support
-BUCKET_BITS = 6
-BUCKET_WORDS = 1 << 22  # of the corpus, for one bucket of a shard
-BLOCK_BYTES, BLOCK_WORDS = 6 << 20, 1 << 20
-TASK_ENTRIES = 1 << 22
+HASH_BITS, SLOT_BITS = 48, 8  # of a phrase's hash; languages are told apart by so many bits of it, those that share one have the lower support
+BUCKET_BITS = 8
+BUCKET_WORDS = 1 << 19  # of the corpus, for one bucket
+BLOCK_BYTES, BLOCK_WORDS = 2 << 20, 1 << 19
+TASK_ENTRIES, TASK_ROWS = 1 << 21, 1 << 20
 UNKNOWN = "und"
 
 _BREAK = np.zeros(256, bool)
@@ -88,8 +90,8 @@ class Block:
         ``total`` is the running hash of their first ``size`` - 1 words.
         """
         total = total * words._BASE + self.hashes[self.word[at + size - 1]]
-        low = np.uint64((1 << SLOT_BITS) - 1)
-        return (words.mix(total + np.uint64(size)) & ~low) | self.slots[self.word[at]], total
+        own = words.mix(total + np.uint64(size)) >> np.uint64(64 - HASH_BITS + SLOT_BITS)
+        return (own << np.uint64(SLOT_BITS)) | self.slots[self.word[at]], total
 
 
 def text_blocks(batch: pa.RecordBatch, longest: int) -> Iterator[Block]:
@@ -138,18 +140,19 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _local_counts(longest: int, bucket_bits: int):
     """Counts of the phrases that a task has seen, by shard and bucket: first the hashes that came
-    more than once, with their counts, then those that came once."""
+    more than once, with their counts, then those that came once. A hash takes six bytes."""
 
     def pack(held: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
         shards, buckets, hashes, counts = [], [], [], []
         for shard, parts in held.items():
             own, n = summed(parts)
-            bucket = own >> np.uint64(64 - bucket_bits)
+            bucket = own >> np.uint64(HASH_BITS - bucket_bits)
             for low, high in _runs(bucket):
                 once = n[low:high] == 1
                 shards.append(shard)
                 buckets.append(int(bucket[low]))
-                hashes.append(np.concatenate([own[low:high][~once], own[low:high][once]]).tobytes())
+                ordered = np.concatenate([own[low:high][~once], own[low:high][once]])
+                hashes.append(ordered.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes())
                 counts.append(n[low:high][~once].astype(np.uint32).tobytes())
         return pa.RecordBatch.from_arrays(
             [pa.array(shards, pa.int32()), pa.array(buckets, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())],
@@ -197,59 +200,107 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return values[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _frequent(supports: np.ndarray, bucket_bits: int):
-    """The bits of the sieve that the frequent phrases of a bucket of a shard set."""
+def _frequent(supports: np.ndarray, support: int, bucket_bits: int):
+    """The bits of the sieve that are set in a bucket: for the phrases that are frequent in a shard, unless
+    the counts of all shards together are below the support."""
     slot = np.uint64((1 << SLOT_BITS) - 1)
 
     def mine(table: pa.Table) -> pa.Table:
-        parts = []
-        for hashes, counts in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            own, n = np.frombuffer(hashes, np.uint64), np.ones(len(hashes) // 8, np.int64)
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for shard, hashes, counts in zip(*(table.column(c).to_pylist() for c in ("shard", "hashes", "counts")), strict=True):
+            bytes_ = np.frombuffer(hashes, np.uint8).reshape(-1, HASH_BITS // 8)
+            own = np.pad(bytes_, [(0, 0), (0, 8 - HASH_BITS // 8)]).view("<u8").reshape(-1)
+            n = np.ones(len(own), np.int32)
             n[: len(counts) // 4] = np.frombuffer(counts, np.uint32)
-            parts.append((own, n))
-        hashes, n = summed(parts)
-        shard, bucket = table.column("shard")[0].as_py(), table.column("bucket")[0].as_py()
-        hashes = hashes[n >= supports[shard][(hashes & slot).astype(np.int64)]]
+            parts.setdefault(shard, []).append((own, n))
+        mined = {shard: summed(parts.pop(shard)) for shard in list(parts)}
+        local = [own[n >= supports[shard][(own & slot).astype(np.int64)]] for shard, (own, n) in mined.items()]
+        hashes, n = summed(list(mined.values()))
+        found = np.intersect1d(np.concatenate(local), hashes[n >= support])
         bits = np.zeros(1 << (SIEVE_BITS - bucket_bits), bool)
-        bits[((hashes >> np.uint64(64 - SIEVE_BITS)) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-        return pa.table({"bucket": pa.array([bucket], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        bits[((found >> np.uint64(HASH_BITS - SIEVE_BITS)) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     return mine
 
 
-def _either(table: pa.Table) -> pa.Table:
-    """The bits that any shard has set in a bucket."""
-    bits = reduce(or_, [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
-    return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+def _added_up(parts: list[pa.Table]) -> pa.Table:
+    """(lang, bucket, phrase, n), each phrase once."""
+    table = pa.concat_tables(parts).group_by(["lang", "bucket", "phrase"], use_threads=False).aggregate([("n", "sum")])
+    return table.rename_columns(["lang", "bucket", "phrase", "n"])
+
+
+def _packed(table: pa.Table) -> pa.RecordBatch:
+    """A row for each language and bucket, with its phrases in order, their lengths and their counts, compressed."""
+    table = table.sort_by([(c, "ascending") for c in ("lang", "bucket", "phrase")]).combine_chunks()
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    bucket, n = (table.column(c).to_numpy() for c in ("bucket", "n"))
+    phrases = table.column("phrase").combine_chunks()
+    rows = {c: [] for c in ("lang", "bucket", "phrases", "lengths", "counts")}
+    for low, high in _runs(lang.indices.to_numpy().astype(np.int64) << SIEVE_BITS | bucket):
+        data, bounds = words.text_bytes(phrases.slice(low, high - low))
+        parts = (data, np.diff(bounds).astype(np.uint32), n[low:high].astype(np.int64))
+        values = (lang[low].as_py(), int(bucket[low]), *[zlib.compress(part.tobytes(), 1) for part in parts])
+        for column, value in zip(rows.values(), values, strict=True):
+            column.append(value)
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows.values(), kinds, strict=True)], list(rows))
+
+
+def _merging(support: int):
+    """The phrases of a language and bucket that have the support, from the rows of ``_packed``."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = []
+        for row in table.select(["phrases", "lengths", "counts"]).to_pylist():
+            data, lengths, n = (zlib.decompress(row[c]) for c in ("phrases", "lengths", "counts"))
+            bounds = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64)])
+            phrase = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data))
+            parts.append(pa.table({"phrase": phrase, "n": pa.array(np.frombuffer(n, np.int64))}))
+        counted = pa.concat_tables(parts).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+        counted = counted.filter(pc.greater_equal(counted.column("n_sum"), support))
+        lang = pa.repeat(table.column("lang")[0], counted.num_rows)
+        return pa.table({"lang": lang, "phrase": counted.column("phrase").cast(pa.string()), "n": counted.column("n_sum")})
+
+    return merge
 
 
-def _exact_counts(sieve, longest: int):
-    """(lang, phrase, size, n) of the phrases of a block that pass the sieve."""
+def _exact_counts(sieve, longest: int, bucket_bits: int):
+    """Counts of the phrases that pass the sieve, added up over the blocks of a task; see ``_packed``."""
 
     def passes(hashes: np.ndarray) -> np.ndarray:
-        place = (hashes >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+        place = (hashes >> np.uint64(HASH_BITS - SIEVE_BITS)).astype(np.int64)
         return (sieve.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
+    def counts(block: Block) -> Iterator[pa.Table]:
+        at, total, code = np.arange(block.own), np.zeros(block.own, np.uint64), np.zeros(block.own, np.int64)
+        names = None
+        for size in range(1, longest + 1):  # a phrase can only pass if its beginning does
+            more = block.longer(at, size)
+            hashes, total = block.phrase_hashes(total[more], at[more], size)
+            kept = passes(hashes)
+            at, total = at[more][kept], total[kept]
+            key = code[more][kept] * len(block.names) + block.word[at + size - 1]
+            distinct, first, code, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            before, last = np.divmod(distinct, len(block.names))
+            added = block.names.take(pa.array(last))
+            blank = pa.scalar(" ", pa.large_string())
+            names = added if names is None else pc.binary_join_element_wise(names.take(pa.array(before)), added, blank)
+            bucket = (hashes[kept][first] >> np.uint64(HASH_BITS - bucket_bits)).astype(np.int64)
+            yield pa.table({"lang": block.langs.take(pa.array(last)).cast(pa.string()), "bucket": bucket, "phrase": names, "n": n.astype(np.int64)})
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
             for block in text_blocks(batch, longest):
-                at, total, code = np.arange(block.own), np.zeros(block.own, np.uint64), np.zeros(block.own, np.int64)
-                names = None
-                for size in range(1, longest + 1):  # a phrase can only pass if its beginning does
-                    more = block.longer(at, size)
-                    hashes, total = block.phrase_hashes(total[more], at[more], size)
-                    kept = passes(hashes)
-                    at, total = at[more][kept], total[kept]
-                    key = code[more][kept] * len(block.names) + block.word[at + size - 1]
-                    distinct, code, n = np.unique(key, return_inverse=True, return_counts=True)
-                    before, last = np.divmod(distinct, len(block.names))
-                    added = block.names.take(pa.array(last))
-                    names = added if names is None else pc.binary_join_element_wise(names.take(pa.array(before)), added, pa.scalar(" ", pa.large_string()))
-                    langs = block.langs.take(pa.array(last))
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.cast(pa.string()), names.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(n.astype(np.int64))],
-                        ["lang", "phrase", "size", "n"],
-                    )
+                held += counts(block)
+                if sum(map(len, held)) > TASK_ROWS:
+                    held = [_added_up(held)]
+                    if len(held[0]) > TASK_ROWS // 2:
+                        yield _packed(held[0])
+                        held = []
+        if held:
+            yield _packed(_added_up(held))
 
     return read
 
@@ -281,17 +332,15 @@ def language_words(docs: DataFrame, shards: int) -> DataFrame:
     return stored(counts.groupBy("lang").agg(F.sum("n").alias("n"), *own).select("*", slot))
 
 
-def sieve(docs: DataFrame, n_words: DataFrame, longest: int, support: int, shards: int) -> np.ndarray:
+def sieve(docs: DataFrame, n_words: DataFrame, longest: int, support: int, shards: int, bucket_bits: int) -> np.ndarray:
     """Packed bits of all phrases that are frequent in a shard."""
-    total = n_words.agg(F.sum("n")).first()[0] or 0
-    bucket_bits = max(BUCKET_BITS, min(SIEVE_BITS - 3, (total // BUCKET_WORDS).bit_length()))
     local = docs.mapInArrow(
         _local_counts(longest, bucket_bits), "shard int, bucket bigint, hashes binary, counts binary"
     )
     supports = local_supports(n_words, support, shards)
-    mined = local.groupBy("shard", "bucket").applyInArrow(_frequent(supports, bucket_bits), "bucket bigint, bits binary")
+    mined = local.groupBy("bucket").applyInArrow(_frequent(supports, support, bucket_bits), "bucket bigint, bits binary")
     bits = np.zeros((1 << bucket_bits, 1 << (SIEVE_BITS - bucket_bits - 3)), np.uint8)
-    for row in mined.groupBy("bucket").applyInArrow(_either, "bucket bigint, bits binary").toLocalIterator():
+    for row in mined.collect():  # a row per bucket, 16 MB in all
         bits[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return bits.reshape(-1)
 
@@ -303,10 +352,14 @@ def frequent_phrases(
     """(lang, phrase, size, n) of all phrases of 1 to ``longest`` words with the support; words of each language."""
     rows = _prepared(docs, text, lang, shards)
     n_words = language_words(rows, shards)
-    bits = rows.sparkSession.sparkContext.broadcast(sieve(rows, n_words, longest, support, shards))
-    passed = rows.mapInArrow(_exact_counts(bits, longest), "lang string, phrase string, size int, n bigint")
-    counts = passed.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
-    return stored(counts.filter(F.col("n") >= support)), n_words.select("lang", "n")
+    total = n_words.agg(F.sum("n")).first()[0] or 0
+    bucket_bits = max(BUCKET_BITS, min(SIEVE_BITS - 3, (total // BUCKET_WORDS).bit_length()))
+    bits = rows.sparkSession.sparkContext.broadcast(sieve(rows, n_words, longest, support, shards, bucket_bits))
+    schema = "lang string, bucket bigint, phrases binary, lengths binary, counts binary"
+    passed = rows.mapInArrow(_exact_counts(bits, longest, bucket_bits), schema)
+    counts = passed.groupBy("lang", "bucket").applyInArrow(_merging(support), "lang string, phrase string, n bigint")
+    size = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1).cast("int")
+    return stored(counts.withColumn("size", size)), n_words.select("lang", "n")
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -316,12 +369,12 @@ def scored(phrases: DataFrame) -> DataFrame:
     cuts = (
         phrases.filter("size > 1")
         .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-        .select("lang", "phrase", "size", F.col("n").alias("a"), "k", cut(F.lit(1), F.col("k")).alias("left"),
-                cut(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
-    )
-    for side, name in (("left", "l"), ("right", "r")):
-        parts = phrases.select("lang", F.col("phrase").alias(side), F.col("n").alias(name))
-        cuts = lookup_join(cuts, parts, ["lang", side], salt_on=["phrase"])
+        .select("lang", "phrase", "size", F.col("n").alias("a"), "k")
+    )
+    sides = {"l": cut(F.lit(1), F.col("k")), "r": cut(F.col("k") + 1, F.col("size") - F.col("k"))}
+    for name, side in sides.items():
+        parts = phrases.select("lang", F.col("phrase").alias("_part"), F.col("n").alias(name))
+        cuts = lookup_join(cuts.withColumn("_part", side), parts, ["lang", "_part"], salt_on=["phrase"]).drop("_part")
     a, l, r = (F.col(c).cast("decimal(16,0)") for c in "alr")
     exact = F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * a * a, l * r)
     best = F.min(F.struct(exact.alias("score"), "k", "l", "r")).alias("best")

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,15 +67,20 @@ def test_short_documents_fill_long_gaps_before_any_is_cut():
     assert plan.tiers[0] == (2048, 0, 10)
 
 
-def test_ids_of_words_are_those_of_whole_texts():
+def test_ids_of_words_are_those_of_whole_texts(monkeypatch, sf_dir):
     model = packing.tokenizer(PATH)
-    encode = lambda texts: model.encode_batch(texts, add_special_tokens=False)
-    texts = [None, "", " \n", "don't \"x\" <|endoftext|>á ́e é x ΑΣ İi 12a日本  z" * 3, "a\tb\x0bc", "x" * 5000]
-    for rows in (pa.array(texts), pa.array(["", *texts]).slice(1)):
-        ids, bounds = packing.encoded(rows, encode)
-        whole, whole_bounds = packing.encoded(rows, encode, by_word=False)
-        assert ids.tolist() == whole.tolist() and bounds.tolist() == whole_bounds.tolist()
-        assert [len(e.ids) for e in encode([t or "" for t in texts])] == np.diff(bounds).tolist()
+    texts = [None, "", " \n", "don't \"x\" <|endoftext|>á ́e é x ΑΣ İi 12a日本  z" * 3, "a\tb\x0bc", "x" * 5000,
+             "naïve ŒUVRE œuvre ǆ ŀ straße ﬁn ﬁ ª º ӏ İı End. end?! END... 3.5, it's. é, (é). A,b c; <|ENDOFTEXT|> x.<|endoftext|>. .,;"]
+    documents = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    known = packing.Words(model)
+    for rows in (pa.array(texts), pa.array(["", *texts]).slice(1), pa.array(texts[4:6]), pa.array(documents), pa.array([], pa.string())):
+        whole, whole_bounds = known.encoded_whole(rows)
+        plain = [model.encode(t or "", add_special_tokens=False).ids for t in rows.to_pylist()]
+        assert whole.tolist() == sum(plain, []) and np.diff(whole_bounds).tolist() == list(map(len, plain))
+        for limit in (1 << 18, 0):
+            monkeypatch.setattr(packing, "CACHE_WORDS", limit)
+            ids, bounds = known.encoded(rows)
+            assert ids.tolist() == whole.tolist() and bounds.tolist() == whole_bounds.tolist()
 
 
 def check_pieces(rows, texts):

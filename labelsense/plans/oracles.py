@@ -261,6 +261,57 @@ BAYES = f"""WITH dw AS (
     SELECT label, prediction, count(*)::DOUBLE AS n FROM best GROUP BY label, prediction"""
 
 
+def grid_scores(amount: str, prefix: str) -> str:
+    """Columns accuracy and f1 of (l, f, label, prediction, n, w), by n or by w."""
+    return f"""SELECT l, f, sum(hit) / sum(actual) AS {prefix}accuracy,
+        sum(actual * 2 * hit / nullif(actual + predicted, 0)) / sum(actual) AS {prefix}f1
+      FROM (SELECT l, f, v, sum(actual) AS actual, sum(predicted) AS predicted, sum(hit) AS hit FROM (
+        SELECT l, f, label AS v, {amount} AS actual, 0.0 AS predicted, CASE WHEN label = prediction THEN {amount} ELSE 0 END AS hit FROM pairs
+        UNION ALL SELECT l, f, prediction, 0.0, {amount}, 0 FROM pairs) GROUP BY ALL) GROUP BY l, f"""
+
+
+def bayes_grid(test: str) -> str:
+    """Scores (l, f, ...) of naive Bayes with the first l words, trained on the rows of every fold but f.
+
+    ``test`` gives the fold of a row of which all scores are taken; rows of fold -1 are never trained on.
+    """
+    return f"""dw AS MATERIALIZED (
+      SELECT DISTINCT doc_id, w
+      FROM (SELECT doc_id, unnest({tokens("lower(text)", False)}) AS w
+            FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+      WHERE regexp_full_match(w, '\\p{{L}}+')),
+    every AS MATERIALIZED (SELECT doc_id, quality AS c, {test} AS fold,
+        1.0::DOUBLE / ((SELECT count(DISTINCT quality) FROM documents JOIN labels USING (doc_id)) * count(*) OVER (PARTITION BY quality)) AS weight
+      FROM documents JOIN labels USING (doc_id)),
+    vocab AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS r FROM dw GROUP BY w ORDER BY r LIMIT 50),
+    lengths AS (SELECT unnest(range(5, 51, 5)) AS l),
+    f AS (SELECT unnest([-1, 0, 1, 2]) AS f),
+    d AS (SELECT f, doc_id, c FROM f JOIN every ON fold <> f AND fold >= 0),
+    cls AS MATERIALIZED (SELECT f, c, count(*) AS n FROM d GROUP BY f, c),
+    hits AS MATERIALIZED (SELECT doc_id, w, r FROM dw JOIN vocab USING (w)),
+    p AS MATERIALIZED (
+      SELECT cls.f, cls.c, vocab.w, r, (coalesce(k, 0) + 1.0::DOUBLE) / (n + 2.0::DOUBLE) AS p
+      FROM cls CROSS JOIN vocab
+      LEFT JOIN (SELECT d.f, d.c, hits.w, count(*) AS k FROM hits JOIN d USING (doc_id) GROUP BY ALL) h
+        ON h.f = cls.f AND h.c = cls.c AND h.w = vocab.w),
+    base AS (
+      SELECT p.f, p.c, l, sum(ln(1 - p)) + any_value(ln(cls.n + 1.0) - ln(t.n + t.m)) AS s
+      FROM p JOIN lengths ON r <= l JOIN cls ON cls.f = p.f AND cls.c = p.c
+      JOIN (SELECT f, sum(n) AS n, count(*) AS m FROM cls GROUP BY f) t ON t.f = p.f GROUP BY p.f, p.c, l),
+    gain AS (SELECT doc_id, p.f, p.c, l, sum(ln(p) - ln(1 - p)) AS g
+      FROM hits JOIN every USING (doc_id) JOIN p ON p.w = hits.w AND p.f = every.fold JOIN lengths ON hits.r <= l GROUP BY ALL),
+    guesses AS (
+      SELECT every.doc_id, every.fold AS f, every.c AS label, weight, base.l, arg_max(base.c, base.s + coalesce(g, 0)) AS prediction
+      FROM every JOIN base ON base.f = every.fold
+      LEFT JOIN gain ON gain.doc_id = every.doc_id AND gain.c = base.c AND gain.l = base.l GROUP BY ALL),
+    pairs AS MATERIALIZED (SELECT l, f, label, prediction, count(*)::DOUBLE AS n, sum(weight) AS w FROM guesses GROUP BY ALL),
+    scores AS (SELECT * FROM ({grid_scores("n", "")}) JOIN ({grid_scores("w", "weighted_")}) USING (l, f))"""
+
+
+METRICS = ["accuracy", "f1", "weighted_accuracy", "weighted_f1"]
+FOLD = bucket("doc_id", 3, "fold")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "label_counts": """SELECT p_name, count(*) AS count, round(count(*) / (SELECT count(*) FROM part), 6) AS fraction
@@ -389,6 +440,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'model' AS name, {ROUNDED} FROM {scored("j")}
             UNION ALL SELECT 'majority' AS name, {ROUNDED} FROM {scored("b")}""",
         "bayes_score": BAYES,
+        "bayes_grid": f"""WITH {bayes_grid(FOLD)}
+            SELECT l::INT AS "limit", {", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)} FROM scores GROUP BY l""",
+        "held_out_bayes": f"""WITH {bayes_grid(f"CASE WHEN {bucket('doc_id', 1000, 'split')} < 900 THEN {FOLD} ELSE -1 END")},
+            best AS (SELECT l FROM scores WHERE f >= 0 GROUP BY l ORDER BY round(avg(accuracy), 9) DESC, l LIMIT 1)
+            SELECT l::INT AS "limit", {", ".join(f"round({m}, 6) AS {m}" for m in METRICS)}
+            FROM scores WHERE f = -1 AND l = (SELECT l FROM best)""",
         "majority_scored_documents": f"""WITH d AS (
               SELECT doc_id, lang, {bucket("doc_id", 1000, "split")} < 900 AS train FROM documents)
             SELECT doc_id, (SELECT lang FROM d WHERE train GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1) AS predicted_lang

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
 from labelsense.functions.text import canonical_words, pair_sentence, remove_stop_words, tokens
-from labelsense.operators import clean, embeddings, evaluate, labels, lemmas, matching, profile, sentences, wordsets
+from labelsense.operators import clean, embeddings, evaluate, grid, labels, lemmas, matching, profile, sentences, wordsets
 from labelsense.operators.scale import shared_folder, stored
 from labelsense.plans import models
 from labelsense.plans.stages import (
@@ -573,21 +573,75 @@ def trained_variants(spark, sf_dir):
     return models.train_all(models.prepared_variants(sets, n_labels), train, test)[1]
 
 
+GRID_LENGTHS = 15  # words per label
+
+
+def _grid_rows(train):
+    """Rows of the training part with weight and fold, and the number of labels."""
+    rows = evaluate.folds(evaluate.with_class_weight(train, "lang"), "doc_id", 3)
+    return stored(rows.select("doc_id", "label", "words", "weight", "fold")), train.select("label").distinct().count()
+
+
+def _grid_table(table_, n_labels):
+    each = (F.col("limit") / n_labels).cast("int").alias("wordsPerLabel")
+    return table_.select(F.col("name").alias("wordSet"), each, "reg", "l1", *[F.round(m, 4).alias(m) for m in grid.METRICS])
+
+
 @query
 def grid_metrics(spark, sf_dir):
-    """Strategy by words per label, on folds of the training rows from which the sets were learned."""
+    """Strategy by words per label, 75 points, on folds of the training rows from which the sets were learned."""
     train, _ = _prepared(spark, sf_dir)
-    n_labels = train.select("label").distinct().count()
-    sets = _word_sets(train, models.FEATURES_PER_LABEL * n_labels)
-    rows = evaluate.folds(evaluate.with_class_weight(train, "lang"), "doc_id", 3)
-    rows = stored(rows.select("label", "words", "weight", "fold"))
+    rows, n_labels = _grid_rows(train)
+    sets = _word_sets(train, GRID_LENGTHS * n_labels)
+    points = [grid.Point(name, each * n_labels) for name in sets for each in range(1, GRID_LENGTHS + 1)]
+    data = grid.encoded(rows, "doc_id", "words", sets)
+    return _grid_table(grid.metric_table(grid.scored(data, grid.logistic(data, points), points)), n_labels)
+
+
+@query
+def regularised_grid(spark, sf_dir):
+    """Penalty by its share on absolute values by words per label, 72 points."""
+    train, _ = _prepared(spark, sf_dir)
+    rows, n_labels = _grid_rows(train)
+    sets = {"common": tables.word_list(wordsets.common(train, "words", 14 * n_labels), 14 * n_labels)}
     points = [
-        ({"wordSet": name, "wordsPerLabel": each}, models.Pipeline(
-            stages=[WordSetEstimator(wordSet=words, limitTo=each * n_labels), models.logistic()]))
-        for name, words in sets.items()
-        for each in (1, 7, models.FEATURES_PER_LABEL)
+        grid.Point("common", each * n_labels, reg, l1)
+        for reg in (0.001, 0.005, 0.01, 0.05, 0.1, 0.3, 0.5, 1.0) for l1 in (0.0, 0.01, 0.1) for each in (1, 7, 14)
     ]
-    return evaluate.fold_scores(rows, points)
+    data = grid.encoded(rows, "doc_id", "words", sets)
+    return _grid_table(grid.metric_table(grid.scored(data, grid.logistic(data, points), points)), n_labels)
+
+
+def _quality_words(spark, sf_dir):
+    """(doc_id, label, words, weight, fold) of labelled documents, label = quality, and the 50 most common words."""
+    docs = documents(spark, sf_dir, "doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
+    words = stored(docs.select("doc_id", F.col("quality").alias("label"), canonical_words("text", lower=True).alias("words")))
+    rows = evaluate.folds(evaluate.with_class_weight(words, "label"), "doc_id", 3)
+    return rows, {"common": tables.word_list(wordsets.common(words, "words", 50), 50)}
+
+
+BAYES_POINTS = [grid.Point("common", limit) for limit in range(5, 51, 5)]
+
+
+@query
+def bayes_grid(spark, sf_dir):
+    """Naive Bayes with 5 to 50 words: mean of the four scores over three folds."""
+    rows, sets = _quality_words(spark, sf_dir)
+    data = grid.encoded(rows, "doc_id", "words", sets)
+    table_ = grid.metric_table(grid.scored(data, grid.bayes(data, BAYES_POINTS), BAYES_POINTS))
+    return table_.select("limit", *[F.round(m, 6).alias(m) for m in grid.METRICS])
+
+
+@query
+def held_out_bayes(spark, sf_dir):
+    """The best point of a grid on folds of the training part, fitted on all of it, on the test part."""
+    rows, sets = _quality_words(spark, sf_dir)
+    train, test = evaluate.split(rows, "doc_id")
+    data = grid.encoded(train, "doc_id", "words", sets)
+    best = grid.best_point(grid.metric_table(grid.scored(data, grid.bayes(data, BAYES_POINTS), BAYES_POINTS)))
+    held = grid.encoded(test.withColumn("fold", F.lit(-1)), "doc_id", "words", sets, labels=data.labels)
+    found = grid.scored(held, grid.bayes(data, [best], folds=[-1]), [best])
+    return found.select("limit", *[F.round(m, 6).alias(m) for m in grid.METRICS])
 
 
 @query

@@ -46,7 +46,7 @@ TIERS = (2048, 1024, 512, 256)
 END = 1
 STEP_TOKENS = 1 << 17
 BLOCK_BYTES = 2 << 20
-CACHE_WORDS, ENCODED_AT_ONCE = 1 << 19, 1 << 13
+CACHE_WORDS, ENCODED_AT_ONCE = 1 << 18, 1 << 13
 VOCABULARY = "word_bpe_49k.json"
 _MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
@@ -209,9 +209,9 @@ class Words:
         self.special = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
         samples = ["a", "abcdefgh", "éß", "ñandú", "ёлка", "straßenbahnen"]
         self.direct = self.encode(samples) == [self._pieces(name) for name in samples]
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
@@ -239,7 +239,7 @@ class Words:
     def ids(self, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids held, and where those of each of the words begin and end."""
         if len(self.place) > CACHE_WORDS:
-            self._clear()
+            self.clear()
         new = [name for name in names if name not in self.place]
         parts, lengths = [self.flat], [self.ends]
         for low in range(0, len(new), ENCODED_AT_ONCE):
@@ -279,35 +279,44 @@ class Words:
 _words: dict[str, Words] = {}  # of this Python worker
 
 
-def _tokenising(path: str, end: int, by_word: bool, kept: list[str]):
+def id_type(path: str, end: int) -> str:
+    """The shortest unsigned type that holds all ids."""
+    return "<u2" if max(end + 1, tokenizer(path).get_vocab_size()) <= 1 << 16 else "<u4"
+
+
+def _tokenising(path: str, end: int, by_word: bool, kept: list[str], kind: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _words:
             _words[path] = Words(tokenizer(path))
-        encode = _words[path].encoded if by_word else _words[path].encoded_whole
+        known = _words[path]
+        encode = known.encoded if by_word else known.encoded_whole
         for batch in batches:
             for part in blocks(batch, "_text", BLOCK_BYTES):
                 ids, bounds = encode(part.column("_text"))
-                ids = np.insert(ids, bounds[1:], end).astype("<u4")
+                ids = np.insert(ids, bounds[1:], end).astype(kind)
                 bounds = bounds + np.arange(len(bounds))
                 flat = pa.Array.from_buffers(
-                    pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds * 4), pa.py_buffer(ids.tobytes())]
+                    pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds * ids.itemsize), pa.py_buffer(ids.tobytes())]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in kept], flat.cast(pa.binary()), pa.array(np.diff(bounds))], [*kept, "_ids", "_n"]
                 )
+        known.clear()  # the worker may stay for long without a task
 
     return read
 
 
-def tokenised(docs: DataFrame, path: str, text: str, keep: list[Column], end: int = END, by_word: bool = True) -> DataFrame:
-    """The columns ``keep`` under the names _in0, _in1 .. with _ids (32-bit, little-endian) and _n."""
+def tokenised(
+    docs: DataFrame, path: str, text: str, keep: list[Column], end: int = END, by_word: bool = True, kind: str = "<u4"
+) -> DataFrame:
+    """The columns ``keep`` under the names _in0, _in1 .. with _ids (of the type ``kind``) and _n."""
     held = [f"_in{i}" for i in range(len(keep))]
     rows = docs.select(*[c.alias(h) for c, h in zip(keep, held, strict=True)], F.col(text).alias("_text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return evened(rows).mapInArrow(_tokenising(path, end, by_word, held), f"{fields}_ids binary, _n bigint")
+    return evened(rows).mapInArrow(_tokenising(path, end, by_word, held, kind), f"{fields}_ids binary, _n bigint")
 
 
-def _cutting(shared, kept: list[str], size: int, step_tokens: int):
+def _cutting(shared, kept: list[str], size: int, step_tokens: int, kind: str):
     names = [*kept, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +332,12 @@ def _cutting(shared, kept: list[str], size: int, step_tokens: int):
                     at = place - e.first
                     window = e.window + (at // e.per_window) * e.stride
                     of_doc.append((whole * size + e.start, e.length, full + window, e.offset + at % e.per_window * e.length))
-                data = ids[i].as_buffer()
+                data = np.frombuffer(ids[i].as_buffer(), kind).astype("<u4")
                 for start, length, sequence, offset in of_doc:
                     tier, first, windows = next(t for t in tiers if sequence < t[1] + t[2])
                     steps = -(-windows * tier // step_tokens)
                     row.append(i)
-                    pieces.append((start, length, data[start * 4 : (start + length) * 4].to_pybytes(), n, sequence, offset,
+                    pieces.append((start, length, data[start : start + length].tobytes(), n, sequence, offset,
                                    tier, first + (sequence - first) % steps))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             made = [pa.array([p[k] for p in pieces], kind) for k, kind in enumerate(kinds)]
@@ -351,7 +360,8 @@ def packed(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     kept = [f"_in{i}" for i in range(len(keep))]
     size = tiers[0]
-    ids = tokenised(docs, path, text, [*map(F.col, keep), F.col(id_)], end, by_word)
+    kind = id_type(path, end)
+    ids = tokenised(docs, path, text, [*map(F.col, keep), F.col(id_)], end, by_word, kind)
     # The key is fixed when the table is written.
     ids = stored(ids.withColumn("_key", F.monotonically_increasing_id()))
     lengths = ids.select("_key", F.col(f"_in{len(keep)}").alias("_id"), "_n")
@@ -370,7 +380,7 @@ def packed(
     rows = lookup_join(ids, places, ["_key"], salt_on=["_key"], key_rows="_rows")
     rows = rows.select(*kept, "_ids", "_n", "_place", "_before")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[: len(kept)])
-    pieces = rows.mapInArrow(_cutting(shared, kept, size, step_tokens), fields + RESULTS)
+    pieces = rows.mapInArrow(_cutting(shared, kept, size, step_tokens, kind), fields + RESULTS)
     return pieces.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], *names)
 
 

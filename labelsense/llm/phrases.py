@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from labelsense.llm import words
 from labelsense.llm.resampling import blocks
-from labelsense.operators.scale import lookup_join, stored
+from labelsense.operators.scale import split_join, stored
 
 LONGEST, SUPPORT, COVERED, FIRST = 3, 10, 50, 2000
 SHARDS = 4
@@ -372,9 +372,9 @@ def scored(phrases: DataFrame) -> DataFrame:
         .select("lang", "phrase", "size", F.col("n").alias("a"), "k")
     )
     sides = {"l": cut(F.lit(1), F.col("k")), "r": cut(F.col("k") + 1, F.col("size") - F.col("k"))}
-    for name, side in sides.items():
+    for name, side in sides.items():  # the counted phrases grow with the corpus, so they are not broadcast
         parts = phrases.select("lang", F.col("phrase").alias("_part"), F.col("n").alias(name))
-        cuts = lookup_join(cuts.withColumn("_part", side), parts, ["lang", "_part"], salt_on=["phrase"]).drop("_part")
+        cuts = split_join(cuts.withColumn("_part", side), parts, ["lang", "_part"], salt_on=["phrase"]).drop("_part")
     a, l, r = (F.col(c).cast("decimal(16,0)") for c in "alr")
     exact = F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * a * a, l * r)
     best = F.min(F.struct(exact.alias("score"), "k", "l", "r")).alias("best")

@@ -40,7 +40,6 @@ ORACLES: dict[str, str] = {
     "op3_license_digests": licenses.ORACLE,
     "op4_mixed_sources": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
-    "op11_packed_sequences": packing.op11_packed_sequences,
     "op12_importance_resampling": resampling.ORACLE,
     "op13_phrases": phrases.ORACLE,
 }

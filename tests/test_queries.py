@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry_points
 
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-SLOW = ["trained_variants", "grid_metrics"]
+SLOW = ["trained_variants", "grid_metrics", "regularised_grid"]
 
 
 @pytest.fixture(scope="module")

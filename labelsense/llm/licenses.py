@@ -4,7 +4,8 @@ Normal form: lower case; lines that state a copyright are dropped; spellings tha
 made one; all but letters and digits becomes a blank. Two units are looked up by the SHA-256 of
 their normal form: the text as a whole, and each of its lines as a whole, because notices of one
 line are put above or below a document. The catalogue is fixed and of a few hundred rows, so it is
-broadcast.
+broadcast. It holds the full texts of MIT, BSD, ISC and 0BSD, the file headers of Apache-2.0 and
+GPL-3.0, and notices of one line; further full texts are a parameter.
 
 Defined results: null and empty texts, and units without a letter or digit, match nothing; equal
 rows give equal matches, a notice that stands on several lines matches once per line, an empty table
@@ -35,7 +36,13 @@ SPELLINGS = (
     ("https://", "http://"),
     ("©", "(c)"),
 )
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}(©]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# A line that states a copyright: with a year, a sign or a place for the year; "copyright notice" and the
+# like at the start of a line state none. Before a clause on the same line, only the statement goes.
+_STATED = r"^[^\p{L}\p{N}(©]*(?:copyright[^\n]{0,200}?(?:(?:19|20)[0-9][0-9]|\(c\)|©|[<\[{]year)|\(c\)|©)"
+CLAUSE = r"(permission is hereby granted|permission to use, copy|redistribution and use in)"
+BEFORE_CLAUSE = _STATED + r"[^\n]{0,200}?" + CLAUSE
+COPYRIGHT_LINE = _STATED + r"[^\n]*$"
+RESERVED_LINE = r"^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}\n]*$"
 MARKS = r"[^\p{L}\p{N}\n]+"
 
 # The texts of licences as published, without their copyright lines.
@@ -118,14 +125,26 @@ NAMES = {
     "CC0-1.0": ("CC0 1.0", "CC0"),
 } | {f"CC-{kind.replace(' ', '-')}-4.0": (f"CC {kind} 4.0", f"Creative Commons {kind} 4.0 License")
      for kind in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")}
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+}
 NOTICES = ("{verb} under {name}", "{verb} under the {name}", "This {thing} is {verb} under {name}",
            "This {thing} is {verb} under the {name}")
 VERBS, THINGS = ("licensed", "released", "distributed"), ("work", "project", "software", "file")
 
 
+_WIDE = [(spelling, one) for spelling, one in SPELLINGS if " " in spelling]  # a line may end inside them
+
+
 def normal_lines(text: Column) -> Column:
     """The lines of a text in normal form; white space and marks are single blanks, ends are bare."""
-    column = F.regexp_replace(F.lower(text), "(?m)" + COPYRIGHT_LINE, "")
+    column = F.regexp_replace(F.lower(text), "(?m)" + BEFORE_CLAUSE, "$1")
+    for dropped in (COPYRIGHT_LINE, RESERVED_LINE):
+        column = F.regexp_replace(column, "(?m)" + dropped, "")
     for spelling, one in SPELLINGS:
         column = F.replace(column, F.lit(spelling), F.lit(one))
     lines = F.split(F.regexp_replace(column, MARKS, " "), "\n")
@@ -134,15 +153,26 @@ def normal_lines(text: Column) -> Column:
 
 def normal_text(text: str) -> str:
     """The same for a text of the catalogue."""
-    column = re.sub(COPYRIGHT_LINE.replace(r"\p{L}\p{N}", r"\w"), "", text.lower(), flags=re.M)
+    column = text.lower()
+    for pattern, new in ((BEFORE_CLAUSE, r"\1"), (COPYRIGHT_LINE, ""), (RESERVED_LINE, "")):
+        column = re.sub(pattern.replace(r"\p{L}\p{N}", r"\w"), new, column, flags=re.M)
     for spelling, one in SPELLINGS:
         column = column.replace(spelling, one)
-    return " ".join(re.findall(r"[^\W_]+", column))
+    column = " ".join(re.findall(r"[^\W_]+", column))
+    for spelling, one in _WIDE:
+        column = column.replace(spelling, one)
+    return column
+
 
+def catalogue(more: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
+    """Digest, licence and kind ("text" or "notice") of every known form; some hundred rows.
 
-def catalogue() -> list[tuple[str, str, str]]:
-    """Digest, licence and kind ("text" or "notice") of every known form; some hundred rows."""
-    forms = {normal_text(text): (name, "text") for name, text in TEXTS.items()}
+    ``more``: further full texts by licence, of which the caller knows the number.
+    """
+    forms = {}
+    for name, text in [*TEXTS.items(), *(more or {}).items()]:
+        for title in ("", *TITLES.get(name, ())):
+            forms[normal_text(f"{title}\n{text}")] = (name, "text")
     for license_id, names in NAMES.items():
         for name in names:
             for verb in VERBS:
@@ -153,16 +183,23 @@ def catalogue() -> list[tuple[str, str, str]]:
     return [(hashlib.sha256(form.encode()).hexdigest(), *entry) for form, entry in forms.items()]
 
 
-def license_matches(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """One row per match: id, ``scope`` ("text" or "line"), ``line_no`` from 1 (null for a text), licence."""
+def license_matches(
+    docs: DataFrame, text: str = "text", id_: str = "doc_id", more: dict[str, str] | None = None
+) -> DataFrame:
+    """One row per match: id, ``scope`` ("text" or "line"), ``line_no`` from 1 (null for a text), licence.
+
+    ``more``: further full licence texts by licence.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(catalogue(), "digest string, license_id string, form string")
+    known = spark.createDataFrame(catalogue(more), "digest string, license_id string, form string")
     lines = docs.select(F.col(id_), F.inline_outer(F.array(F.struct(normal_lines(F.col(text)).alias("_lines")))))
     held = F.filter(
         F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("form"))),
         lambda unit: unit["form"] != "",
     )
     whole = F.array_join(F.filter("_lines", lambda line: line != ""), " ")
+    for spelling, one in _WIDE:
+        whole = F.replace(whole, F.lit(spelling), F.lit(one))
     units = lines.select(
         F.col(id_),
         F.inline(F.concat(F.array(F.struct(F.lit(None).cast("int").alias("line_no"), whole.alias("form"))), held)),
@@ -179,9 +216,14 @@ def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    column = f"regexp_replace(lower(text), '(?m){COPYRIGHT_LINE}', '', 'g')"
+    column = f"regexp_replace(lower(text), '(?m){BEFORE_CLAUSE}', '\\1', 'g')"
+    for dropped in (COPYRIGHT_LINE, RESERVED_LINE):
+        column = f"regexp_replace({column}, '(?m){dropped}', '', 'g')"
     for spelling, one in SPELLINGS:
         column = f"replace({column}, '{spelling}', '{one}')"
+    whole = "array_to_string(list_filter(l, lambda x: x <> ''), ' ')"
+    for spelling, one in _WIDE:
+        whole = f"replace({whole}, '{spelling}', '{one}')"
     known = ", ".join(f"('{d}', '{name}', '{form}')" for d, name, form in catalogue())
     return f"""WITH known(digest, license_id, form) AS (VALUES {known}),
 lines AS MATERIALIZED (
@@ -189,7 +231,7 @@ lines AS MATERIALIZED (
     list_transform(string_split(regexp_replace({column}, '{MARKS}', ' ', 'g'), chr(10)), lambda x: trim(x)) AS l
   FROM documents WHERE text IS NOT NULL),
 units AS (
-  SELECT doc_id, NULL::INT AS line_no, array_to_string(list_filter(l, lambda x: x <> ''), ' ') AS f FROM lines
+  SELECT doc_id, NULL::INT AS line_no, {whole} AS f FROM lines
   UNION ALL
   SELECT doc_id, line_no::INT, f FROM (
     SELECT doc_id, unnest(l) AS f, generate_subscripts(l, 1) AS line_no FROM lines))

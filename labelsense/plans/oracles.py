@@ -383,6 +383,10 @@ def oracle_sql() -> dict[str, str]:
             """SELECT doc_id, string_agg(rank::VARCHAR, ',' ORDER BY rank) AS indices
             FROM docs JOIN common ON word = w WHERE rank < 100 GROUP BY doc_id"""
         ),
+        "all_encoded_words": words_query(
+            """SELECT documents.doc_id, coalesce(string_agg(rank::VARCHAR, ',' ORDER BY rank), '') AS indices
+            FROM documents LEFT JOIN (SELECT doc_id, rank FROM docs JOIN common ON word = w) e USING (doc_id) GROUP BY documents.doc_id"""
+        ),
         "stored_word_set": words_query("SELECT 'common' AS strategy, rank, word FROM common WHERE rank < 200"),
         "label_mode": """SELECT o_orderpriority AS prediction, (SELECT count(*) FROM orders) AS n FROM orders
             GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1""",
@@ -395,6 +399,8 @@ def oracle_sql() -> dict[str, str]:
             FROM part GROUP BY p_brand) SELECT p_partkey, p_brand, label FROM part JOIN i USING (p_brand)""",
         "shared_index": f"""WITH {SHARED} SELECT o_orderkey, p.i::DOUBLE AS priority, s.i::DOUBLE AS status
             FROM orders JOIN ix p ON p.v = o_orderpriority JOIN ix s ON s.v = o_orderstatus""",
+        "table_index": f"""WITH {SHARED} SELECT o_orderkey, p.i::DOUBLE AS priority, s.i::DOUBLE AS status
+            FROM orders JOIN ix p ON p.v = o_orderpriority JOIN ix s ON s.v = o_orderstatus""",
         "shared_one_hot": f"""WITH {SHARED}, n AS (SELECT count(*)::INT AS width FROM ix)
             SELECT o_orderkey, 'priority' AS column_name, width, i AS position FROM n, orders JOIN ix ON v = o_orderpriority
             UNION ALL

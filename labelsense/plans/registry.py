@@ -17,6 +17,7 @@ from labelsense.plans.stages import (
     SharedOneHot,
     WordSetEstimator,
 )
+from labelsense.plans.table_stages import TableIndexer, TableWordSetEstimator
 from labelsense.sources import tables
 
 QUERIES = {}
@@ -244,6 +245,17 @@ def encoded_words(spark, sf_dir):
     return encoded.select("doc_id", F.array_join("indices", ",").alias("indices"))
 
 
+@query
+def all_encoded_words(spark, sf_dir):
+    """Every word of the documents, none left out, by a stage that was saved and loaded."""
+    docs = words_of(spark, sf_dir)
+    fitted = models.Pipeline(stages=[TableWordSetEstimator(outputCol="indices")]).fit(docs)
+    path = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    models.save(fitted, path)
+    encoded = models.PipelineModel.load(path).transform(docs)
+    return encoded.select("doc_id", F.array_join("indices", ",").alias("indices"))
+
+
 @query
 def stored_word_set(spark, sf_dir):
     path = f"{shared_folder(spark)}/word-sets-{uuid.uuid4().hex}"
@@ -286,6 +298,14 @@ def shared_index(spark, sf_dir):
     return stage.fit(orders).transform(orders).select("o_orderkey", "priority", "status")
 
 
+@query
+def table_index(spark, sf_dir):
+    """One index over two columns, learned and used as a table."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    stage = TableIndexer(inputCols=["o_orderpriority", "o_orderstatus"], outputCols=["priority", "status"])
+    return stage.fit(orders).transform(orders).select("o_orderkey", "priority", "status")
+
+
 @query
 def shared_one_hot(spark, sf_dir):
     indexed = shared_index(spark, sf_dir)

@@ -49,8 +49,8 @@ SIEVE_BITS = 27
 HASH_BITS, SLOT_BITS = 48, 8  # of a phrase's hash; languages are told apart by so many bits of it, those that share one have the lower support
 BUCKET_BITS = 8
 BUCKET_WORDS = 1 << 19  # of the corpus, for one bucket
-BLOCK_BYTES, BLOCK_WORDS = 2 << 20, 1 << 19
-TASK_ENTRIES, TASK_ROWS = 1 << 21, 1 << 20
+BLOCK_BYTES, BLOCK_WORDS = 1 << 20, 1 << 18
+TASK_ENTRIES, TASK_ROWS = 3 << 19, 1 << 19
 UNKNOWN = "und"
 
 _BREAK = np.zeros(256, bool)
@@ -180,6 +180,8 @@ def _local_counts(longest: int, bucket_bits: int):
                         yield pack(held)
                         held, entries = {}, 0
         yield pack(held)
+        del held
+        pa.default_memory_pool().release_unused()
 
     return read
 
@@ -231,8 +233,9 @@ def _added_up(parts: list[pa.Table]) -> pa.Table:
 
 
 def _packed(table: pa.Table) -> pa.RecordBatch:
-    """A row for each language and bucket, with its phrases in order, their lengths and their counts, compressed."""
-    table = table.sort_by([(c, "ascending") for c in ("lang", "bucket", "phrase")]).combine_chunks()
+    """A row for each language and bucket, with its phrases, their lengths and their counts, compressed."""
+    codes = table.column("lang").combine_chunks().dictionary_encode().indices.to_numpy()
+    table = table.take(pa.array(np.lexsort([table.column("bucket").to_numpy(), codes]))).combine_chunks()
     lang = table.column("lang").combine_chunks().dictionary_encode()
     bucket, n = (table.column(c).to_numpy() for c in ("bucket", "n"))
     phrases = table.column("phrase").combine_chunks()
@@ -301,6 +304,8 @@ def _exact_counts(sieve, longest: int, bucket_bits: int):
                         held = []
         if held:
             yield _packed(_added_up(held))
+        del held
+        pa.default_memory_pool().release_unused()  # the worker may stay for long without a task
 
     return read
 

@@ -45,8 +45,8 @@ from labelsense.sources.tables import evened
 TIERS = (2048, 1024, 512, 256)
 END = 1
 STEP_TOKENS = 1 << 17
-BLOCK_BYTES = 2 << 20
-CACHE_WORDS, ENCODED_AT_ONCE = 1 << 18, 1 << 13
+BLOCK_BYTES = 1 << 20
+CACHE_WORDS, ENCODED_AT_ONCE = 1 << 18, 1 << 12
 VOCABULARY = "word_bpe_49k.json"
 _MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
@@ -207,7 +207,7 @@ class Words:
         self.model = model
         self.lower = model.normalizer is not None and model.normalizer.normalize_str("AZ") == "az"
         self.special = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
-        samples = ["a", "abcdefgh", "éß", "ñandú", "ёлка", "straßenbahnen"]
+        samples = ["a", "abcdefgh", "éß", "ñandú", "ёлка", "straßenbahnen", "漢字かな"]
         self.direct = self.encode(samples) == [self._pieces(name) for name in samples]
         self.clear()
 
@@ -224,14 +224,18 @@ class Words:
         return [t.id for t in self.model.model.tokenize(name if name.isascii() else name.encode().decode("latin-1").translate(_BYTE_LETTERS))]
 
     def _encode_words(self, names: list[str]) -> list[list[int]]:
-        """As ``encode``; words of small letters alone go straight to the model, if it gives the same for samples."""
+        """As ``encode``; words of letters alone go straight to the model, if it gives the same for samples."""
         if not self.direct:
             return self.encode(names)
-        out = [
-            self._pieces(name) if name.isalpha() and name.islower() and name.lower() == name and is_normalized("NFC", name) else None
-            for name in names
-        ]
-        rest = [i for i, ids in enumerate(out) if ids is None]
+        out, rest = [None] * len(names), []
+        for i, name in enumerate(names):
+            if name.isalpha() and (name.isascii() or is_normalized("NFC", name)):
+                small = name.lower() if self.lower else name
+                # One letter for one; the small letter of a capital sigma depends on its place.
+                if (small == name or (len(small) == len(name) and "Σ" not in name)) and (self.lower or name.islower()):
+                    out[i] = self._pieces(small)
+                    continue
+            rest.append(i)
         for i, ids in zip(rest, self.encode([names[i] for i in rest]), strict=True):
             out[i] = ids
         return out
@@ -263,7 +267,7 @@ class Words:
         ).dictionary_encode()
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        flat, begins, finish = self.ids(spelled.dictionary.to_pylist())
+        flat, begins, finish = self.ids(spelled.dictionary.to_numpy(zero_copy_only=False).tolist())
         word = spelled.indices.to_numpy()
         sizes = (finish - begins)[word]
         ends_of = np.concatenate([[0], np.cumsum(sizes)])
@@ -302,6 +306,7 @@ def _tokenising(path: str, end: int, by_word: bool, kept: list[str], kind: str):
                     [*[part.column(c) for c in kept], flat.cast(pa.binary()), pa.array(np.diff(bounds))], [*kept, "_ids", "_n"]
                 )
         known.clear()  # the worker may stay for long without a task
+        pa.default_memory_pool().release_unused()
 
     return read
 

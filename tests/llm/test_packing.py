@@ -70,7 +70,7 @@ def test_short_documents_fill_long_gaps_before_any_is_cut():
 def test_ids_of_words_are_those_of_whole_texts(monkeypatch, sf_dir):
     model = packing.tokenizer(PATH)
     texts = [None, "", " \n", "don't \"x\" <|endoftext|>á ́e é x ΑΣ İi 12a日本  z" * 3, "a\tb\x0bc", "x" * 5000,
-             "naïve ŒUVRE œuvre ǆ ŀ straße ﬁn ﬁ ª º ӏ İı End. end?! END... 3.5, it's. é, (é). A,b c; <|ENDOFTEXT|> x.<|endoftext|>. .,;"]
+             "Éé ÑANDÚ Ärger ΣΑΣ İZ ǅ Ǆ naïve ŒUVRE œuvre ǆ ŀ straße ﬁn ﬁ ª º ӏ İı End. end?! END... 3.5, it's. é, (é). A,b c; <|ENDOFTEXT|> x.<|endoftext|>. .,;"]
     documents = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"]).column("text").to_pylist()
     known = packing.Words(model)
     for rows in (pa.array(texts), pa.array(["", *texts]).slice(1), pa.array(texts[4:6]), pa.array(documents), pa.array([], pa.string())):

@@ -190,13 +190,10 @@ def pair_index(df: DataFrame, words: str, label: str) -> tuple[PipelineModel, Da
     The index lives on the driver: track a word set of limited size first.
     """
     rows = _pairs(df, words, label)
-    stages = Pipeline(
-        stages=[
-            SharedIndexer(inputCols=["_label", "_word"], outputCols=["label", "word_index"]),
-            SharedOneHot(inputCols=["word_index"], outputCols=["features"]),
-        ]
-    )
-    fitted = stages.fit(rows)
+    indexer = SharedIndexer(inputCols=["_label", "_word"], outputCols=["label", "word_index"]).fit(rows)
+    # The width of the vectors is told by the distinct words.
+    places = indexer.transform(rows.groupBy("_label", "_word").agg(F.count(F.lit(1))))
+    fitted = PipelineModel([indexer, SharedOneHot(inputCols=["word_index"], outputCols=["features"]).fit(places)])
     return fitted, fitted.transform(rows).select("label", "features")
 
 
@@ -206,6 +203,13 @@ def indexed_pairs(index: PipelineModel, df: DataFrame, words: str, label: str) -
     return index.transform(_pairs(df, words, label)).select("label", "features")
 
 
+def counted_pairs(index: PipelineModel, df: DataFrame, words: str, label: str) -> DataFrame:
+    """The distinct pairs (label, word_index, features, n) of rows, n times each; those with a word or label unknown are left out."""
+    index.stages[0].setHandleInvalid("skip")
+    counted = _pairs(df, words, label).groupBy("_label", "_word").agg(F.count(F.lit(1)).alias("n"))
+    return index.transform(counted).select("label", "word_index", "features", "n")
+
+
 def index_pairs(df: DataFrame, words: str, label: str) -> DataFrame:
     """One row per word of each review with word and label on one shared index (label, features)."""
     return pair_index(df, words, label)[1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
 from labelsense.functions.text import canonical_words, pair_sentence, remove_stop_words, tokens
-from labelsense.operators import clean, embeddings, evaluate, grid, labels, lemmas, matching, profile, sentences, wordsets
+from labelsense.operators import clean, embeddings, evaluate, grid, labels, lemmas, matching, network, profile, sentences, wordsets
 from labelsense.operators.scale import shared_folder, stored
 from labelsense.plans import models
 from labelsense.plans.stages import (
@@ -534,12 +534,13 @@ def bottleneck_metrics(spark, sf_dir):
     train, test = _prepared(spark, sf_dir)
     balanced = stored(labels.balance(train, "doc_id", "lang"))
     words = WordSetEstimator(outputCol="tracked", limitTo=500, indexWords=False).fit(balanced)
-    index, pairs = models.pair_index(words.transform(balanced), "tracked", "lang")
-    pairs = stored(pairs)
+    tracked = stored(words.transform(balanced).select("lang", "tracked"))
+    index, _ = models.pair_index(tracked, "tracked", "lang")
+    pairs = stored(models.counted_pairs(index, tracked, "tracked", "lang"))
     width = len(index.stages[0].labelsArray[0])
-    fitted = models.bottleneck(width, width, seed=17).fit(pairs)
-    held = models.indexed_pairs(index, words.transform(test), "tracked", "lang")
-    return _rounded(evaluate.scores(fitted.transform(held)))
+    fitted = network.fit_counted(models.bottleneck(width, width, seed=17), pairs.withColumnRenamed("word_index", "word"))
+    held = stored(models.counted_pairs(index, words.transform(test), "tracked", "lang"))
+    return _rounded(evaluate.scores(fitted.transform(held), weight="n"))
 
 
 def _prepared(spark, sf_dir):

@@ -30,6 +30,7 @@ SPACE = r" \t\n\x0B\f\r"
 TOKEN = f"[^{SPACE}]+"
 LAST_TOKEN = f"([^{SPACE}]+)[{SPACE}]*$"
 FIRST_TOKEN = f"^[{SPACE}]*([^{SPACE}]+)"
+SPACES, OTHER_SPACES = " \t\n\x0b\f\r", "\t\n\x0b\f\r"
 OPENING = r"""^["'“”‘’«»(\[{]+"""
 CLOSING = r"""["'“”‘’«»)\]},;:?!]+$"""
 
@@ -56,15 +57,20 @@ class SentenceModel:
         return cls(*[spark.read.parquet(f"{path}/{field.name}") for field in fields(cls)])
 
 
+# The characters of both patterns.
+_OPENING, _CLOSING = """"'“”‘’«»([{""", """"'“”‘’«»)]},;:?!"""
+
+
 def _bare(token: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(token, OPENING, ""), CLOSING, "")
+    """What ``OPENING`` and ``CLOSING`` leave of a token."""
+    return F.rtrim(F.ltrim(token, F.lit(_OPENING)), F.lit(_CLOSING))
 
 
 def _described(token: Column) -> list[Column]:
     """Type of a token, whether it ends in one full stop, in several, and whether its first letter is a capital."""
     bare = _bare(token)
     return [
-        F.regexp_replace(F.lower(bare), r"\.+$", "").alias("type"),
+        F.rtrim(F.lower(bare), F.lit(".")).alias("type"),
         (F.endswith(bare, F.lit(".")) & ~F.endswith(bare, F.lit(".."))).alias("stop"),
         F.endswith(bare, F.lit("..")).alias("dots"),
         bare.rlike(r"^\p{Lu}").alias("capital"),
@@ -77,11 +83,20 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), F.lit(0))
 
 
+def _end_token(piece: Column, side: int) -> Column:
+    """The first token (1) or the last (-1) of a piece without white space at that end.
+
+    Cut at a space first; a pattern that ends in ``$`` would be tried at every character of the piece.
+    """
+    short = F.substring_index(piece, " ", side)
+    return F.substring_index(F.translate(short, OTHER_SPACES, " " * len(OTHER_SPACES)), " ", side)
+
+
 def _borders(text: Column) -> Column:
     """An array of the tokens before and after each place where a sentence may end; place 0 is the text's start."""
     pieces = _pieces(text)
-    before = F.concat(F.array(F.lit("")), F.transform(pieces, lambda p: F.regexp_extract(p, LAST_TOKEN, 1)))
-    after = F.transform(pieces, lambda p: F.regexp_extract(p, FIRST_TOKEN, 1))
+    before = F.concat(F.array(F.lit("")), F.transform(pieces, lambda p: _end_token(F.rtrim(p, F.lit(SPACES)), -1)))
+    after = F.transform(pieces, lambda p: _end_token(p, 1))
     both = F.arrays_zip(after.alias("after"), F.slice(before, F.lit(1), F.size(pieces)).alias("before"))
     return F.transform(both, lambda b, i: F.struct(b["before"].alias("before"), b["after"].alias("after"), i.alias("place")))
 
@@ -133,8 +148,16 @@ def _pair_counts(borders: DataFrame) -> DataFrame:
     return pairs.select("before", "after", "n", struct("before").alias("b"), struct("after").alias("a"))
 
 
-def learn(df: DataFrame, text: str = "text", known: list[str] = ()) -> SentenceModel:
-    """A model of the texts. ``known`` names further abbreviations, in lower case, without the last full stop."""
+def bordered(df: DataFrame, text: str, keep: list[Column]) -> DataFrame:
+    """Rows with the key ``_row`` and ``_borders``, cut once for learning from texts and for counting in them."""
+    return stored(df.select(*keep, F.monotonically_increasing_id().alias("_row"), _borders(F.col(text)).alias("_borders")))
+
+
+def learn(df: DataFrame, text: str = "text", known: list[str] = (), rows: DataFrame | None = None) -> SentenceModel:
+    """A model of the texts. ``known`` names further abbreviations, in lower case, without the last full stop.
+
+    ``rows`` are the same texts ``bordered``, if they are cut already.
+    """
     spark = df.sparkSession
     tokens = df.select(F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("token"))
     counted = tokens.groupBy("token").agg(F.count("token").alias("n")).filter("n > 0")
@@ -156,7 +179,8 @@ def learn(df: DataFrame, text: str = "text", known: list[str] = ()) -> SentenceM
         abbreviations = abbreviations.unionByName(more).groupBy("type").agg(F.max("score").alias("score"))
     abbreviations = stored(abbreviations)
 
-    borders = df.select(F.explode_outer(_borders(F.col(text))).alias("_b")).select("_b.before", "_b.after")
+    cut = df.select(_borders(F.col(text)).alias("_borders")) if rows is None else rows
+    borders = cut.select(F.explode_outer("_borders").alias("_b")).select("_b.before", "_b.after")
     pairs = stored(_pair_counts(borders.filter("after is not null")))
     flagged = _with_flag(pairs, abbreviations.select(F.col("type").alias("_type")), F.col("b.type") == F.col("_type"), "abbreviated")
     flagged = flagged.withColumn("sure", _sure_end(F.col("before"), {c: F.col(f"b.{c}") for c in ("type", "stop", "dots")}, F.col("abbreviated")))
@@ -177,9 +201,13 @@ def learn(df: DataFrame, text: str = "text", known: list[str] = ()) -> SentenceM
 
     loose = flagged.filter(F.col("b.stop") & (_initial(F.col("b.type")) | _number(F.col("b.type"))))
     loose = loose.groupBy(F.col("b.type").alias("type"), F.col("a.type").alias("next")).agg(F.sum("n").alias("both"))
-    loose = loose.filter(F.col("next").rlike(r"^\p{L}+$"))
-    loose = lookup_join(loose, types.select("type", "stops"), ["type"], salt_on=["next"])
-    loose = lookup_join(loose, types.select(F.col("type").alias("next"), F.col("n").alias("_n")), ["next"], salt_on=["type"])
+    loose = stored(loose.filter(F.col("next").rlike(r"^\p{L}+$")))
+    # Only the types that are asked for are measured, not all of them.
+    before, after = loose.select("type").distinct(), loose.select("next").distinct()
+    stops = types.select("type", "stops").join(before, "type", "left_semi")
+    amounts = types.select(F.col("type").alias("next"), F.col("n").alias("_n")).join(after, "next", "left_semi")
+    loose = lookup_join(loose, stops, ["type"], salt_on=["next"])
+    loose = lookup_join(loose, amounts, ["next"], salt_on=["type"])
     loose = loose.filter(F.col("both") * n > F.col("_n") * F.col("stops"))
     collocations = loose.select("type", "next", association(F.col("stops"), F.col("_n"), F.col("both"), n).alias("score"))
     return SentenceModel(
@@ -227,18 +255,31 @@ def inner_marks(borders: DataFrame, model: SentenceModel) -> DataFrame:
     return pairs.filter(inner).select("before", "after")
 
 
-def _marked(df: DataFrame, text: str, model: SentenceModel, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows with the key ``_row``, and the places (``_row``, ``place``) of marks inside a sentence."""
-    rows = stored(df.select(*columns, F.monotonically_increasing_id().alias("_row"), _borders(F.col(text)).alias("_borders")))
+def _marked(rows: DataFrame, model: SentenceModel) -> DataFrame:
+    """The places (``_row``, ``place``) of marks inside a sentence of ``bordered`` rows."""
     stops = F.filter("_borders", lambda b: b["before"].contains(".") & (b["place"] > 0))
     places = rows.select("_row", F.explode_outer(stops).alias("_b")).select("_row", "_b.before", "_b.after", "_b.place")
     places = places.filter("place is not null")
-    return rows, lookup_join(places, inner_marks(places, model), ["before", "after"], salt_on=["_row", "place"])
+    return lookup_join(places, inner_marks(places, model), ["before", "after"], salt_on=["_row", "place"])
+
+
+def _kept(keep: list[str]) -> list[Column]:
+    return [F.col(c).alias(f"_in{i}") for i, c in enumerate(keep)]
 
 
 def with_sentence_counts(df: DataFrame, text: str, model: SentenceModel, keep: list[str], name: str = "n_sentences") -> DataFrame:
     """The columns ``keep`` and the number of sentences; null for a null text, 0 for one without a word."""
-    rows, inner = _marked(df, text, model, [F.col(c).alias(f"_in{i}") for i, c in enumerate(keep)])
+    return _counted(bordered(df, text, _kept(keep)), model, keep, name)
+
+
+def learned_counts(df: DataFrame, text: str, keep: list[str], name: str = "n_sentences") -> DataFrame:
+    """``with_sentence_counts`` by the model of the texts themselves, which are cut once for both."""
+    rows = bordered(df, text, _kept(keep))
+    return _counted(rows, learn(df, text, rows=rows), keep, name)
+
+
+def _counted(rows: DataFrame, model: SentenceModel, keep: list[str], name: str) -> DataFrame:
+    inner = _marked(rows, model)
     less = inner.groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_less"))
     counted = lookup_join(rows.withColumn("_most", F.size("_borders")).drop("_borders"), less, ["_row"], "left")
     count = F.when(F.col("_most") >= 0, F.col("_most") - F.coalesce("_less", F.lit(0)))
@@ -247,8 +288,8 @@ def with_sentence_counts(df: DataFrame, text: str, model: SentenceModel, keep: l
 
 def split_sentences(df: DataFrame, text: str, model: SentenceModel, keep: list[str]) -> DataFrame:
     """One row per sentence: the columns ``keep``, ``sentence_no`` from 0, and the ``sentence``."""
-    columns = [F.col(c).alias(f"_in{i}") for i, c in enumerate(keep)]
-    rows, inner = _marked(df, text, model, [*columns, F.col(text).alias("_text")])
+    rows = bordered(df, text, [*_kept(keep), F.col(text).alias("_text")])
+    inner = _marked(rows, model)
     pieces = rows.select(*[f"_in{i}" for i in range(len(keep))], "_row", F.posexplode(_pieces(F.col("_text"))).alias("place", "_piece"))
     inner = inner.select("_row", "place", F.lit(0).alias("_ends"))
     pieces = pieces.join(inner, ["_row", "place"], "left")

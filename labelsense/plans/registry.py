@@ -122,13 +122,13 @@ def sentence_abbreviations(spark, sf_dir):
 def learned_sentences(spark, sf_dir):
     """Number of sentences of every document, with abbreviations learned from all of them."""
     docs = documents(spark, sf_dir, "doc_id", "text")
-    return sentences.with_sentence_counts(docs, "text", sentences.learn(docs), ["doc_id"])
+    return sentences.learned_counts(docs, "text", ["doc_id"])
 
 
 @query
 def learned_sentence_summary(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
-    return profile.length_summary(sentences.with_sentence_counts(docs, "text", sentences.learn(docs), ["doc_id"]), "n_sentences")
+    return profile.length_summary(sentences.learned_counts(docs, "text", ["doc_id"]), "n_sentences")
 
 
 @query

@@ -116,3 +116,33 @@ def test_empty_table(spark, corpus):
     empty = sentences.learn(nothing)
     assert sentences.with_sentence_counts(nothing, "text", empty, ["id"]).count() == 0
     assert counted(spark, empty, CASE, "a. b") == [6, 1]
+
+
+def test_learned_counts_cut_texts_once(spark):
+    texts = ["He met Dr. Smith. It was late!\tYes.", "a. b.\n\"Who?\" no", None, "", "Dr. Jones came. Dr. Smith left."] * 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    rows = sentences.bordered(docs.mapInArrow(seen, docs.schema), "text", [F.col("id")])
+    sentences.learn(docs, rows=rows)
+    assert calls.value == len(texts)
+    expected = sentences.with_sentence_counts(docs, "text", sentences.learn(docs), ["id"]).collect()
+    assert sorted(sentences.learned_counts(docs, "text", ["id"]).collect()) == sorted(expected)
+
+
+def test_borders_are_those_of_the_patterns(spark):
+    texts = ["a b.  c\td! \"e?\" f", "x\n.", "No mark\fhere", "(Q).\r\nNext\x0bone?", "", None, "ends. "]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    last = lambda p: F.regexp_extract(p, sentences.LAST_TOKEN, 1)
+    pieces = sentences._pieces(F.col("text"))
+    before = F.slice(F.concat(F.array(F.lit("")), F.transform(pieces, last)), F.lit(1), F.size(pieces))
+    after = F.transform(pieces, lambda p: F.regexp_extract(p, sentences.FIRST_TOKEN, 1))
+    cut = sentences._borders(F.col("text"))
+    found = docs.select(before.alias("b"), after.alias("a"), F.transform(cut, lambda c: c["before"]).alias("fb"), F.transform(cut, lambda c: c["after"]).alias("fa"))
+    for row in found.collect():
+        assert (row.fb, row.fa) == (row.b, row.a)

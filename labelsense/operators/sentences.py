@@ -57,20 +57,24 @@ class SentenceModel:
         return cls(*[spark.read.parquet(f"{path}/{field.name}") for field in fields(cls)])
 
 
+SEPARATOR = "[\u0085\u2028\u2029]"
 # The characters of both patterns.
 _OPENING, _CLOSING = """"'“”‘’«»([{""", """"'“”‘’«»)]},;:?!"""
 
 
 def _bare(token: Column) -> Column:
-    """What ``OPENING`` and ``CLOSING`` leave of a token."""
-    return F.rtrim(F.ltrim(token, F.lit(_OPENING)), F.lit(_CLOSING))
+    """What ``OPENING`` and ``CLOSING`` leave of a token; to a pattern a last line separator is behind the end."""
+    plain = F.rtrim(F.ltrim(token, F.lit(_OPENING)), F.lit(_CLOSING))
+    matched = F.regexp_replace(F.regexp_replace(token, OPENING, ""), CLOSING, "")
+    return F.when(token.rlike(SEPARATOR), matched).otherwise(plain)
 
 
 def _described(token: Column) -> list[Column]:
     """Type of a token, whether it ends in one full stop, in several, and whether its first letter is a capital."""
     bare = _bare(token)
     return [
-        F.rtrim(F.lower(bare), F.lit(".")).alias("type"),
+        F.when(token.rlike(SEPARATOR), F.regexp_replace(F.lower(bare), r"\.+$", ""))
+        .otherwise(F.rtrim(F.lower(bare), F.lit("."))).alias("type"),
         (F.endswith(bare, F.lit(".")) & ~F.endswith(bare, F.lit(".."))).alias("stop"),
         F.endswith(bare, F.lit("..")).alias("dots"),
         bare.rlike(r"^\p{Lu}").alias("capital"),

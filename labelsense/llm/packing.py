@@ -28,8 +28,10 @@ columns given as ``keep`` are carried along, unless they bear a result's name.
 """
 
 from bisect import bisect_right
+from codecs import charmap_decode
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -56,6 +58,7 @@ _LOWER[65:91] += 32
 # Byte-level vocabularies write bytes as letters: printable ones of Latin-1 as they are, others from code 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_LETTER_OF_BYTE = "".join(chr(_BYTE_LETTERS.get(b, b)) for b in range(256))
 RESULTS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step long"
 
 
@@ -208,7 +211,7 @@ class Words:
         self.lower = model.normalizer is not None and model.normalizer.normalize_str("AZ") == "az"
         self.special = [t.content.encode() for t in model.get_added_tokens_decoder().values()]
         samples = ["a", "abcdefgh", "éß", "ñandú", "ёлка", "straßenbahnen", "漢字かな"]
-        self.direct = self.encode(samples) == [self._pieces(name) for name in samples]
+        self.direct = self.encode(samples) == [self._pieces(name, model.model.tokenize) for name in samples]
         self.clear()
 
     def clear(self) -> None:
@@ -219,22 +222,28 @@ class Words:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, name: str) -> list[int]:
+    @staticmethod
+    def _pieces(name: str, tokenize) -> list[int]:
         """Ids of a word that normal form and splitting leave as it is: the model's own, over its bytes as letters."""
-        return [t.id for t in self.model.model.tokenize(name if name.isascii() else name.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+        return [t.id for t in tokenize(name if name.isascii() else charmap_decode(name.encode(), "strict", _LETTER_OF_BYTE)[0])]
 
     def _encode_words(self, names: list[str]) -> list[list[int]]:
         """As ``encode``; words of letters alone go straight to the model, if it gives the same for samples."""
         if not self.direct:
             return self.encode(names)
         out, rest = [None] * len(names), []
+        tokenize, pieces = self.model.model.tokenize, self._pieces  # each look at ``model`` makes an object
         for i, name in enumerate(names):
-            if name.isalpha() and (name.isascii() or is_normalized("NFC", name)):
-                small = name.lower() if self.lower else name
-                # One letter for one; the small letter of a capital sigma depends on its place.
-                if (small == name or (len(small) == len(name) and "Σ" not in name)) and (self.lower or name.islower()):
-                    out[i] = self._pieces(small)
+            if name.isalpha() and (name.islower() or self.lower):
+                if name.isascii():
+                    out[i] = [t.id for t in tokenize(name.lower())]
                     continue
+                if is_normalized("NFC", name):
+                    small = name.lower() if self.lower else name
+                    # One letter for one; the small letter of a capital sigma depends on its place.
+                    if small == name or (len(small) == len(name) and "Σ" not in name):
+                        out[i] = pieces(small, tokenize)
+                        continue
             rest.append(i)
         for i, ids in zip(rest, self.encode([names[i] for i in rest]), strict=True):
             out[i] = ids
@@ -244,15 +253,17 @@ class Words:
         """All ids held, and where those of each of the words begin and end."""
         if len(self.place) > CACHE_WORDS:
             self.clear()
-        new = [name for name in names if name not in self.place]
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        unmet = np.flatnonzero(at < 0)
+        new = [names[i] for i in unmet.tolist()]
         parts, lengths = [self.flat], [self.ends]
         for low in range(0, len(new), ENCODED_AT_ONCE):
             found = self._encode_words(new[low : low + ENCODED_AT_ONCE])
-            parts.append(np.array([i for ids in found for i in ids], np.uint32))
-            lengths.append(lengths[-1][-1] + np.cumsum([len(ids) for ids in found], dtype=np.int64))
+            parts.append(np.array(list(chain.from_iterable(found)), np.uint32))
+            lengths.append(lengths[-1][-1] + np.cumsum([*map(len, found)], dtype=np.int64))
         self.flat, self.ends = np.concatenate(parts), np.concatenate(lengths)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-        at = np.array([self.place[name] for name in names], np.int64)
+        at[unmet] = np.arange(len(self.ends) - 1 - len(new), len(self.ends) - 1)
+        self.place.update(zip(new, at[unmet].tolist(), strict=True))
         return self.flat, self.ends[at], self.ends[at + 1]
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelsense.functions.stopwords import REVIEW_BLACKLIST, stop_words
 from labelsense.functions.text import canonical_words, pair_sentence, remove_stop_words, tokens
-from labelsense.operators import clean, embeddings, evaluate, grid, labels, lemmas, matching, network, profile, sentences, wordsets
+from labelsense.operators import boosting, clean, embeddings, evaluate, grid, labels, lemmas, matching, network, profile, sentences, wordsets
 from labelsense.operators.scale import shared_folder, stored
 from labelsense.plans import models
 from labelsense.plans.stages import (
@@ -516,7 +516,7 @@ def forest_metrics(spark, sf_dir):
 
 @query
 def boosted_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir, "boosted", models.boosted(seed=17))
+    return _metrics(spark, sf_dir, "boosted", boosting.BoostedTogether(models.boosted(seed=17)))
 
 
 @query
@@ -524,7 +524,7 @@ def compared_models(spark, sf_dir):
     train, test = _features(spark, sf_dir)
     chosen = {
         "logistic": models.logistic(), "bayes": models.bayes(), "forest": models.forest(seed=17),
-        "boosted": models.boosted(seed=17),
+        "boosted": boosting.BoostedTogether(models.boosted(seed=17)),
     }
     return models.compare_models(train, test, chosen)
 

@@ -43,6 +43,23 @@ def common(df: DataFrame, words: str, limit: int | None = None) -> DataFrame:
     return ranked(counts, F.desc("count"), F.asc("word")).select("rank", "word", "count")
 
 
+def forms_of_common(counts: DataFrame, lemmas: dict[str, str], limit: int, most: int = 2000) -> list[str] | None:
+    """The words of which the ``limit`` most common lemmas can be made, or None if they are more than ``most``.
+
+    ``counts`` is the document frequency (word, count) before lemmatising. A lemma is held by at least as many rows as
+    its most common form, and by at most as many as all its forms together; so the lemmas that the latter leaves below
+    the ``limit``-th of the former can't be among the most common, and need not be counted.
+    """
+    table = counts.sparkSession.createDataFrame(sorted(lemmas.items()), "word string, lemma string")
+    known = lookup_join(counts, table, ["word"], "left") if lemmas else counts.withColumn("lemma", F.col("word"))
+    forms = stored(known.select("word", "count", F.coalesce("lemma", "word").alias("lemma")))
+    bounds = forms.groupBy("lemma").agg(F.max("count").alias("least"), F.sum("count").alias("all"))
+    top = bounds.orderBy(F.desc("least")).limit(limit).select("least").collect()
+    cut = min((row.least for row in top), default=0) if len(top) == limit else 0
+    rows = forms.join(bounds.filter(F.col("all") >= cut), "lemma").select("word").limit(most + 1).collect()
+    return sorted(row.word for row in rows) if len(rows) <= most else None
+
+
 def interleave(ranks: DataFrame, label_order: DataFrame) -> DataFrame:
     """Merge one ranked word list per label into one list: all first words, all second words, ...
 

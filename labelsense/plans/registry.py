@@ -487,8 +487,19 @@ def bayes_score(spark, sf_dir):
 
 
 def _features(spark, sf_dir, per_label=models.FEATURES_PER_LABEL):
-    """Training and test features of documents: the most common words, label = lang."""
-    train, test = _prepared(spark, sf_dir, plain_label=False)
+    """Training and test features of documents: the most common words, label = lang.
+
+    Of the plain words only those are lemmatised that can become a tracked word."""
+    train, test = evaluate.split(_plain_words(spark, sf_dir), "doc_id")
+    index, lemma = models.pipeline("plain", "lang", models.logistic(), stop=STOP_WORDS).getStages()[:2]
+    counts = stored(wordsets.document_frequency(train, "plain"))
+    index, words = index.fit(train), lemma.fit_counted(train, counts)
+    forms = wordsets.forms_of_common(counts, words.getLemmas(), per_label * 4)
+    needed = F.col("plain") if forms is None else F.filter("plain", lambda word: word.isin(forms))
+    train, test = (
+        stored(words.transform(index.transform(rows.withColumn("plain", needed))).select("doc_id", "label", "words"))
+        for rows in (train, test)
+    )
     fitted = WordSetEstimator(inputCol="words", outputCol="features", limitTo=per_label * 4).fit(train)
     keep = ["doc_id", "label", "features"]
     return stored(fitted.transform(train).select(*keep)), stored(fitted.transform(test).select(*keep))
@@ -560,16 +571,20 @@ def _fitted_by_steps(stages, train):
     return models.PipelineModel([*words.stages, tracked, classifier.fit(features)])
 
 
-def _prepared(spark, sf_dir, plain_label=True):
+def _plain_words(spark, sf_dir):
+    """Documents (doc_id, lang, plain) with the words of their texts, not yet lemmatised."""
+    return _split_texts(documents(spark, sf_dir, "doc_id", "text", "lang")).withColumnRenamed("words", "plain")
+
+
+def _prepared(spark, sf_dir):
     """Training and test rows (doc_id, lang, label, words); lemmas and labels are learned from the first.
 
-    A plain label does not say how many labels there are, the one for unseen values included.
+    The label does not say how many labels there are, the one for unseen values included.
     """
-    docs = _split_texts(documents(spark, sf_dir, "doc_id", "text", "lang")).withColumnRenamed("words", "plain")
-    train, test = evaluate.split(docs, "doc_id")
+    train, test = evaluate.split(_plain_words(spark, sf_dir), "doc_id")
     stages = models.pipeline("plain", "lang", models.logistic(), stop=STOP_WORDS).getStages()[:2]
     fitted = models.Pipeline(stages=stages).fit(train)
-    label = F.col("label").alias("label", metadata={}) if plain_label else F.col("label")
+    label = F.col("label").alias("label", metadata={})
     return [stored(fitted.transform(rows).select("doc_id", "lang", label, "words")) for rows in (train, test)]
 
 

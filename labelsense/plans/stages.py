@@ -112,12 +112,19 @@ class LemmaEstimator(Estimator, _InOut, WordRules):
         else:
             words = canonical_words(self.getInputCol(), rules["stopWords"], rules["onlyAlpha"], rules["lower"])
             plain = stored(dataset.select(words.alias("words")))
+        return self._learned(stage, plain, stored(document_frequency(plain, "words")))
+
+    def fit_counted(self, dataset, counts):
+        """``fit`` on a column of word lists whose document frequency is known."""
+        stage = CanonicalWords(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), **self.rules())
+        return self._learned(stage, dataset.select(F.col(self.getInputCol()).alias("words")), counts)
+
+    def _learned(self, stage, plain, counts):
         given, share = self.getOrDefault("lexicon"), self.getOrDefault("lexiconShare")
-        counts = stored(document_frequency(plain, "words"))
         if given is None:
             lexicon = corpus_lexicon(plain, "words", share, counts)
         else:
-            lexicon = dataset.sparkSession.createDataFrame([(w,) for w in given], "word string")
+            lexicon = plain.sparkSession.createDataFrame([(w,) for w in given], "word string")
         rows = lemma_table(counts, lexicon).collect()  # at most eight per base form
         return stage.setLemmas({row.word: row.lemma for row in sorted(rows)})
 

@@ -71,3 +71,23 @@ def test_model_is_saved_and_odd_input_refused(spark, tmp_path):
         boosting.BoostedTogether(models.boosted()).fit(spark.createDataFrame([(0.0, DenseVector([2.0]))], ["label", "features"]))
     with pytest.raises(ValueError, match="no row"):
         boosting.BoostedTogether(models.boosted()).fit(rows.filter("false"))
+
+
+def test_only_words_that_may_be_tracked_are_lemmatised(spark, tmp_path, monkeypatch):
+    draw = random.Random(5)
+    base = ["walk", "talk", "jump", "river", "stone", "cloud", "house", "tree", "light", "grass"]
+    words = [w + e for w in base for e in ("", "s", "ed", "ing")]
+    rows = [(i, " ".join(draw.choices(words[: 20 + i % 20], k=i % 9)), ["en", "de", None][i % 3]) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id int, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    train, test = registry._prepared(spark, str(tmp_path))
+    plain = registry.WordSetEstimator(inputCol="words", outputCol="features", limitTo=4).fit(train)
+    expected = [sorted((r.doc_id, r.label, r.features) for r in plain.transform(part).collect()) for part in (train, test)]
+    forms, told = registry.wordsets.forms_of_common, []
+    monkeypatch.setattr(registry.wordsets, "forms_of_common", lambda *a: told.append(forms(*a)) or told[-1])
+    for most in (2000, 1):
+        if most == 1:
+            monkeypatch.setattr(registry.wordsets, "forms_of_common", lambda *a: told.append(forms(*a, most)) or told[-1])
+        found = [sorted((r.doc_id, r.label, r.features) for r in part.collect()) for part in registry._features(spark, str(tmp_path), 1)]
+        assert found == expected
+    assert set(told[0]) < set(words)
+    assert told[1] is None

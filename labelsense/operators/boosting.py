@@ -128,23 +128,27 @@ def _splits(rows: DataFrame, grown: dict, labels: int, width: int, level: int, f
         sums = {k: np.zeros((2, len(nodes) + 1, width + 1)) for k, (_, _, nodes) in shared.value.items()}
         for batch in batches:
             label, n = batch.column("label").to_numpy(), batch.column("n").to_numpy().astype(float)
-            # A first column of ones counts the rows of a node.
             bits = _bits(batch.column("held"), width)
-            row, place = np.divmod(np.flatnonzero(np.insert(bits, 0, 1, axis=1)), width + 1)
+            # Row and feature of every 1; a first column of the sums counts the rows of a node.
+            ones = bits.sum(axis=1, dtype=np.int64)
+            row = np.repeat(np.arange(len(bits)), ones)
+            place = np.flatnonzero(bits.view(bool)) - row * width + 1
             margin, weight = _matrix(batch.column("margin"), np.float64, labels), n.take(row)
             for k, (feature, children, nodes) in shared.value.items():
                 order = np.full(len(feature), len(nodes))
                 order[nodes] = np.arange(len(nodes))
                 at = order.take(_reached(feature, children, bits, level))
                 target = n * np.rint(_targets(label, k, margin, first) * unit)
+                start = at * (width + 1)
                 if level and np.count_nonzero(at < len(nodes)) * 2 < len(at):
-                    open_ = (at < len(nodes)).take(row)
-                    some, cell, each = row[open_], place[open_], weight[open_]
+                    open_ = np.flatnonzero((at < len(nodes)).take(row))
+                    some = row.take(open_)
+                    cell, each, sought = start.take(some) + place.take(open_), weight.take(open_), target.take(some)
                 else:
-                    some, cell, each = row, place, weight
-                cell = at.take(some) * (width + 1) + cell
-                for i, amount in enumerate((each, target.take(some))):
-                    sums[k][i] += np.bincount(cell, amount, sums[k][i].size).reshape(sums[k][i].shape)
+                    cell, each, sought = np.repeat(start, ones) + place, weight, np.repeat(target, ones)
+                for own, of_row, of_cell in zip(sums[k], (n, target), (each, sought), strict=True):
+                    own += np.bincount(cell, of_cell, own.size).reshape(own.shape)
+                    own[:, 0] += np.bincount(at, of_row, len(own))
         out = [(k, low, a[:, low : min(low + piece, a.shape[1] - 1)].tobytes()) for k, a in sums.items() for low in range(0, a.shape[1] - 1, piece)]
         yield pa.RecordBatch.from_pylist([{"k": k, "low": low, "total": total} for k, low, total in out], schema)
 

@@ -161,24 +161,28 @@ def spearman(source: str, *names: str) -> str:
     return " UNION ALL ".join(one(a, b) for i, a in enumerate(names) for b in names[i + 1 :])
 
 
-LEMMAS = (
-    """cand AS (SELECT word, rule, stem FROM ("""
-    + " UNION ALL ".join(
-        f"SELECT word, {i} AS rule, left(word, length(word) - {len(old)}) || '{new}' AS stem FROM df "
-        f"WHERE ends_with(word, '{old}') AND length(word) > {len(old)}"
-        for i, (old, new) in enumerate(VERB_ENDINGS)
-    )
-    + """) WHERE stem IN (SELECT word FROM df WHERE n >= """
-    + f"{LEXICON_SHARE}::DOUBLE"
-    + """ * (SELECT count(*) FROM documents))),
+def lemmas(lexicon: str) -> str:
+    """Lemmas of the words in ``df``; those of its words that meet the condition may be base forms."""
+    return (
+        """cand AS (SELECT word, rule, stem FROM ("""
+        + " UNION ALL ".join(
+            f"SELECT word, {i} AS rule, left(word, length(word) - {len(old)}) || '{new}' AS stem FROM df "
+            f"WHERE ends_with(word, '{old}') AND length(word) > {len(old)}"
+            for i, (old, new) in enumerate(VERB_ENDINGS)
+        )
+        + f""") WHERE stem IN (SELECT word FROM df{lexicon})),
     odd(word, lemma) AS (VALUES """
-    + ", ".join(f"({quoted(f)}, {quoted(b)})" for f, b in IRREGULAR_VERBS.items())
-    + """),
+        + ", ".join(f"({quoted(f)}, {quoted(b)})" for f, b in IRREGULAR_VERBS.items())
+        + """),
     lemmas AS (
       SELECT word, arg_min(stem, length(stem) * 100 + rule) AS lemma FROM cand
       WHERE word NOT IN (SELECT word FROM odd) GROUP BY word
       UNION ALL SELECT word, lemma FROM odd WHERE word IN (SELECT word FROM df))"""
-)
+    )
+
+
+LEMMAS = lemmas(f" WHERE n >= {LEXICON_SHARE}::DOUBLE * (SELECT count(*) FROM documents)")
+ALL_LEMMAS = lemmas("")
 
 SHARED = """ix AS (
       SELECT v, row_number() OVER (ORDER BY count(*) DESC, v) - 1 AS i
@@ -362,7 +366,7 @@ def oracle_sql() -> dict[str, str]:
             lambda x: x NOT IN ({STOP})))::INT AS n_kept FROM documents""",
         "lemma_table": words_query(f", {LEMMAS} SELECT word, lemma FROM lemmas"),
         "lemmatised_words": words_query(
-            f""", {LEMMAS} SELECT word, count(*) AS count
+            f""", {ALL_LEMMAS} SELECT word, count(*) AS count
             FROM (SELECT DISTINCT doc_id, coalesce(lemma, w) AS word FROM docs LEFT JOIN lemmas ON lemmas.word = docs.w)
             GROUP BY word""",
             stop=True,

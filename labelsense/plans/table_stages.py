all_encoded_words: join rare words only, look common ones up row by row

Symptom: on the 0.51 GB input the profiler stopped all_encoded_words at its limit of 2.338 GB of disk; it spilled nothing up to there.
Evidence: every pair of word and row was shuffled by word, counted in a second pass, and gathered by row with its word; 615 MB shuffled, 1078 task seconds a GB and 0.66 GB of disk on 0.10 GB, 1683 MB shuffled on 0.51 GB when it was stopped.
Fix: the 32,768 most common words are found by WordSetModel without moving a pair; rarer pairs are stored once, joined, and gathered as ranks without the words.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 1522 -> 984 s, shuffle 8.19 -> 2.09 GB, spill 0.06 -> 0.00 GB, read 8.62 -> 5.69 GB, longest task 26 -> 22 s, most memory of a task 407 -> 344 MB; at 6 GB of input CPU 7810 -> 4820 s, shuffle 49.74 -> 12.22 GB, spill 1.08 -> 0.00 GB, read 42.95 -> 32.87 GB, longest task 31 -> 32 s, most memory of a task 673 -> 340 MB; with hot keys, at 1 GB of input CPU 504 -> 391 s, shuffle 1.83 -> 0.33 GB, spill 0.00 -> 0.00 GB, read 1.72 -> 1.12 GB, longest task 8 -> 8 s, most memory of a task 306 -> 88 MB.

@@ -3,6 +3,7 @@
 What such a stage has learned is neither a parameter nor on the driver. It is a table that is stored
 with the stage, read back with it, and joined with the rows, so that its size is bounded by the
 cluster alone. ``stages.WordSetEstimator`` and ``SharedIndexer`` do the same with a list in each task.
+The most common words of a table, a fixed number of them, are looked up in a list here too.
 """
 
 from pyspark import keyword_only
@@ -22,8 +23,13 @@ from pyspark.ml.util import (
 from pyspark.sql import functions as F
 
 from labelsense.operators.labels import stack_columns
-from labelsense.operators.scale import lookup_join, stored
+from labelsense.operators.scale import lookup_join, measured, stored
 from labelsense.operators.wordsets import common, exploded_words, ranked
+from labelsense.plans.stages import WordSetModel
+from labelsense.sources.tables import word_list
+
+# Words of a table that each task has in a list. They make up most of a text, whatever the size of the table.
+LISTED_WORDS = 1 << 15
 
 
 class _TableWriter(MLWriter):
@@ -77,7 +83,9 @@ class _TrackedTable(HasInputCol, HasOutputCol):
 class TableWordSetModel(TableModel, _TrackedTable):
     """Which words of ``table`` (rank, word, count) a row holds: an array of ranks, or of words, by rank.
 
-    A row without one gets an empty array, and so does a null list.
+    A row without one gets an empty array, and so does a null list. The first ``LISTED_WORDS`` words are found
+    row by row; only the rarer ones are dealt out as pairs of word and row, to be joined with the table and
+    gathered by row. These have the higher ranks, so they follow the others.
     """
 
     @keyword_only
@@ -92,15 +100,34 @@ class TableWordSetModel(TableModel, _TrackedTable):
         held = [f"_in{i}" for i in range(len(names))]
         rows = dataset.select(*[F.col(c).alias(h) for c, h in zip(names, held, strict=True)])
         rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
-        own = exploded_words(rows, F.array_distinct(F.col(held[names.index(words)])), "_row")
-        hits = lookup_join(own, self.table.select("word", "rank"), ["word"], salt_on=["_row"])
-        found = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_found"))
-        part = "rank" if self.getOrDefault("indexWords") else "word"
-        kind = "bigint" if part == "rank" else "string"
-        listed = F.coalesce(F.transform("_found", lambda f: f[part]), F.array().cast(f"array<{kind}>"))
-        joined = lookup_join(rows, found, ["_row"], "left")
+        own = F.col(held[names.index(words)])
+        first, far = self._listed(rows, own), self._joined(rows, own)
+        joined = lookup_join(first, far, ["_row"], "left", salt_on=["_row"])
+        listed = F.concat("_near", F.coalesce("_far", F.array().cast(first.schema["_near"].dataType)))
         return joined.select(*[F.col(h).alias(c) for h, c in zip(held, names, strict=True)], listed.alias(out))
 
+    def _listed(self, rows, own):
+        """Rows with ``_near``: the places of their words, or the words, among the first ``LISTED_WORDS``."""
+        index, first = self.getOrDefault("indexWords"), word_list(self.table, LISTED_WORDS)
+        if not first:
+            return rows.withColumn("_near", F.array().cast("array<bigint>" if index else "array<string>"))
+        filled = rows.withColumn("_words", F.coalesce(own, F.array().cast("array<string>")))
+        found = WordSetModel(inputCol="_words", outputCol="_near", wordSet=first, indexWords=index).transform(filled)
+        places = F.unwrap_udt("_near")["indices"].cast("array<bigint>") if index else F.col("_near")
+        return found.withColumn("_near", places).drop("_words")
+
+    def _joined(self, rows, own):
+        """(_row, _far): the places of the words after these, or the words, for rows that hold some."""
+        first = self.table.filter(F.col("rank") < LISTED_WORDS).select("word")
+        pairs = exploded_words(rows, F.array_distinct(own), "_row").join(F.broadcast(first), "word", "left_anti")
+        later, fits = measured(self.table.filter(F.col("rank") >= LISTED_WORDS).select("word", "rank"))
+        if not fits:
+            pairs = stored(pairs)  # read twice: its words are counted before the join
+        hits = lookup_join(pairs, later, ["word"], salt_on=["_row"], fits=fits)
+        part = "rank" if self.getOrDefault("indexWords") else "word"
+        found = F.array_sort(F.collect_list(F.struct(*dict.fromkeys(["rank", part]))))
+        return hits.groupBy("_row").agg(F.transform(found, lambda f: f[part]).alias("_far"))
+
 
 class TableWordSetEstimator(Estimator, _TrackedTable, DefaultParamsReadable, DefaultParamsWritable):
     """Tracks the ``limitTo`` most common words of the rows' word lists, all of them without a limit."""

word_list: split the texts once and keep their words for the second pass

Symptom: word_list took 426 CPU seconds a GB on 0.51 GB; the growth said to exceed the data was not seen, CPU grew by the power 0.94 and shuffle by 0.96.
Evidence: the count of the words (113 task seconds) and the listing of the tracked ones (104) each read the texts and split them anew.
Fix: the split words, without the language, are stored before the count, and both passes read them.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 622 -> 464 s, shuffle 0.16 -> 0.16 GB, spill 0.00 -> 0.00 GB, read 1.93 -> 2.78 GB, longest task 30 -> 23 s, most memory of a task 101 -> 101 MB; at 6 GB of input CPU 3178 -> 2200 s, shuffle 0.85 -> 0.85 GB, spill 0.00 -> 0.00 GB, read 11.76 -> 16.89 GB, longest task 40 -> 32 s, most memory of a task 101 -> 101 MB; with hot keys, at 1 GB of input CPU 215 -> 197 s, shuffle 0.05 -> 0.05 GB, spill 0.00 -> 0.00 GB, read 0.35 -> 0.54 GB, longest task 9 -> 8 s, most memory of a task 42 -> 42 MB.

@@ -235,7 +235,7 @@ def word_vector(spark, sf_dir):
 
 @query
 def word_list(spark, sf_dir):
-    docs = words_of(spark, sf_dir)
+    docs = stored(words_of(spark, sf_dir).select("doc_id", "words"))
     listed = WordSetEstimator(outputCol="tracked", limitTo=100, indexWords=False).fit(docs).transform(docs)
     return listed.select("doc_id", F.array_join("tracked", " ").alias("tracked"))
 
